@@ -32,10 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it again: cuts lineage, and survives lost executors."""
+    """Writes df as Parquet under the shared folder and reads it again: cuts lineage, and survives lost executors.
+
+    The shuffle files that the write needed go once it is done; the caller's setting for that is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenlog/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

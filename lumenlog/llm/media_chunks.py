@@ -1,5 +1,6 @@
 """Media columns by content-defined payload chunking: a rolling gear hash cuts media into chunks, Spark joins keep one copy of each chunk by
-digest, and ordered chunk lists give the media back, verified by digest.
+digest, and ordered chunk lists give the media back, verified by digest. Chunks are kept compressed with a dictionary that is trained
+on a bounded sample of the texts.
 
 A text's payload (its UTF-8 bytes, padded with zeros to a positive multiple of 64) is stored as the samples of an 8-bit mono WAV
 file; the file is what is chunked. Where equal chunks lie in different media, one copy is kept; equal media share one chunk list.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import settle, table, text_array
 
 #: Least, usual and most bytes of a chunk; a cut is where the gear hash's top bits are all zero.
-LEAST, USUAL, MOST = 2048, 8192, 32768
+LEAST, USUAL, MOST = 4096, 16384, 65536
+#: Texts that the compression dictionary is trained on, at most, their first bytes that it sees, and its own bytes.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 1 << 16
 #: The gear table: one 32-bit number for each byte, from a fixed rule.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([k])).digest()[:4], "little") for k in range(256)], np.uint32)
 RATE = 8000
@@ -78,46 +81,61 @@ def cuts(media: bytes, least: int = LEAST, usual: int = USUAL, most: int = MOST)
     return out
 
 
-def chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over doc_id, text: a row for each document with its media's digest, size and chunk list, and the bytes of the
-    chunks this task has not sent yet."""
-    pack, sent = zstandard.ZstdCompressor(level=3), set()
+def media_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over doc_id, text: each document's medium, its size and its chunk list."""
     for batch in batches:
-        out = {k: [] for k in ("n_bytes", "media", "size", "list", "new")}
+        out = {k: [] for k in ("n_bytes", "media", "size", "list")}
         for text in text_array(batch.column("text")).to_pylist():
             payload, n = to_payload(text)
             media = to_media(payload)
-            digest, names, fresh, at = hashlib.sha256(media).digest(), [], [], 0
-            for end in cuts(media):
-                chunk = media[at:end]
-                names.append(hashlib.sha256(chunk).digest())
-                if (mark := names[-1][:8]) not in sent:
-                    if len(sent) < 1 << 20:  # what is sent twice is dropped later
-                        sent.add(mark)
-                    fresh.append({"digest": names[-1], "data": pack.compress(chunk)})
-                at = end
-            for k, v in zip(out, (n, digest, len(media), names, fresh), strict=True):
+            ends = cuts(media)
+            names = [hashlib.sha256(media[a:b]).digest() for a, b in zip([0, *ends], ends, strict=False)]
+            for k, v in zip(out, (n, names[0] if len(names) == 1 else hashlib.sha256(media).digest(), len(media), names), strict=True):
                 out[k].append(v)
-        chunk = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["media"], pa.binary()), pa.array(out["size"], pa.int64()), pa.array(out["list"], pa.list_(pa.binary())), pa.array(out["new"], chunk)],
-            ["doc_id", "n_bytes", "media", "size", "list", "new"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["media"], pa.binary()), pa.array(out["size"], pa.int64()), pa.array(out["list"], pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "size", "list"])
+
+
+def _chunks(dictionary: bytes):
+    """For mapInArrow over text: digest, data (compressed), part (whether of a medium of several chunks), once a task for the chunks of late."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, sent = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None), set()
+        for batch in batches:
+            out = []
+            for text in text_array(batch.column("text")).to_pylist():
+                media = to_media(to_payload(text)[0])
+                ends = cuts(media)
+                for a, b in zip([0, *ends], ends, strict=False):
+                    digest = hashlib.sha256(media[a:b]).digest()
+                    if (mark := (digest[:8], len(ends) > 1)) not in sent:
+                        if len(sent) >= 1 << 18:  # what is sent again is dropped by the join
+                            sent.clear()
+                        sent.add(mark)
+                        out.append((digest, pack.compress(media[a:b]), len(ends) > 1))
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["digest", "data", "part"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["digest", "data", "part"])
 
+    return chunks
 
-CHUNKED = "doc_id long, n_bytes long, media binary, size long, list array<binary>, new array<struct<digest: binary, data: binary>>"
 
+def train_dictionary(docs: DataFrame, rows: int = SAMPLE_TEXTS) -> bytes:
+    """A compression dictionary from the beginnings of at most rows texts, chosen by a hash of the id; empty where they are too few."""
+    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).filter("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    texts = [r["text"].encode() for r in sample.collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 100 else b""
+    except zstandard.ZstdError:  # too little or too uniform
+        return b""
 
-def store_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: documents (doc_id, n_bytes, media), media (media, size, place, digest: the ordered chunk lists), chunks (digest, data).
 
-    One scan writes lists and chunks; chunks that several tasks sent are joined down to one copy each by their digests.
-    """
-    sent = settle(docs.select("doc_id", "text").mapInArrow(chunk_texts, CHUNKED), "sent")
-    documents = sent.select("doc_id", "n_bytes", "media")
-    lists = sent.select("media", "size", "list").dropDuplicates(["media"]).select("media", "size", F.posexplode("list").alias("place", "digest"))
-    chunks = sent.select(F.explode("new").alias("c")).select("c.digest", "c.data").dropDuplicates(["digest"])
-    return documents, lists, chunks
+def store_texts(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame]:
+    """Two tables: media (doc_id, n_bytes, media, size, list: the ordered chunk list of each document) and chunks (digest, data, part), one of each digest."""
+    docs = docs.select("doc_id", "text")
+    lists = settle(docs.mapInArrow(media_lists, "doc_id long, n_bytes long, media binary, size long, list array<binary>"), "media")
+    sent = docs.select("text").mapInArrow(_chunks(dictionary), "digest binary, data binary, part boolean")
+    return lists, settle(sent.groupBy("digest").agg(F.first("data").alias("data"), F.bool_or("part").alias("part")), "chunks")
 
 
 def _tell(media: bytes, digest: bytes) -> tuple:
@@ -132,35 +150,56 @@ def _tell(media: bytes, digest: bytes) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]) & 0xFFFFFFFF, feature
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over media and its chunks in order."""
-    for batch in batches:
-        unpack, told = zstandard.ZstdDecompressor(), []
-        for digest, parts in zip(batch.column("media").to_pylist(), batch.column("parts"), strict=True):
-            told.append(_tell(b"".join(unpack.decompress(x["data"].as_py()) for x in parts), digest))
-        columns = list(zip(*told, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("media"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True))], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+TOLD = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
 
-TOLD = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+def _told(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*((digest, *_tell(media, digest)) for digest, media in found), strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+
+
+def _unpacker(dictionary: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+def _read_single(dictionary: bytes):
+    """For mapInArrow over chunks: those that are whole media, whose digest is then the medium's."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(dictionary)
+        for batch in batches:
+            found = ((d, unpack.decompress(x)) for d, x in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), strict=True))
+            yield _told([(d, m) for d, m in found if m[:4] == b"RIFF" and len(m) == 8 + int.from_bytes(m[4:8], "little")])
+
+    return read
+
+
+def _read_several(dictionary: bytes):
+    """For mapInArrow over media and their chunks in order."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(dictionary)
+        for batch in batches:
+            yield _told([(d, b"".join(unpack.decompress(x["data"].as_py()) for x in parts)) for d, parts in zip(batch.column("media").to_pylist(), batch.column("parts"), strict=True)])
+
+    return read
 
 
-def read_texts(lists: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each medium's payload figures, from its chunks in order. Media of one chunk need no grouping."""
-    placed = lists.join(chunks, "digest")
-    place = F.struct("place", "data").alias("part")
-    many = placed.filter("not single").select("media", place).groupBy("media").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    return placed.filter("single").select("media", F.array(place).alias("parts")).unionByName(many).mapInArrow(_read_back, TOLD)
+def read_texts(lists: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame:
+    """Each medium's payload figures, from its chunks in order. Media of one chunk are read where it lies; only the chunks of others travel."""
+    single = chunks.select("digest", "data").mapInArrow(_read_single(dictionary), TOLD)
+    several = lists.filter(F.size("list") > 1).dropDuplicates(["media"]).select("media", F.posexplode("list").alias("place", "digest"))
+    placed = several.join(chunks.filter("part").select("digest", "data"), "digest").select("media", F.struct("place", "data").alias("part"))
+    many = placed.groupBy("media").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return single.unionByName(many.mapInArrow(_read_several(dictionary), TOLD))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, all read back from the chunks."""
-    documents, lists, chunks = store_texts(docs)
-    sizes = lists.groupBy("media").agg(F.max("size").alias("media_bytes"), F.count("*").alias("n"))
-    chunks = settle(chunks, "chunks")
-    lists = settle(lists.join(sizes, "media").select("media", "place", "digest", (F.col("n") == 1).alias("single"), "media_bytes"), "lists")
-    told = settle(read_texts(lists, chunks), "told").join(lists.select("media", "media_bytes").distinct(), "media")
-    return documents.join(told, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
+    dictionary = train_dictionary(docs)
+    lists, chunks = store_texts(docs, dictionary)
+    told = settle(read_texts(lists, chunks, dictionary), "told").dropDuplicates(["media"])
+    return lists.select("doc_id", "n_bytes", "media", F.col("size").alias("media_bytes")).join(told, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
 
 
 def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
