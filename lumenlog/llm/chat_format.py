@@ -59,8 +59,8 @@ def unescape(text: Column) -> Column:
 
 
 def _step(state: Column, role: Column, template: Template) -> Column:
-    """The state after a role, or null where the role isn't allowed."""
-    out = F.lit(None).cast("string")
+    """The state after a role, or the empty state, which allows none, where the role isn't allowed."""
+    out = F.lit("")
     for here, moves in template.transitions.items():
         for said, there in moves.items():
             out = F.when((state == here) & (role == said), F.lit(there)).otherwise(out)
@@ -80,7 +80,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         lambda at, t: F.struct(
             _step(at["state"], t["role"], template).alias("state"),
             (at["n"] + 1).alias("n"),
-            F.when(at["bad"].isNotNull(), at["bad"]).when(_step(at["state"], t["role"], template).isNull(), at["n"]).alias("bad"),
+            F.when(at["bad"].isNotNull(), at["bad"]).when(_step(at["state"], t["role"], template) == "", at["n"]).alias("bad"),
         ),
     )
     segments = F.flatten(
@@ -94,7 +94,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         )
     )
     out = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), walk.alias("walk"), segments.alias("segments"))
-    valid = F.col("walk.bad").isNull() & F.coalesce(F.col("walk.state").isin(*template.final), F.lit(False))
+    valid = F.col("walk.bad").isNull() & F.col("walk.state").isin(*template.final)
     return out.select("conv_id", "n_turns", valid.alias("valid"), F.col("walk.bad").alias("bad_turn"), "segments")
 
 

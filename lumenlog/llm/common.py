@@ -48,6 +48,16 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashes(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """At most rows rows of df with the least h, a 64-bit hash, ties in a fixed order. Rows that can't be among them are left out first,
+    so that a task sends few."""
+    share = min(1.0, 4 * rows / max(df.count(), 1))
+    found = df.withColumn("_h", h)
+    if share < 1:
+        found = found.filter(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
+    return found.orderBy("_h", *df.columns).limit(rows).drop("_h")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 modulo 4; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import table, text_array
+from lumenlog.llm.common import least_hashes, table, text_array
 
 #: Pages that tag weights are learned from, at most.
 SAMPLE_PAGES = 500
@@ -122,10 +122,9 @@ def extract(html: str, weights: dict[str, float]) -> str:
 
 def labelled_weights(pages: DataFrame, rows: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most rows pages that mark their article, chosen by a hash of the id."""
-    marked = pages.filter(F.col("html").contains("<article")).select("page_id", F.xxhash64("page_id").alias("h"))
-    chosen = marked.orderBy("h", "page_id").limit(rows).select("page_id").distinct()
-    sample = pages.filter(F.col("html").contains("<article")).join(F.broadcast(chosen), "page_id").orderBy("page_id", "html").limit(rows)
-    return learn_weights([r["html"] for r in sample.select("html").toLocalIterator()])
+    marked = pages.filter(F.col("html").contains("<article")).select("page_id", "html")
+    sample = least_hashes(marked, F.xxhash64("page_id"), rows)
+    return learn_weights([r["html"] for r in sample.select("html").collect()])
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:

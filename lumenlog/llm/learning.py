@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import held_out
+from lumenlog.llm.common import held_out, least_hashes
 
 #: Labelled documents that a classifier is fitted to, at most.
 SAMPLE_ROWS = 6000
@@ -22,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     repeatedly counts as often. The chosen ids, at most rows, are broadcast, so the documents aren't shuffled.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label)).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+    chosen = least_hashes(chosen, F.xxhash64(F.lit(seed), "doc_id"), rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 

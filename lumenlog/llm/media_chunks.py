@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import settle, table, text_array
+from lumenlog.llm.common import least_hashes, settle, table, text_array
 
 #: Least, usual and most bytes of a chunk; a cut is where the gear hash's top bits are all zero.
 LEAST, USUAL, MOST = 4096, 16384, 65536
@@ -122,7 +122,7 @@ def _chunks(dictionary: bytes):
 
 def train_dictionary(docs: DataFrame, rows: int = SAMPLE_TEXTS) -> bytes:
     """A compression dictionary from the beginnings of at most rows texts, chosen by a hash of the id; empty where they are too few."""
-    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).filter("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    sample = least_hashes(docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")), F.xxhash64("doc_id"), rows).filter("text <> ''")
     texts = [r["text"].encode() for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 100 else b""

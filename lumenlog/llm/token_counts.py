@@ -101,7 +101,7 @@ def count_documents(blocks: DataFrame, separator: int = SEPARATOR, width: int =
     """
     found = settle(blocks.select("file", "block", "tokens").mapInArrow(_scan(separator, width), "file string, block long, n long, places array<long>"), "scan")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    summary = found.select("file", "block", "n", F.size("places").cast("long").alias("ends"), F.element_at("places", -1).alias("last"))
+    summary = found.select("file", "block", "n", F.size("places").cast("long").alias("ends"), F.try_element_at("places", F.lit(-1)).alias("last"))
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     # Prefix scan: tokens and separators before the block, and where the last separator before it stands in the file.
     placed = summary.withColumn("start", start).withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
