@@ -18,6 +18,7 @@ from lumenlog.operators.detect import BUILTIN, sanitize
 from lumenlog.operators.detectors import anchored_alerts
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
+from lumenlog.sources.tail import TailSource
 from lumenlog.sources.text import read_feedback, read_lines, read_sanitized, write_alerts, write_records
 from lumenlog.streaming.live import live_records, start_routed, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
@@ -44,6 +45,12 @@ def read_records(spark: SparkSession, s: Settings) -> DataFrame:
     return L.filter_records(parse_lines(lines, s.fmt, custom=s.custom, names=s.names), **s.filters)
 
 
+def tail_lines(spark: SparkSession, s: Settings) -> DataFrame:
+    """Lines appended to the input files."""
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format("line_tail").option("paths", ",".join(s.paths)).option("max_line_length", s.max_line_length).load()
+
+
 def report(records: DataFrame) -> tuple[dict, dict[str, int], dict[str, int]]:
     """Totals, detections by kind and by field: small aggregates, collected."""
     totals = L.audit_report(L.file_stats(records)).first().asDict()
@@ -107,6 +114,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "stream":
             p.add_argument("--checkpoint", required=True)
             p.add_argument("--once", action="store_true", help="what is there, then stop")
+            p.add_argument("--tail", action="store_true", help="follow the lines that are appended to the inputs")
     sub.add_parser("init", help="write a configuration").add_argument("path")
     sub.add_parser("list-rules", help="built-in rules")
     p = sub.add_parser("detect", help="what the rules find in a text")
@@ -160,7 +168,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "stream":
         if s.metrics_file:
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
-        query = start_routed(live_records(stream_lines(spark, s.paths[0]), s.fmt, s.rules, **s.filters), s.routes, s.file, args.checkpoint, once=args.once)
+        lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths[0])
+        query = start_routed(live_records(lines, s.fmt, s.rules, **s.filters), s.routes, s.file, args.checkpoint, once=args.once)
         query.awaitTermination()
     elif args.what == "replay":
         rows = read_sanitized(spark, args.path).withColumn("line_no", F.monotonically_increasing_id())

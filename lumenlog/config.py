@@ -75,9 +75,6 @@ def parse_rules(doc: Mapping) -> tuple[Rule, ...]:
     for key in ("strategies", "params"):
         for name, v in (doc.get(key) or {}).items():
             overrides.setdefault(name, {})["strategy" if key == "strategies" else "params"] = v
-    if doc.get("hmac_key"):
-        for name in [r.name for r in configured(overrides) if r.strategy == "hash"]:
-            overrides[name] = {**overrides.get(name, {}), "params": {"hmac_key": doc["hmac_key"], **overrides.get(name, {}).get("params", {})}}
     custom = [custom_rule(r.get("name") or "", r.get("pattern") or "", r.get("type") or "custom", r.get("strategy") or "mask", r.get("params"), r.get("enabled", True)) for r in doc.get("custom_rules") or []]
     return configured(overrides, custom)
 
