@@ -18,12 +18,15 @@ SAMPLE_ROWS = 6000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
     """Up to rows labelled documents (doc_id, text, label 0/1) that aren't held out, chosen by a seeded hash of the id.
 
-    Null ids and labels are passed over; an id that is labelled repeatedly takes its largest label; a document that comes
-    repeatedly counts as often. The chosen ids, at most rows, are broadcast, so the documents aren't shuffled.
+    Null ids and labels are passed over; an id that is labelled repeatedly takes its largest label; of documents with the same id one
+    counts, that of the least hash of its text, so the sample is bounded however often an id comes. The chosen ids, at most rows,
+    are broadcast, and tasks keep one text of each, so the documents aren't shuffled.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label)).alias("label"))
     chosen = least_hashes(chosen, F.xxhash64(F.lit(seed), "doc_id"), rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("at"))
+    return one.select("doc_id", F.col("at.text").alias("text"), "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlog.llm import chat_format, decontaminate, html_extract, media_chunks, mixing, near_dedup, quality, token_counts, toxicity, url_filter
+from lumenlog.llm import chat_format, decontaminate, html_extract, learning, media_chunks, mixing, near_dedup, quality, token_counts, toxicity, url_filter
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega été größe".split()
 
@@ -195,3 +195,14 @@ def test_chat(spark):
     assert not out[2].valid and [tuple(t) for t in out[3].turns] == [("user", ""), ("", "t")] and len(out[4].turns) == 2 and not out[4].valid
     assert out[1].formatted.count("[INST]") == 0 and out[1].formatted.count("<|im_end|>") == 2
     assert chat_format.format_chats(turns.filter("false")).count() == 0
+
+
+def test_labelled_sample_is_bounded(spark, docs, none):
+    hot = docs.unionByName(spark.range(300).selectExpr("1L AS doc_id", "concat('copy ', id) AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars", "'x' AS key", "7 AS n"))
+    labels = spark.createDataFrame([(k, k % 2) for k in (0, 1, 1, 2, 3, 4, 6)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    rows = learning.labelled_sample(hot, labels, "quality").collect()
+    wanted = {k for k in (0, 1, 2, 3, 4, 6) if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert sorted(r.doc_id for r in rows) == sorted(wanted) and all(r.label == r.doc_id % 2 for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, learning.labelled_sample(hot.repartition(5), labels, "quality").collect()))
+    assert len(learning.labelled_sample(hot, labels, "quality", rows=2).collect()) <= 2
+    assert learning.labelled_sample(none, labels, "quality").count() == 0
