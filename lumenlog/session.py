@@ -1,4 +1,4 @@
-"""Makes the package importable on executors, wherever the driver found it, and bounds what Python workers get at a time."""
+"""Makes the package importable on executors, wherever the driver found it, and bounds what readers and Python workers hold at a time."""
 
 from __future__ import annotations
 
@@ -8,16 +8,19 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-
 #: Bytes of an Arrow batch, unless the session has its own setting: documents are large, and workers hold copies of a batch.
 BATCH_BYTES = "8m"
+#: Rows that the Parquet reader decodes at once, unless the session has its own setting: 4096 rows of whole texts are tens of MB a task.
+READER_ROWS = 512
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors' Python workers, once a Spark context, and sets the batch bound where it is Spark's own."""
+    """Sends the package to the executors' Python workers, once a Spark context, and sets the bounds of batches where they are Spark's own."""
     sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB", "64m"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
     if not getattr(sc, "_lumenlog_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="lumenlog-ship-")) / "lumenlog.zip"
