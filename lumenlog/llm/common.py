@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from lumenlog.session import ship
 
 #: Bytes of text that a vectorised scan holds at once; a single longer text is still scanned whole.
 PIECE_BYTES = 1 << 19
+#: Bytes of a row group of a settled table, which a task that writes holds in memory.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -42,12 +45,20 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     was = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(clean, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python process to the machine. Workers are used again and again, so what an earlier task freed would
+    stay theirs. Called at the end of a task or batch; where the C library has no such call, only Arrow's pool is emptied."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def least_hashes(df: DataFrame, h: Column, rows: int) -> DataFrame:
     """At most rows rows of df with the least h, a 64-bit hash, ties in a fixed order. Rows that can't be among them are left out first,
     so that a task sends few."""

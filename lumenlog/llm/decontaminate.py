@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import pieces, span_hashes, spans, table, text_array, text_bytes
+from lumenlog.llm.common import give_back, pieces, span_hashes, spans, table, text_array, text_bytes
 
 WINDOW = 10
 #: Item words of one automaton.
@@ -229,6 +229,7 @@ def count_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
                 items += [sorted({ids[i] for i in f}) for f in found]
             join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), join(n_words), join(n_hit), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<string>")
 
@@ -263,6 +264,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 texts.append(bytes(raw).decode())
                 removed.append(int(sums[b] - sums[a]))
                 total.append(int(b - a))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(total, pa.int64())], ["text", "removed", "total"])
 
     cleaned = F.arrow_udf(clean, "struct<text: string, removed: long, total: long>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import IS_DARK, held_out, pieces, span_hashes, spans, table, text_bytes
+from lumenlog.llm.common import IS_DARK, give_back, held_out, pieces, span_hashes, spans, table, text_bytes
 from lumenlog.llm.learning import SAMPLE_ROWS, folds, hinge_dual, labelled_sample, platt, sigmoid
 
 DIMS = 1 << 16
@@ -122,6 +122,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             doc, feature = features(d, o)
             lists += np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, hi - lo)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
+    give_back()
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
@@ -136,7 +137,9 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(texts), pa.float64())
+        found = pa.array(model.scores(texts), pa.float64())
+        give_back()
+        return found
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import IS_DARK, IS_WORD, LOWER, RunHasher, held_out, pieces, span_hashes, spans, table, text_bytes, word_hash
+from lumenlog.llm.common import IS_DARK, IS_WORD, LOWER, RunHasher, give_back, held_out, pieces, span_hashes, spans, table, text_bytes, word_hash
 from lumenlog.llm.learning import SAMPLE_ROWS, Trees, boost, folds, isotonic, labelled_sample
 
 #: Texts with a score from here on count as toxic.
@@ -206,6 +206,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 counts.append([np.minimum(n, 1 << 30).astype(np.int32) for _, n in text])
         kind = pa.list_(pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64())), pa.array(ids, kind), pa.array(counts, kind)], ["doc_id", "label", "features", "units", "counts"])
+    give_back()
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicModel:
@@ -223,7 +224,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESH
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(Lexicon(model.learned).rows(texts)), pa.float64())
+        found = pa.array(model.scores(Lexicon(model.learned).rows(texts)), pa.float64())
+        give_back()
+        return found
 
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
