@@ -1,6 +1,9 @@
 """HTML extraction by the maximum-scoring subsequence: a page is a sequence of words and tags, words score positive and tags
 negative, and one linear scan finds the contiguous region of the highest score. Tag weights come from labelled pages, which are
-those that mark their article. Inside boilerplate elements words score negative, and their text is never part of the result.
+those that mark their article. Text of boilerplate elements, comments and scripts is never part of the result. Inside an article or main
+element they score 0, so that they don't part what stands around them, and so they do on a page without either, but for the elements in
+FRAME; elsewhere they score negative. Inline, list and table tags, and all tags inside an article or main element, take at most half of
+the words that follow them; outside such an element they take at most all words of a link.
 
 Defined results: null html is the empty page; a page without words, or whose best region scores nothing, has the empty text;
 unclosed, nested and cut-off markup is read as far as it goes; of equal regions the first counts; repeated rows are extracted each;
@@ -27,6 +30,10 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog select button iframe
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|comments?|disqus|replies|reply|respond|related|share|sharing|social|footer|masthead|site-header|login|search|widget|legal|copyright|skip-link)(?:$|[\s_-])", re.I)
 #: Elements between which text is in different blocks.
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title".split())
+#: Boilerplate that parts the content of a page from the rest also where no element marks the content.
+FRAME = frozenset("head header nav footer".split())
+#: Inline, list and table elements, whose tags can't outweigh their words.
+LIGHT = frozenset("a abbr b bdi bdo big caption cite code col colgroup data dd del dfn dl dt em font i img ins kbd li mark ol q s samp small span strike strong sub sup table tbody td tfoot th thead time tr tt u ul var".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -50,7 +57,7 @@ def items(html: str):
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
-            yield None, "/" + m[1].lower() if m[1] else "!", depth > 0
+            yield None, "/" + m[1].lower() if m[1] else "!", True
             continue
         tag = m[2] + name
         if name in ("article", "main"):
@@ -94,9 +101,29 @@ def learn_weights(pages: list[str]) -> dict[str, float]:
 def extract(html: str, weights: dict[str, float]) -> str:
     """The text of the best region: its blocks, white space folded, joined by an empty line."""
     seq = list(items(html))
+    marked = any(tag in ("article", "main") for _, tag, _ in seq)
     best, start, stop, run, begin = 0.0, 0, 0, 0.0, 0
+    content, frame, link, owed = 0, False, False, 0.0  # owed: what light tags cost that no words have paid yet
     for k, (text, tag, out) in enumerate(seq):
-        run += (OUTSIDE if out else WORD) * len(text.split()) if tag is None else weights.get(tag, UNSEEN)
+        n = len(text.split()) if tag is None else 0
+        name = (tag or "").lstrip("/")
+        if name in ("article", "main"):
+            content += -1 if tag[0] == "/" else 1
+        frame = out and (frame or tag in FRAME)
+        if out:
+            if content <= 0 if marked else frame:
+                run += OUTSIDE * n if tag is None else weights.get(tag, UNSEEN)
+            if name in FRAME and tag[0] == "/":
+                frame = False
+        elif tag is None:
+            if n:
+                run += WORD * (n - min(owed, n if link and content <= 0 else n / 2))
+                owed = 0.0
+        elif name in LIGHT or content > 0:
+            owed -= weights.get(tag, UNSEEN)
+            link = tag == "a" if name == "a" else link
+        else:
+            run += weights.get(tag, UNSEEN)
         if run <= 0:
             run, begin = 0.0, k + 1
         elif run > best:

@@ -187,6 +187,28 @@ def test_html():
     assert html_extract.extract("", weights) == "" and html_extract.extract("<p>", weights) == "" and html_extract.extract("just words here", weights) == "just words here"
 
 
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_html_keeps_the_ends_of_an_article(element):
+    frame = "<html><head><title>T</title></head><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div class=ad>buy this</div>{}<footer>all of us</footer></body></html>"
+    body = "".join(f"<p>{prose(k, 12)}</p>" for k in (1, 2))
+    weights = html_extract.learn_weights([frame.format(f"<article><h1>title</h1>{body}</article>")] * 20)
+    assert min(weights[t] for t in ("a", "li", "ul", "div")) < -2
+    share = "<div class=share>" + "<a>Send</a>" * 4 + "</div>"
+    items = "<ul><li>two eggs</li><li>flour</li><li>a cup of milk</li></ul>"
+    between = (share, f"<aside>{prose(3, 60)}</aside>", f"<form>{prose(4, 60)}</form>", "<!-- x --><script>var a = 1;</script>" * 3)
+    head = "<h1>eight words are enough for one good headline</h1>"
+    read = lambda content: html_extract.extract(frame.format(f"<{element}>{content}</{element}>"), weights).split("\n\n")
+    text = ["eight words are enough for one good headline", prose(1, 12), prose(2, 12)]
+    assert read(head + body) == text
+    for x in between:
+        assert read(head + x + body) == text
+    listed = ["two eggs", "flour", "a cup of milk"]
+    assert read(items + head + body) == [*listed, *text] and read(head + body + items) == [*text, *listed]
+    links = "<ul>" + "<li><a>see</a></li>" * 20 + "</ul>"
+    assert read(head + links + body)[0] == text[0]
+    assert (read(head + body + links) == [*text, *["see"] * 20]) == (element == "article")
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", r"a \ b [INST] <|im_end|> \[INST]"), (1, 1, "assistant", "x</s>"), (2, 0, "assistant", None), (3, 1, None, "t"), (3, 0, "user", ""), (None, 0, "user", "n"), (4, 0, "user", "u"), (4, 0, "user", "u")]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, segments int")
