@@ -168,8 +168,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "stream":
         if s.metrics_file:
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
-        lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths[0])
-        query = start_routed(live_records(lines, s.fmt, s.rules, **s.filters), s.routes, s.file, args.checkpoint, once=args.once)
+        lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths, recursive=s.recursive)
+        query = start_routed(live_records(lines, s.fmt, s.rules, s.custom, s.names, **s.filters), s.routes, s.file, args.checkpoint, once=args.once)
         query.awaitTermination()
     elif args.what == "replay":
         rows = read_sanitized(spark, args.path).withColumn("line_no", F.monotonically_increasing_id())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +16,20 @@ from lumenlog.operators.parse import parse_lines
 from lumenlog.operators.pipeline import filter_records, route, sanitize_records, standard
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """New files of a folder as source_file, line_no (0: numbers are known at rest only), raw. The checkpoint holds which files are done."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+def stream_lines(spark: SparkSession, paths: Sequence[str] | str, files_per_trigger: int = 100, recursive: bool = True) -> DataFrame:
+    """New files of all folders as source_file, line_no (0: numbers are known at rest only), raw. The checkpoint holds which files are done.
+    A file stream takes one path, so each has a reader of its own."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", str(recursive).lower())
+    return reduce(DataFrame.unionByName, [_stream_path(reader.text(p)) for p in ([paths] if isinstance(paths, str) else paths)])
+
+
+def _stream_path(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("raw"))
 
 
-def live_records(lines: DataFrame, fmt: str = "auto", rules: Sequence[Rule] = BUILTIN, **filters) -> DataFrame:
+def live_records(lines: DataFrame, fmt: str = "auto", rules: Sequence[Rule] = BUILTIN, custom: str | None = None, names: dict[str, str] | None = None, **filters) -> DataFrame:
     """Parsed, filtered, sanitized, standard records; each line by the first format that fits."""
-    return standard(sanitize_records(filter_records(parse_lines(lines, fmt, sticky=False), **filters), rules))
+    return standard(sanitize_records(filter_records(parse_lines(lines, fmt, custom=custom, names=names, sticky=False), **filters), rules))
 
 
 def start_routed(records: DataFrame, targets: Sequence[tuple[str, str]], default: str, checkpoint: str, once: bool = True, rules: Callable[[], Sequence[Rule]] | None = None) -> StreamingQuery:

@@ -83,3 +83,18 @@ def test_stream(spark, tmp_path):
     (tmp_path / "c.yaml").write_text(yaml.safe_dump(doc))
     assert main(["stream", "-c", str(tmp_path / "c.yaml"), "--checkpoint", str(tmp_path / "state"), "--once"], spark) == 0
     assert [spark.read.text(str(tmp_path / d)).count() for d in ("rest", "errors")] == [1, 1]
+
+
+def test_stream_reads_all_paths_in_a_custom_format(spark, tmp_path):
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "1.log").write_text("INFO|mail a@b.cd\n")
+    (tmp_path / "a" / "deep" / "2.log").write_text("ERROR|mail c@d.ef\n")
+    (tmp_path / "b" / "3.log").write_text("INFO|from 10.0.0.1\n")
+    (tmp_path / "4.log").write_text("INFO|from 10.0.0.2\n")
+    doc = {"inputs": {"paths": [str(tmp_path / p) for p in ("a", "b", "4.log")]}, "parser": {"format": "custom", "custom_pattern": r"(?P<lv>[A-Z]+)\|(?P<message>.*)", "custom_field_names": {"level": "lv"}}, "output": {"file": str(tmp_path / "rest")}, "stream": {"route_rules": [{"level_match": "ERROR", "output_target": str(tmp_path / "errors")}]}}
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(doc))
+    assert main(["stream", "-c", str(tmp_path / "c.yaml"), "--checkpoint", str(tmp_path / "state"), "--once"], spark) == 0
+    rest, errors = ([json.loads(r.value) for r in spark.read.text(str(tmp_path / d)).collect()] for d in ("rest", "errors"))
+    assert sorted(r["message"] for r in rest) == ["from 10.0.*.*", "from 10.0.*.*", "mail ***@b.cd"]
+    assert [r["message"] for r in errors] == ["mail ***@d.ef"] and not any("_unparseable" in r for r in rest + errors)
