@@ -6,6 +6,7 @@ import argparse
 import dataclasses
 import json
 import sys
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,13 @@ from pyspark.sql import functions as F
 from lumenlog.config import Settings, load
 from lumenlog.operators import alerts as A
 from lumenlog.operators import pipeline as L
-from lumenlog.operators.detect import BUILTIN, sanitize
+from lumenlog.operators.detect import BUILTIN, Rule, sanitize
 from lumenlog.operators.detectors import anchored_alerts
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
 from lumenlog.sources.text import read_feedback, read_lines, read_sanitized, write_alerts, write_records
-from lumenlog.streaming.live import live_records, start_routed, stream_lines
+from lumenlog.streaming.live import parsed_records, start_routed, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
 
 TEMPLATE = """name: logs
@@ -51,6 +52,22 @@ def tail_lines(spark: SparkSession, s: Settings) -> DataFrame:
     return spark.readStream.format("line_tail").option("paths", ",".join(s.paths)).option("max_line_length", s.max_line_length).load()
 
 
+def current_rules(path: str, rules: Sequence[Rule]) -> Callable[[], Sequence[Rule]]:
+    """The rules of the configuration as it is at each call; the last good ones, at first rules, where it can't be read or is wrong."""
+    import yaml
+
+    last = [rules]
+
+    def read() -> Sequence[Rule]:
+        try:
+            last[0] = load(path).rules
+        except (OSError, ValueError, TypeError, KeyError, AttributeError, yaml.YAMLError) as e:
+            print(f"configuration: {e}; the rules before stay", file=sys.stderr)
+        return last[0]
+
+    return read
+
+
 def report(records: DataFrame) -> tuple[dict, dict[str, int], dict[str, int]]:
     """Totals, detections by kind and by field: small aggregates, collected."""
     totals = L.audit_report(L.file_stats(records)).first().asDict()
@@ -168,8 +185,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "stream":
         if s.metrics_file:
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
+        if s.anomaly:
+            print("anomaly detection is on, but a stream makes no alerts: `anomaly replay` judges its output", file=sys.stderr)
         lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths, recursive=s.recursive)
-        query = start_routed(live_records(lines, s.fmt, s.rules, s.custom, s.names, **s.filters), s.routes, s.file, args.checkpoint, once=args.once)
+        records = parsed_records(lines, s.fmt, s.custom, s.names, **s.filters)
+        query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules))
         query.awaitTermination()
     elif args.what == "replay":
         rows = read_sanitized(spark, args.path).withColumn("line_no", F.monotonically_increasing_id())

@@ -27,15 +27,23 @@ def _stream_path(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("raw"))
 
 
+def parsed_records(lines: DataFrame, fmt: str = "auto", custom: str | None = None, names: dict[str, str] | None = None, **filters) -> DataFrame:
+    """Parsed and filtered records; each line by the first format that fits."""
+    return filter_records(parse_lines(lines, fmt, custom=custom, names=names, sticky=False), **filters)
+
+
 def live_records(lines: DataFrame, fmt: str = "auto", rules: Sequence[Rule] = BUILTIN, custom: str | None = None, names: dict[str, str] | None = None, **filters) -> DataFrame:
-    """Parsed, filtered, sanitized, standard records; each line by the first format that fits."""
-    return standard(sanitize_records(filter_records(parse_lines(lines, fmt, custom=custom, names=names, sticky=False), **filters), rules))
+    """Parsed, filtered, sanitized, standard records."""
+    return standard(sanitize_records(parsed_records(lines, fmt, custom, names, **filters), rules))
 
 
 def start_routed(records: DataFrame, targets: Sequence[tuple[str, str]], default: str, checkpoint: str, once: bool = True, rules: Callable[[], Sequence[Rule]] | None = None) -> StreamingQuery:
-    """Writes JSON lines to the target of each record's level; once: all that is there, then stop."""
+    """Writes JSON lines to the target of each record's level; once: all that is there, then stop. With rules, records are parsed ones, and
+    each micro-batch is sanitized by what rules() gives at its time."""
 
     def write(batch: DataFrame, number: int) -> None:
+        if rules is not None:
+            batch = standard(sanitize_records(batch, rules()))
         routed = batch.withColumn("target", route(targets, default)).select("target", F.col("json").alias("value")).persist()
         for target in sorted({default, *(t for _, t in targets)}):
             routed.filter(F.col("target") == target).select("value").write.mode("append").text(target)

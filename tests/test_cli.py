@@ -5,8 +5,9 @@ import json
 import pytest
 import yaml
 
-from lumenlog.cli import main
+from lumenlog.cli import current_rules, main
 from lumenlog.config import Webhook, load, parse_settings
+from lumenlog.streaming.live import parsed_records, start_routed, stream_lines
 from lumenlog.streaming.notify import send_alerts
 
 BASE = {"inputs": {"paths": ["in"]}, "output": {"file": "out"}}
@@ -98,3 +99,29 @@ def test_stream_reads_all_paths_in_a_custom_format(spark, tmp_path):
     rest, errors = ([json.loads(r.value) for r in spark.read.text(str(tmp_path / d)).collect()] for d in ("rest", "errors"))
     assert sorted(r["message"] for r in rest) == ["from 10.0.*.*", "from 10.0.*.*", "mail ***@b.cd"]
     assert [r["message"] for r in errors] == ["mail ***@d.ef"] and not any("_unparseable" in r for r in rest + errors)
+
+
+def test_stream_reads_rules_again(spark, tmp_path, capsys):
+    path = tmp_path / "c.yaml"
+    path.write_text(yaml.safe_dump(BASE))
+    read = current_rules(str(path), ())
+    assert "email" in {r.name for r in read()}
+    path.write_text(yaml.safe_dump({**BASE, "sanitizers": {"builtin_rules": {"email": False}}}))
+    assert (names := {r.name for r in read()}) and "email" not in names
+    path.write_text("[")
+    assert {r.name for r in read()} == names and "the rules before stay" in capsys.readouterr().err
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.log").write_text("2024-01-15 08:30:45 [INFO] mail a@b.cd\n")
+    turns = iter((parse_settings(BASE).rules, ()))
+    records = parsed_records(stream_lines(spark, str(tmp_path / "in"), files_per_trigger=1))
+    start_routed(records, (), str(tmp_path / "out"), str(tmp_path / "state"), rules=lambda: next(turns)).awaitTermination()
+    assert sorted(json.loads(r.value)["message"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["mail ***@b.cd", "mail a@b.cd"]
+
+
+def test_stream_tells_that_it_makes_no_alerts(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    doc = {"inputs": {"paths": [str(tmp_path / "in")]}, "output": {"file": str(tmp_path / "out")}, "anomaly_detection": {"enabled": True}}
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(doc))
+    assert main(["stream", "-c", str(tmp_path / "c.yaml"), "--checkpoint", str(tmp_path / "state"), "--once"], spark) == 0
+    assert "makes no alerts" in capsys.readouterr().err
