@@ -53,10 +53,14 @@ class UrlModel:
     def segment(self, name: str) -> list[str]:
         """The likeliest split of a name into words (Viterbi over positions). Adjoining unknown pieces cost more than one."""
         best, back = [0.0], [0]
+        far, ten = 0, math.log(10)
         for end in range(1, len(name) + 1):
             # An unknown word of n letters has probability 10 / (total * 10**n); it may start anywhere, a known one within the longest's reach.
-            score, start = -math.inf, 0
-            for begin in range(end):
+            # Of the starts beyond that reach one is the best for all later ends, so the time is linear in the name.
+            score, start, near = -math.inf, 0, max(0, end - self.longest)
+            if near and best[near - 1] + (near - 1) * ten > best[far] + far * ten:
+                far = near - 1
+            for begin in (far, *range(near, end)) if near else range(end):
                 known = self.unigram.get(name[begin:end]) if end - begin <= self.longest else None
                 p = known if known is not None else math.log(10 / self.total) - (end - begin) * math.log(10)
                 if best[begin] + p > score:
@@ -72,7 +76,7 @@ class UrlModel:
     def log_odds(self, host: str, path: str, segment=None) -> float:
         """Log-odds of block. Words that the seeds lack say nothing."""
         segment = segment or self.segment
-        words = [w for label in re.split(r"[^a-z0-9]+", host) if label for w in segment(label[:64])] if host else []
+        words = [w for label in re.split(r"[^a-z0-9]+", host) if label for w in segment(label)] if host else []
         words += [w for w in re.split(r"[^a-z0-9]+", path.lower()) if w]
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 

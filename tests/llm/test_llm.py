@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -72,6 +73,28 @@ def test_url_filter(spark):
     assert model.segment("freecasinobets") == ["free", "casino", "bets"] and model.segment("") == []
 
 
+def test_url_segments_of_any_length():
+    model = url_filter.UrlModel()
+    words, unknown = sorted(model.unigram), math.log(10 / model.total)
+
+    def brute(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            options = []
+            for begin in range(end):
+                piece = name[begin:end]
+                options.append((best[begin][0] + model.unigram.get(piece, unknown - len(piece) * math.log(10)), [*best[begin][1], piece]))
+            best.append(max(options, key=lambda x: x[0]))
+        return best[-1][1]
+
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        parts = [words[rng.integers(len(words))] if rng.random() < 0.6 else "".join(rng.choice(list("qzxnews"), rng.integers(1, 40))) for _ in range(rng.integers(1, 7))]
+        assert model.segment("".join(parts)) == brute("".join(parts))
+    assert model.log_odds("q" * 70 + "casinobets", "") == pytest.approx(model.log_odds("casino.bets", "")) and model.log_odds("q" * 70 + "casinobets", "") > 0
+    assert len(model.segment("casinoq" * 20_000)) == 40_000
+
+
 @pytest.mark.parametrize("kind", ["quality", "toxic"])
 def test_classifiers(spark, docs, none, kind):
     rng = np.random.default_rng(5)
