@@ -179,6 +179,15 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    a, b, c = prose(21, 80), prose(22, 80), prose(23, 80)
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (1, a), (None, c), (None, c), (None, near(c)), (None, b), (5, prose(24, 80)), (None, ""), (None, None)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = sorted((r.doc_id or 0, r.text or "") for r in kept)
+    assert texts[0] == (0, "") and texts[1] in ((0, c), (0, near(c))) and texts[2:] == sorted([(1, a), (1, b), (5, prose(24, 80))])
+
+
 def test_near_duplicates_brute(spark):
     rng, texts = np.random.default_rng(7), []
     for g in range(12):
