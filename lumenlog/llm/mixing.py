@@ -136,10 +136,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs that it takes, as often as it takes them, with `copy` from 0. Rows with a null id join as equal."""
-    taken = mix_sources(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("size").alias("taken_size")).agg(F.max("copies").alias("copies"))
+    """The mix itself: the rows of docs that it takes, as often as it takes them, with `copy` from 0. Rows with a null id join as equal.
+
+    The plan's copies of rows that agree in id, source and size differ by one at most, so that their sum tells them all: where they differ,
+    the rows are numbered by text, and the first ones come once more.
+    """
+    group = ["taken_id", "taken_source", "taken_size"]
+    taken = mix_sources(docs, **options).groupBy(*(F.col(c).alias(g) for c, g in zip(("doc_id", "source", "size"), group))).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    taken = settle(taken.filter("_sum > 0").select(*group, F.expr("_sum div _rows").alias("copies"), F.expr("_sum % _rows").alias("_more")), "taken")
     on = F.col("doc_id").eqNullSafe(F.col("taken_id")) & F.col("source").eqNullSafe(F.col("taken_source")) & (text_size(F.col("text")) == F.col("taken_size"))
-    return docs.join(taken, on).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("taken_id", "taken_source", "taken_size", "copies")
+    even, uneven = taken.filter("_more = 0"), taken.filter("_more > 0")
+    rows = docs.join(even, on)
+    if not uneven.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("text"))
+        numbered = docs.join(uneven, on).withColumn("copies", F.col("copies") + (nth <= F.col("_more")).cast("long"))
+        rows = rows.unionByName(numbered.filter("copies > 0"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop(*group, "copies", "_more")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

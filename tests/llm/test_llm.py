@@ -51,6 +51,19 @@ def test_mixing(docs, none):
     assert mixing.mix_rows(docs.filter("doc_id < 5")).count() == sum(r.copies for r in mixing.mix_sources(docs.filter("doc_id < 5")).collect())
 
 
+def test_mix_rows_of_repeated_and_null_ids(spark):
+    rows = [(i, f"{t} {w} word", "s", k) for k, (i, t, w) in enumerate(itertools.product((None, 1, 2), "abc", ("x", "y", "z")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3)
+    plan = mixing.mix_sources(frame).collect()
+    assert {r.copies for r in plan if r.doc_id is None} | {r.copies for r in plan if r.doc_id == 1} == {1, 2}
+    mixed = mixing.mix_rows(frame).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in plan) and len({(r.n, r.copy) for r in mixed}) == len(mixed)
+    for i in (None, 1, 2):
+        assert sum(r.doc_id == i for r in mixed) == sum(r.copies for r in plan if r.doc_id == i)
+    few = mixing.mix_rows(frame, share=0.5).collect()
+    assert 0 < len(few) == sum(r.copies for r in mixing.mix_sources(frame, share=0.5).collect()) < len(rows)
+
+
 def test_water_fill_and_knapsack():
     targets = mixing.water_fill([10, 100, 100], [3, 1, 2], 315)
     assert targets[0] == 20 and sum(targets) == pytest.approx(315) and targets[2] == pytest.approx(2 * targets[1], rel=0.05)
