@@ -190,6 +190,8 @@ def test_near_duplicates(docs, none):
     kept = near_dedup.keep_one(docs).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 3, 4, 5, 8, 10, 11] and len(kept) == 8
     assert near_dedup.near_duplicates(none).count() == 0
+    links = {r.doc_id: r.n_verified for r in rows}
+    assert links[0] == links[1] == links[2] == links[12] == 1 and links[3] == links[5] == 0
 
 
 def test_keep_one_of_repeated_and_null_ids(spark):
