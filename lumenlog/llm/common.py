@@ -18,6 +18,8 @@ from lumenlog.session import ship
 PIECE_BYTES = 1 << 19
 #: Bytes of a row group of a settled table, which a task that writes holds in memory.
 ROW_GROUP_BYTES = 32 << 20
+#: Parts that the rows of a frequent join key are dealt over.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -26,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one for a session in one machine
+    (tests); on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: set it to a folder that driver and executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lumenlog-")
         shared_dir.own = base
     return base.rstrip("/")
@@ -48,7 +53,37 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(clean, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more: what was made of them is itself settled."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
+    """rows, a settled table, joined with other on keys, of which other has one row each. A key's rows are dealt out by the column salt, a
+    number below SALTS, and other's row goes only where the key has rows, so that no task gets a frequent key whole."""
+    spread = rows.select(*keys, salt).distinct().join(other, keys)
+    return rows.join(spread, [*keys, salt], how)
+
+
+def salt_of(*columns: str) -> Column:
+    """A number below SALTS from the columns."""
+    return F.pmod(F.xxhash64(F.lit(77), *columns), F.lit(SALTS)).cast("int")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def give_back() -> None:

@@ -64,8 +64,11 @@ def test_mix_rows_of_repeated_and_null_ids(spark):
     assert 0 < len(few) == sum(r.copies for r in mixing.mix_sources(frame, share=0.5).collect()) < len(rows)
 
 
-def test_water_fill_and_knapsack():
-    targets = mixing.water_fill([10, 100, 100], [3, 1, 2], 315)
+def test_water_level_and_knapsack(spark):
+    sources = spark.createDataFrame([(10, 3.0), (100, 1.0), (100, 2.0)], "size long, weight double")
+    level = float(mixing.water_level(sources, 315))
+    targets = [min(2 * n, level * w) for n, w in ((10, 3), (100, 1), (100, 2))]
+    assert mixing.water_level(sources, 421) is None and mixing.water_level(sources.filter("false"), 0) is None
     assert targets[0] == 20 and sum(targets) == pytest.approx(315) and targets[2] == pytest.approx(2 * targets[1], rel=0.05)
     rng = np.random.default_rng(0)
     for _ in range(40):
@@ -213,7 +216,7 @@ def test_near_duplicates_brute(spark):
                 words[at] = f"edit{rng.integers(1000)}"
             texts.append(" ".join(words))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    common = near_dedup.common_buckets(frame)
+    common = near_dedup.common_shingles(frame)
     packed = []
     for t in texts:
         keys, times, *_ = near_dedup.shingles(*near_dedup.text_bytes(pa.array([t])))
