@@ -10,8 +10,8 @@ Defined results: a null or empty text or item has no words and no windows; an it
 its texts agree, else each text counts under the id; null item ids count as the empty id; repeated rows are judged each; an empty
 table of items hits nothing, and an empty table of documents gives no rows; other columns are ignored; texts are read whole.
 
-The items must fit the driver: automata are built for blocks of at most BLOCK_WORDS item words each, and a further block is a further
-pass over the same batch, so what is broadcast at a time has that bound. No shuffle.
+Items are read in order of their ids, and an automaton is built for each block of at most BLOCK_WORDS item words (or one longer item): so much the driver
+holds and broadcasts at a time. A further block is a further pass over what the one before has written. No shuffle of documents.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import give_back, pieces, span_hashes, spans, table, text_array, text_bytes
+from lumenlog.llm.common import free_name, give_back, pieces, settle, span_hashes, spans, table, text_bytes
 
 WINDOW = 10
 #: Item words of one automaton.
@@ -207,72 +208,140 @@ def find_hits(data: np.ndarray, offs: np.ndarray, matchers: list[Matcher]) -> tu
     return starts, ends, where, np.cumsum(hit)[:-1] > 0, found
 
 
-def _items(benchmark: DataFrame) -> tuple[list[str], list[str]]:
-    """Ids (as strings) and texts of the items that have words, in a fixed order. The table of items is small by its nature."""
-    rows = {("" if r["item_id"] is None else str(r["item_id"]), r["text"] or "") for r in benchmark.select("item_id", "text").toLocalIterator()}
-    return [i for i, _ in sorted(rows)], [t for _, t in sorted(rows)]
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[list[str], list[str]]]:
+    """Ids (as strings) and texts of the items that have words, by id and text, in blocks of at most block_words words."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t")).distinct().orderBy("i", "t")
+    ids, texts, size = [], [], 0
+    for r in rows.toLocalIterator():
+        if n := len(normalised([r.t])[0]):
+            if ids and size + n > block_words:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(r.i)
+            texts.append(r.t)
+            size += n
+    if ids:
+        yield ids, texts
 
 
-def count_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted)."""
-    ids, texts = _items(benchmark)
-    matchers = docs.sparkSession.sparkContext.broadcast(build_matchers(texts, window))
+def _hit_scan(matchers, ids: list[str], last: bool):
+    """For mapInArrow over doc_id, text and, after a first pass, what it found: spans of hit words (starts and ends in turn) and items. The last
+    pass gives doc_id, n_words, n_hit, items; others hand on texts, spans and items."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
-            n_words, n_hit, items = [], [], []
-            for _, _, d, o in pieces(data, offs):
-                _, _, where, hit, found = find_hits(d, o, matchers.value)
-                n_words.append(np.diff(where))
-                n_hit.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[where]))
-                items += [sorted({ids[i] for i in f}) for f in found]
-            join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), join(n_words), join(n_hit), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+            known = {c: batch.column(c).to_pylist() for c in ("spans", "items") if c in batch.schema.names}
+            n_words, n_hit, marks, items = [], [], [], []
+            for lo, _, d, o in pieces(data, offs):
+                _, _, where, hit, found = find_hits(d, o, matchers.value if matchers else [])
+                for k, names in enumerate(found):
+                    own = hit[where[k] : where[k + 1]]
+                    for a, b in zip(*(known["spans"][lo + k][i::2] for i in (0, 1)), strict=True) if known else ():
+                        own[a:b] = True
+                    n_words.append(len(own))
+                    n_hit.append(int(own.sum()))
+                    marks.append(None if last else np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))))
+                    items.append(sorted({ids[i] for i in names} | set(known["items"][lo + k] if known else ())))
+            out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "items": pa.array(items, pa.list_(pa.string()))}
+            out |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())} if last else {"text": batch.column("text"), "spans": pa.array(marks, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<string>")
+    return scan
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def count_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted)."""
+    share = docs.sparkSession.sparkContext.broadcast
+    out, blocks = docs.select("doc_id", "text"), item_blocks(benchmark, block_words)
+    block = next(blocks, None)
+    while True:
+        after = next(blocks, None)
+        matchers = share(build_matchers(block[1], window, block_words)) if block else None
+        scan, ids = _hit_scan, block[0] if block else []
+        if after is None:
+            return out.mapInArrow(scan(matchers, ids, True), "doc_id long, items array<string>, n_words long, n_hit long")
+        out = settle(out.mapInArrow(scan(matchers, ids, False), "doc_id long, items array<string>, text string, spans array<long>"), "hits")
+        matchers.destroy()
+        block = after
+
+
+def strip_hits(texts: list[bytes], matchers: list[Matcher]) -> tuple[list[bytes], list[int], list[int]]:
+    """Texts without hit spans, how many words went, and how many there were. Texts that lost words are searched again, as a new window may have
+    come together, until none is left."""
+    texts, removed, total, todo = list(texts), [0] * len(texts), [0] * len(texts), range(len(texts))
+    first = True
+    while todo:
+        data, again = np.frombuffer(b"".join(texts[k] for k in todo), np.uint8), []
+        offs = np.concatenate([[0], np.cumsum([len(texts[k]) for k in todo])])
+        starts, ends, where, hit, _ = find_hits(data, offs, matchers)
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        for j, k in enumerate(todo):
+            a, b = where[j], where[j + 1]
+            if first:
+                total[k] = int(b - a)
+            if sums[b] == sums[a]:
+                continue
+            removed[k] += int(sums[b] - sums[a])
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]])))
+            raw, parts, at = texts[k], [], 0
+            for begin, end in zip(edge[::2], edge[1::2], strict=True):
+                parts.append(raw[at : starts[a + begin] - offs[j]])
+                at = int(ends[a + end - 1] - offs[j])
+                if parts[-1][-1:].isspace() or not parts[-1]:
+                    at += raw[at : at + 1].isspace()
+            texts[k] = b"".join([*parts, raw[at:]])
+            again.append(k)
+        todo, first = again, False
+    return texts, removed, total
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the hit spans; documents of which more than max_coverage of the words are hit go altogether.
 
-    A span reaches from its first hit word to its last and takes one white space along; texts without hits stay as they are.
-    Adds removed_words. n_chars, where docs have it, follows the text.
+    A span reaches from its first hit word to its last and takes one white space along; texts without hits stay as they are, and in the result
+    nothing is hit any more. Adds removed_words (with `_` behind where docs have it). n_chars, where docs have it, follows the text.
     """
-    _, texts = _items(benchmark)
-    matchers = docs.sparkSession.sparkContext.broadcast(build_matchers(texts, window))
-
-    def clean(column: pa.Array) -> pa.Array:
-        data, offs = text_bytes(column)
-        texts, removed, total = [], [], []
-        for lo, hi, d, o in pieces(data, offs):
-            starts, ends, where, hit, _ = find_hits(d, o, matchers.value)
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            for k in range(hi - lo):
-                a, b = where[k], where[k + 1]
-                raw = d[o[k] : o[k + 1]]
-                if sums[b] > sums[a]:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]])))
-                    parts, at = [], 0
-                    for first, last in zip(edge[::2], edge[1::2], strict=True):
-                        parts.append(raw[at : starts[a + first] - o[k]].tobytes())
-                        at = ends[a + last - 1] - o[k]
-                        if parts[-1][-1:].isspace() or not parts[-1]:
-                            at += int(bytes(raw[at : at + 1]).isspace())
-                    raw = b"".join([*parts, raw[at:].tobytes()])
-                texts.append(bytes(raw).decode())
-                removed.append(int(sums[b] - sums[a]))
-                total.append(int(b - a))
-        give_back()
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(total, pa.int64())], ["text", "removed", "total"])
-
-    cleaned = F.arrow_udf(clean, "struct<text: string, removed: long, total: long>")
-    out = docs.withColumn("_clean", cleaned("text")).filter(F.col("_clean.removed") <= F.col("_clean.total") * max_coverage)
-    out = out.withColumn("text", F.when(F.col("_clean.removed") > 0, F.col("_clean.text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_clean.removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("removed_words", F.col("_clean.removed")).drop("_clean")
+    share = docs.sparkSession.sparkContext.broadcast
+    removed, words = free_name(docs, "removed_words"), free_name(docs, "_words")
+    found = free_name(docs, "_clean")
+
+    def passed(out: DataFrame, texts: list[str]) -> DataFrame:
+        matchers = share(build_matchers(texts, window, block_words))
+
+        def clean(column: pa.Array) -> pa.Array:
+            data, offs = text_bytes(column)
+            new, gone, total = [], [], []
+            for lo, hi, d, o in pieces(data, offs):
+                raw = d.tobytes()
+                for all_, part in zip((new, gone, total), strip_hits([raw[o[k] : o[k + 1]] for k in range(hi - lo)], matchers.value), strict=True):
+                    all_ += part
+            give_back()
+            return pa.StructArray.from_arrays([pa.array([x.decode() for x in new], pa.string()), pa.array(gone, pa.int64()), pa.array(total, pa.int64())], ["text", "removed", "total"])
+
+        # Not deterministic for the optimizer alone: it would else evaluate the texts once more for the filter.
+        cleaned = F.arrow_udf(clean, "struct<text: string, removed: long, total: long>").asNondeterministic()
+        here = out.withColumn(found, cleaned("text"))
+        changed = F.col(f"{found}.removed") > 0
+        here = here.withColumn("text", F.when(changed, F.col(f"{found}.text")).otherwise(F.col("text")))
+        return here.withColumn(removed, F.col(removed) + F.col(f"{found}.removed")).withColumn(words, F.coalesce(words, f"{found}.total")).drop(found)
+
+    out = docs.withColumn(removed, F.lit(0).cast("long")).withColumn(words, F.lit(None).cast("long"))
+    before, many = 0, False
+    while True:
+        for _, texts in item_blocks(benchmark, block_words):
+            out, many = settle(out, "cleaned") if many else out, True
+            out = passed(out, texts)
+        several = next(islice(item_blocks(benchmark, block_words), 1, None), None) is not None
+        if not several:
+            break
+        out = settle(out, "cleaned")  # what one block's removals bring together may be another's
+        if (now := out.agg(F.sum(removed)).first()[0] or 0) == before:
+            break
+        before = now
+    out = out.filter(F.col(removed) <= F.coalesce(words, F.lit(0)) * max_coverage).drop(words)
+    return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,16 @@ element they score 0, so that they don't part what stands around them, and so th
 FRAME; elsewhere they score negative. Inline, list and table tags, and all tags inside an article or main element, take at most half of
 the words that follow them; outside such an element they take at most all words of a link.
 
+The region then grows to whole blocks: on both sides up to the next boilerplate element and, where an element marks the content, to its ends;
+where none does, blocks of links alone at the ends are left out again. So a short paragraph behind many tags isn't lost.
+
+Boilerplate elements are told by name or by the words of class, id and role: outside of content one word of HINTS is enough, inside an article
+or main element every name in the attribute must begin or end with one of INNER, so that `ad-slot` goes and `share price` stays. An article in
+boilerplate, such as a teaser in a sidebar or a reader's comment, is boilerplate. An element that is never closed ends where an article begins.
+
 Defined results: null html is the empty page; a page without words, or whose best region scores nothing, has the empty text;
 unclosed, nested and cut-off markup is read as far as it goes; of equal regions the first counts; repeated rows are extracted each;
-an empty table gives no rows; other columns are ignored; pages are read whole. Map-only: no shuffle.
+an empty table gives no rows; other columns are ignored; pages are read whole, in time linear in the page. Map-only: no shuffle.
 """
 
 from __future__ import annotations
@@ -15,32 +22,35 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import least_hashes, table, text_array
+from lumenlog.llm.common import free_name, table, text_array
 
 #: Pages that tag weights are learned from, at most.
 SAMPLE_PAGES = 500
-#: Elements that are never content, and attribute words that mark others as such.
+#: Elements that are never content, and words of attributes that mark others as such: anywhere, and outside an article or main element.
 BOILERPLATE = frozenset("nav footer aside form menu dialog select button iframe noscript template object head title textarea svg canvas".split())
-HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|comments?|disqus|replies|reply|respond|related|share|sharing|social|footer|masthead|site-header|login|search|widget|legal|copyright|skip-link)(?:$|[\s_-])", re.I)
+INNER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent notice popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies reply respond related share sharing social footer masthead widget".split())
+OUTER = frozenset("banner site-header login search legal copyright skip-link".split())
+HINTS = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(sorted(INNER | OUTER))}|side-bar)(?:$|[\s_-])", re.I)
 #: Elements between which text is in different blocks.
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title".split())
 #: Boilerplate that parts the content of a page from the rest also where no element marks the content.
 FRAME = frozenset("head header nav footer".split())
 #: Inline, list and table elements, whose tags can't outweigh their words.
 LIGHT = frozenset("a abbr b bdi bdo big caption cite code col colgroup data dd del dfn dl dt em font i img ins kbd li mark ol q s samp small span strike strong sub sup table tbody td tfoot th thead time tr tt u ul var".split())
+#: Elements whose inside is no markup.
+_RAW = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "title", "textarea", "noscript", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-z/!?][^<>]*\Z",
-    re.I | re.S,
-)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-z][^\s/>]*)|[!?/])", re.I)
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")  # to the end of a tag; never goes back
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Tags of a page with quotes that nothing closes; from then on its quotes aren't looked at, so that no page takes more than linear time.
+STRAY_QUOTES = 32
 
 #: Score of a word in content, of one in boilerplate, and the bounds of a tag's.
 WORD, OUTSIDE, LEAST, MOST = 1.0, -1.0, -3.0, -0.05
@@ -48,66 +58,123 @@ WORD, OUTSIDE, LEAST, MOST = 1.0, -1.0, -3.0, -0.05
 UNSEEN = -0.5
 
 
-def items(html: str):
-    """The page in order: (text, None, inside boilerplate) and (None, tag as "p" or "/p", inside boilerplate)."""
-    at, shut, depth, content = 0, "", 0, 0
-    for m in _MARKUP.finditer(html):
+def markup(html: str) -> list[tuple[str | None, str | None, str]]:
+    """The page in order: (text, None, "") and (None, tag as "p", "/p" or "!", attributes). A raw element is its closing tag alone."""
+    out, at, stray = [], 0, 0
+    while m := _OPEN.search(html, at):
         if m.start() > at:
-            yield html[at : m.start()], None, depth > 0
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            yield None, "/" + m[1].lower() if m[1] else "!", True
+            out.append((html[at : m.start()], None, ""))
+        name = (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = html.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(html)
+            out.append((None, "!", ""))
             continue
-        tag = m[2] + name
-        if name in ("article", "main"):
-            content += -1 if m[2] else 1
-            if not m[2]:
-                depth = 0
+        rest = _REST.match(html, m.end()) if stray < STRAY_QUOTES else None
+        if rest is None:
+            stray += 1
+            end = html.find(">", m.end())
+            at = end + 1 if end >= 0 else len(html)
+        else:
+            at = rest.end()
+        attributes = html[m.end() : at].rstrip(">")
+        if not m[1] and name in _RAW:
+            end = _RAW[name].search(html, at)
+            at = end.end() if end else len(html)
+            out.append((None, "/" + name, "raw"))
+        else:
+            out.append((None, (m[1] or "") + name if name else "!", attributes))
+    if at < len(html):
+        out.append((html[at:], None, ""))
+    return out
+
+
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether the attributes mark an element as boilerplate."""
+    if name in ("html", "body", "main") or not attributes:
+        return False
+    for found in _ATTRIBUTE.findall(attributes):
+        value = "".join(found)
+        if inside or name == "article":
+            ends = [(w[0], w[-1]) for w in (re.split("[-_]", v) for v in value.lower().split())]
+            if ends and all(a in INNER or b in INNER for a, b in ends):
+                return True
+        elif HINTS.search(value):
+            return True
+    return False
+
+
+def items(html: str) -> list[tuple[str | None, str | None, bool]]:
+    """The page in order: (text, None, inside boilerplate) and (None, tag as "p" or "/p", inside boilerplate)."""
+    seq, open_at, closed = markup(html), {}, set()
+    for k, (_, tag, attributes) in enumerate(seq):
+        if tag is None or attributes == "raw":
+            continue
+        if tag[0] != "/":
+            open_at.setdefault(tag, []).append(k)
+        elif before := open_at.get(tag[1:]):
+            closed.add(before.pop())
+    out, shut, ends, depth, content = [], "", False, 0, 0
+    for k, (text, tag, attributes) in enumerate(seq):
+        if tag is None or tag == "!" or attributes == "raw":
+            out.append((text, tag, depth > 0 or tag is not None))
+            continue
+        name = tag.lstrip("/")
+        if depth and name in ("article", "main") and tag[0] != "/" and not ends:
+            depth = 0  # the element around it is never closed
         if depth:
             if name == shut:
-                depth += -1 if m[2] else 1
-            yield None, tag, True
+                depth += -1 if tag[0] == "/" else 1
+            out.append((None, tag, True))
             continue
-        if not m[2] and name not in _VOID and not m[4].endswith("/"):
-            marks = any(HINTS.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(m[4])) if m[4] else False
-            if name in BOILERPLATE or (name == "header" and content <= 0) or (marks and name not in ("html", "body", "article", "main")):
-                shut, depth = name, 1
-        yield None, tag, depth > 0
-    if at < len(html):
-        yield html[at:], None, depth > 0
+        if tag[0] != "/" and name not in _VOID and not attributes.endswith("/"):
+            if name in BOILERPLATE or (name == "header" and content <= 0) or _marked(name, attributes, content > 0):
+                shut, ends, depth = name, k in closed, 1
+        if name in ("article", "main") and not depth:
+            content += -1 if tag[0] == "/" else 1
+        out.append((None, tag, depth > 0))
+    return out
+
+
+def tag_counts(page: str) -> dict[str, list[int]]:
+    """How often each tag, and as "" words, come inside and outside the page's articles; empty where it marks none."""
+    seq, inside, counts = items(page), 0, {"": [0, 0]}
+    if all(tag != "article" or out for _, tag, out in seq):
+        return {}
+    for text, tag, out in seq:
+        if tag == "article" and not out:
+            inside = 1
+        counts.setdefault(tag or "", [0, 0])[inside] += 1 if text is None else len(text.split())
+        if tag == "/article" and not out:
+            inside = 0
+    return counts
+
+
+def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Tag scores: the log-ratio of a tag's rate per word inside to outside, within LEAST and MOST. counts: outside and inside."""
+    words = counts.get("", (0, 0))
+    rate = lambda k, n: (n[k] + 0.5) / (words[k] + 1)
+    return {t: min(MOST, max(LEAST, math.log(rate(1, n) / rate(0, n)))) for t, n in sorted(counts.items()) if t}
 
 
 def learn_weights(pages: list[str]) -> dict[str, float]:
-    """Tag scores from pages that mark their article: the log-ratio of a tag's rate per word inside to outside, within LEAST and MOST."""
-    counts, words = (Counter(), Counter()), [0, 0]
+    """Tag scores from pages that mark their article."""
+    total: dict[str, list[int]] = {}
     for page in pages:
-        if "<article" not in page.lower():
-            continue
-        inside = 0
-        for text, tag, _ in items(page):
-            if tag == "article":
-                inside = 1
-            if text is None:
-                counts[inside][tag] += 1
-            else:
-                words[inside] += len(text.split())
-            if tag == "/article":
-                inside = 0
-    rate = lambda k, t: (counts[k][t] + 0.5) / (words[k] + 1)
-    return {t: min(MOST, max(LEAST, math.log(rate(1, t) / rate(0, t)))) for t in sorted(counts[0] | counts[1])}
+        for tag, n in tag_counts(page).items():
+            old = total.setdefault(tag, [0, 0])
+            total[tag] = [old[0] + n[0], old[1] + n[1]]
+    return weights_of(total)
 
 
-def extract(html: str, weights: dict[str, float]) -> str:
-    """The text of the best region: its blocks, white space folded, joined by an empty line."""
-    seq = list(items(html))
-    marked = any(tag in ("article", "main") for _, tag, _ in seq)
+def _region(seq: list, weights: dict[str, float], marked: bool) -> tuple[int, int]:
+    """The first and the last + 1 item of the maximum-scoring subsequence."""
     best, start, stop, run, begin = 0.0, 0, 0, 0.0, 0
     content, frame, link, owed = 0, False, False, 0.0  # owed: what light tags cost that no words have paid yet
     for k, (text, tag, out) in enumerate(seq):
         n = len(text.split()) if tag is None else 0
         name = (tag or "").lstrip("/")
-        if name in ("article", "main"):
+        if name in ("article", "main") and not out:
             content += -1 if tag[0] == "/" else 1
         frame = out and (frame or tag in FRAME)
         if out:
@@ -128,6 +195,42 @@ def extract(html: str, weights: dict[str, float]) -> str:
             run, begin = 0.0, k + 1
         elif run > best:
             best, start, stop = run, begin, k + 1
+    return start, stop
+
+
+def _grown(seq: list, start: int, stop: int) -> tuple[int, int]:
+    """The region with what stands around it in the same content: up to boilerplate text or the ends of an article or main element. Where no such
+    element holds the region, blocks of links alone at its ends are left out."""
+    level, levels = 0, []
+    for _, tag, out in seq:
+        if tag in ("article", "main") and not out:
+            level += 1
+        levels.append(level)
+        if tag in ("/article", "/main") and not out:
+            level -= 1
+    inside = max(levels[start:stop]) > 0
+    stays = lambda k: levels[k] > 0 if inside else levels[k] == 0 and not seq[k][2]
+    low, high = start, stop
+    while low > 0 and stays(low - 1):
+        low -= 1
+    while high < len(seq) and stays(high):
+        high += 1
+    if not inside:
+        linked, link = [], False
+        for text, tag, out in seq[low:high]:
+            link = tag == "a" if tag in ("a", "/a") else link
+            linked.append(None if text is None or out or not text.strip() else link)
+        plain = [k for k, x in enumerate(linked) if x is False]
+        low, high = (min(start, low + plain[0]), max(stop, low + plain[-1] + 1)) if plain else (start, stop)
+    return low, high
+
+
+def extract(html: str, weights: dict[str, float]) -> str:
+    """The text of the best region: its blocks, white space folded, joined by an empty line."""
+    seq = items(html)
+    start, stop = _region(seq, weights, any(tag in ("article", "main") and not out for _, tag, out in seq))
+    if start < stop:
+        start, stop = _grown(seq, start, stop)
     blocks, part = [], []
 
     def flush() -> None:
@@ -147,21 +250,34 @@ def extract(html: str, weights: dict[str, float]) -> str:
     return "\n\n".join(blocks)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total: dict[str, list[int]] = {}
+        for page in text_array(batch.column("html")).to_pylist():
+            for tag, n in tag_counts(page).items():
+                old = total.setdefault(tag, [0, 0])
+                total[tag] = [old[0] + n[0], old[1] + n[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([n[0] for n in total.values()], pa.int64()), pa.array([n[1] for n in total.values()], pa.int64())], ["tag", "outside", "inside"])
+
+
 def labelled_weights(pages: DataFrame, rows: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights from at most rows pages that mark their article, chosen by a hash of the id."""
-    marked = pages.filter(F.col("html").contains("<article")).select("page_id", "html")
-    sample = least_hashes(marked, F.xxhash64("page_id"), rows)
-    return learn_weights([r["html"] for r in sample.select("html").collect()])
+    """Weights from at most rows different pages that mark their article, chosen by a hash. Tags are counted where the pages lie; counts alone come to the driver."""
+    marked = pages.filter(F.col("html").rlike("(?i)<article")).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    last = marked.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return {}
+    found = marked.filter(F.col("h") <= last).dropDuplicates(["h"]).mapInArrow(_counted, "tag string, outside long, inside long")
+    return weights_of({r.tag: (r.outside, r.inside) for r in found.groupBy("tag").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside")).collect()})
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """pages with text."""
+    """pages with text (`text_` where they have a column of that name)."""
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
         return pa.array([extract(x, weights) for x in text_array(column).to_pylist()], pa.string())
 
-    return pages.withColumn("text", text("html"))
+    return pages.withColumn(free_name(pages, "text"), text("html"))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
-"""Media columns by content-defined payload chunking: a rolling gear hash cuts media into chunks, Spark joins keep one copy of each chunk by
-digest, and ordered chunk lists give the media back, verified by digest. Chunks are kept compressed with a dictionary that is trained
-on a bounded sample of the texts.
+"""Media columns by content-defined payload chunking: a rolling gear hash cuts media into chunks, one copy of each chunk is kept by
+digest, and ordered chunk lists, joined with the chunks, give the media back, verified by digest. Chunks that an earlier store holds are left out by
+a join; among new ones an aggregate by digest, the shuffle that a join would take, picks the copy. Chunks are compressed with a dictionary that is
+trained on a bounded sample of the texts (its beginnings; the dictionary changes the sizes of stored chunks only). Texts are cut twice, for
+the lists and for the chunks, as writing both at once would keep every task's chunks on disk before they are deduplicated.
 
 A text's payload (its UTF-8 bytes, padded with zeros to a positive multiple of 64) is stored as the samples of an 8-bit mono WAV
 file; the file is what is chunked. Where equal chunks lie in different media, one copy is kept; equal media share one chunk list.
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import least_hashes, settle, table, text_array
+from lumenlog.llm.common import SALTS, join_hot, least_hashes, settle, table, text_array
 
 #: Least, usual and most bytes of a chunk; a cut is where the gear hash's top bits are all zero.
 LEAST, USUAL, MOST = 4096, 16384, 65536
@@ -82,7 +84,8 @@ def cuts(media: bytes, least: int = LEAST, usual: int = USUAL, most: int = MOST)
 
 
 def media_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over doc_id, text: each document's medium, its size and its chunk list."""
+    """For mapInArrow over doc_id, text: each document's medium, its size, its chunk list, and salt (rows of a task in turn)."""
+    done = 0
     for batch in batches:
         out = {k: [] for k in ("n_bytes", "media", "size", "list")}
         for text in text_array(batch.column("text")).to_pylist():
@@ -92,7 +95,8 @@ def media_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [hashlib.sha256(media[a:b]).digest() for a, b in zip([0, *ends], ends, strict=False)]
             for k, v in zip(out, (n, names[0] if len(names) == 1 else hashlib.sha256(media).digest(), len(media), names), strict=True):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["media"], pa.binary()), pa.array(out["size"], pa.int64()), pa.array(out["list"], pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "size", "list"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["media"], pa.binary()), pa.array(out["size"], pa.int64()), pa.array(out["list"], pa.list_(pa.binary())), pa.array(np.arange(done, done + len(batch)) % SALTS, pa.int32())], ["doc_id", "n_bytes", "media", "size", "list", "salt"])
+        done += len(batch)
 
 
 def _chunks(dictionary: bytes):
@@ -130,12 +134,15 @@ def train_dictionary(docs: DataFrame, rows: int = SAMPLE_TEXTS) -> bytes:
         return b""
 
 
-def store_texts(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame]:
-    """Two tables: media (doc_id, n_bytes, media, size, list: the ordered chunk list of each document) and chunks (digest, data, part), one of each digest."""
+def store_texts(docs: DataFrame, dictionary: bytes, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two tables: media (doc_id, n_bytes, media, size, list: the ordered chunk list of each document) and chunks (digest, data, and whether it is part of a
+    medium, or a whole one), one of each digest. known: an earlier store's chunks, compressed with the same dictionary, which aren't stored again."""
     docs = docs.select("doc_id", "text")
-    lists = settle(docs.mapInArrow(media_lists, "doc_id long, n_bytes long, media binary, size long, list array<binary>"), "media")
+    lists = settle(docs.mapInArrow(media_lists, "doc_id long, n_bytes long, media binary, size long, list array<binary>, salt int"), "media")
     sent = docs.select("text").mapInArrow(_chunks(dictionary), "digest binary, data binary, part boolean")
-    return lists, settle(sent.groupBy("digest").agg(F.first("data").alias("data"), F.bool_or("part").alias("part")), "chunks")
+    if known is not None:
+        sent = sent.join(known.select("digest"), "digest", "left_anti")
+    return lists, settle(sent.groupBy("digest").agg(F.first("data").alias("data"), F.bool_or("part").alias("part"), F.bool_or(~F.col("part")).alias("whole")), "chunks")
 
 
 def _tell(media: bytes, digest: bytes) -> tuple:
@@ -163,13 +170,12 @@ def _unpacker(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 
 def _read_single(dictionary: bytes):
-    """For mapInArrow over chunks: those that are whole media, whose digest is then the medium's."""
+    """For mapInArrow over chunks that are whole media, whose digest is then the medium's."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = _unpacker(dictionary)
         for batch in batches:
-            found = ((d, unpack.decompress(x)) for d, x in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), strict=True))
-            yield _told([(d, m) for d, m in found if m[:4] == b"RIFF" and len(m) == 8 + int.from_bytes(m[4:8], "little")])
+            yield _told([(d, unpack.decompress(x)) for d, x in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), strict=True)])
 
     return read
 
@@ -187,7 +193,7 @@ def _read_several(dictionary: bytes):
 
 def read_texts(lists: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame:
     """Each medium's payload figures, from its chunks in order. Media of one chunk are read where it lies; only the chunks of others travel."""
-    single = chunks.select("digest", "data").mapInArrow(_read_single(dictionary), TOLD)
+    single = chunks.filter("whole").select("digest", "data").mapInArrow(_read_single(dictionary), TOLD)
     several = lists.filter(F.size("list") > 1).dropDuplicates(["media"]).select("media", F.posexplode("list").alias("place", "digest"))
     placed = several.join(chunks.filter("part").select("digest", "data"), "digest").select("media", F.struct("place", "data").alias("part"))
     many = placed.groupBy("media").agg(F.sort_array(F.collect_list("part")).alias("parts"))
@@ -199,7 +205,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     dictionary = train_dictionary(docs)
     lists, chunks = store_texts(docs, dictionary)
     told = settle(read_texts(lists, chunks, dictionary), "told").dropDuplicates(["media"])
-    return lists.select("doc_id", "n_bytes", "media", F.col("size").alias("media_bytes")).join(told, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
+    return join_hot(lists.select("doc_id", "n_bytes", "media", F.col("size").alias("media_bytes"), "salt"), told, ["media"], "salt").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
 
 
 def op5_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import IS_DARK, give_back, held_out, pieces, span_hashes, spans, table, text_bytes
+from lumenlog.llm.common import IS_DARK, free_name, give_back, held_out, pieces, span_hashes, spans, table, text_bytes
 from lumenlog.llm.learning import SAMPLE_ROWS, folds, hinge_dual, labelled_sample, platt, sigmoid
 
 DIMS = 1 << 16
@@ -92,8 +92,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float
     counts = np.full((2, DIMS), alpha)
     for ids, label in zip(rows, y, strict=True):
         counts[int(label), ids] += 1
-    p = counts / np.maximum(np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 2 * alpha, 1)
-    ratio = np.log(p[1] / (1 - p[1]).clip(1e-9)) - np.log(p[0] / (1 - p[0]).clip(1e-9))
+    p = counts / counts.sum(1, keepdims=True)
+    ratio = np.log(p[1] / p[0])
     w = hinge_dual([(ids, ratio[ids] / np.sqrt(max(len(ids), 1))) for ids in rows], np.where(y == 1, 1.0, -1.0), DIMS, c)
     return w[:-1] * ratio, float(w[-1])
 
@@ -133,7 +133,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted (1 from the threshold on); map-only."""
+    """docs with score and predicted (1 from the threshold on), with `_` behind where docs have such columns; map-only."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -141,7 +141,8 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
         give_back()
         return found
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    at, say = free_name(docs, "score"), free_name(docs, "predicted")
+    return docs.withColumn(at, score("text")).withColumn(say, (F.col(at) >= threshold).cast("int"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 punctuation and obfuscation rates), with isotonic calibration of out-of-fold margins.
 
 Two lexicons: seed words of insult, and word beginnings and words learned from the labelled sample (those that are far likelier
-in toxic documents). Training rows get their densities of the learned lexicon from one that was learned without them.
+in toxic documents). Training rows get their densities of the learned lexicon from one that was learned without them, and the margins that
+calibrate come from folds whose rows neither the lexicons nor the trees have seen.
 
 Defined results: null and empty texts have all features 0; texts are read whole; repeated rows are scored each; an
 empty table gives no rows; without labels of both classes every score is the share of label 1 (0.5 without any); other
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import IS_DARK, IS_WORD, LOWER, RunHasher, give_back, held_out, pieces, span_hashes, spans, table, text_bytes, word_hash
+from lumenlog.llm.common import IS_DARK, IS_WORD, LOWER, RunHasher, free_name, give_back, held_out, pieces, span_hashes, spans, table, text_bytes, word_hash
 from lumenlog.llm.learning import SAMPLE_ROWS, Trees, boost, folds, isotonic, labelled_sample
 
 #: Texts with a score from here on count as toxic.
@@ -52,7 +53,7 @@ _PUNCT = IS_DARK & ~IS_WORD
 #: Bytes of word beginnings in the learned lexicon; 0 stands for whole words.
 BEGINNINGS = (4, 6, 7, 0)
 #: Log-odds and least share of the toxic rows (and least rows) that a beginning needs.
-LEARN_ODDS, LEARN_SHARE, LEARN_ROWS = 3.0, 0.02, 4
+LEARN_ODDS, LEARN_SHARE, LEARN_ROWS = 3.0, 0.01, 4
 
 FEATURES = ("words", "insults", "insult_density", "kinds", "hidden_density", "second_person", "near_density", "upper", "shouted", "punctuation", "exclamations", "digits_inside")
 
@@ -184,15 +185,22 @@ def fit(x: np.ndarray, units: list[Units], y: np.ndarray) -> ToxicModel:
         p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return ToxicModel(boost(x[:0], y[:0]), [], np.array([0.0]), np.array([p]))
     fold, words = folds(len(y)), np.expm1(x[:, 0]).round()
-    extra = np.zeros((len(y), 2 * len(BEGINNINGS)))
-    for k in range(3):
-        rows = np.flatnonzero(fold == k)
-        known = learn([u for u, f in zip(units, fold, strict=True) if f != k], y[fold != k])
-        extra[rows] = learned_features([units[i] for i in rows], words[rows], known)
-    x, margin = np.concatenate([x, extra], 1), np.zeros(len(y))
-    for k in range(3):
-        margin[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return ToxicModel(boost(x, y), learn(units, y), *isotonic(margin, y))
+    learned = lambda rows: learn([units[i] for i in rows], y[rows])
+    told = lambda rows, lexicon: learned_features([units[i] for i in rows], words[rows], lexicon)
+
+    def crossed(rows: np.ndarray) -> np.ndarray:
+        """All features of rows, those of the learned lexicon from one that was learned from rows of other folds."""
+        extra, part = np.zeros((len(rows), 2 * len(BEGINNINGS))), folds(len(rows))
+        for k in range(3):
+            extra[part == k] = told(rows[part == k], learned(rows[part != k]))
+        return np.concatenate([x[rows], extra], 1)
+
+    margin = np.zeros(len(y))
+    for k in range(3):  # nested: nothing that scores a fold, lexicon or trees, has seen it
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        margin[own] = boost(crossed(rest), y[rest]).margin(np.concatenate([x[own], told(own, learned(rest))], 1))
+    every = np.arange(len(y))
+    return ToxicModel(boost(crossed(every), y), learned(every), *isotonic(margin, y))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +228,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted (1 from the threshold on); map-only."""
+    """docs with score and predicted (1 from the threshold on), with `_` behind where docs have such columns; map-only."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -228,7 +236,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESH
         give_back()
         return found
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    at, say = free_name(docs, "score"), free_name(docs, "predicted")
+    return docs.withColumn(at, score("text")).withColumn(say, (F.col(at) >= threshold).cast("int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

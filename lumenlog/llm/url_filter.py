@@ -1,8 +1,12 @@
 """URL filters: explicit rules by longest match; for all other urls the host is split into words by unigram Viterbi and
 a multinomial naive Bayes model scores the words of host and path.
 
+The unigrams are counted over all urls: the words of paths, and the parts of host labels that a hyphen splits, as whole labels may be names yet to
+be split; the VOCABULARY most frequent count. No table labels urls: the urls that rules decide are labelled by what the rules say (a language,
+say), not by what a name says, and fitted to them the model would block clean pages of a language. So the classes are fitted to seed names.
+
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is judged by the prior (allow);
-repeated rows are judged alike, each on its own; an empty table gives no rows; other columns are ignored. Map-only: no shuffle.
+repeated rows are judged alike, each on its own; an empty table gives no rows and the seeds' unigrams; other columns are ignored. Words of one letter say nothing. One small aggregate, then map-only.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -22,10 +26,13 @@ from lumenlog.llm.common import table
 #: (host, path, action).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-#: Labelled seed names and paths that the models are fitted to, split into their words. The tables hold no labels of urls.
+#: Words of the urls that segmentation knows, at most (those of the seeds besides), and the least number of urls with a word.
+VOCABULARY, LEAST_URLS = 50_000, 2
+
+#: Labelled seed names and paths that the classes are fitted to, split into their words.
 BLOCK_SEEDS = (
     "casino win", "online casino bonus", "casino royal slots", "free bets", "sports betting tips", "best bets", "poker jackpot", "lucky slots win", "lottery winner", "roulette spin casino",
-    "cheap pills", "pills online pharmacy", "viagra cheap", "buy cialis cheap", "diet pills", "adult x", "adult video xxx", "porn tube", "xxx sex cams", "nude girls", "sex dating hookup", "escort adult",
+    "cheap pills", "pills online pharmacy", "viagra cheap", "buy cialis cheap", "diet pills", "adult chat", "adult video xxx", "porn tube", "xxx sex cams", "nude girls", "sex dating hookup", "escort adult",
     "spam farm", "link farm spam", "spam links", "ads track", "ad server", "ads popup banner", "track click ads", "tracker pixel", "click tracking", "malware download", "phishing login", "warez crack keygen",
     "torrent crack", "replica watches cheap", "payday loans", "quick loans cash", "win cash prize", "hacked accounts",
 )
@@ -38,16 +45,16 @@ ALLOW_SEEDS = (
 
 
 class UrlModel:
-    """Word segmentation and naive Bayes, both fitted to labelled seeds. A plain, small, picklable object."""
+    """Word segmentation by unigrams, of the seeds and of words with counts, and naive Bayes fitted to labelled seeds. A plain, picklable object of a bounded size."""
 
-    def __init__(self, block: Sequence[str] = BLOCK_SEEDS, allow: Sequence[str] = ALLOW_SEEDS, prior_block: float = 0.2, alpha: float = 0.5):
+    def __init__(self, block: Sequence[str] = BLOCK_SEEDS, allow: Sequence[str] = ALLOW_SEEDS, prior_block: float = 0.2, alpha: float = 0.5, words: Mapping[str, int] | None = None):
         counts = [Counter(w for s in seeds for w in s.split()) for seeds in (allow, block)]
-        words = sorted(counts[0] | counts[1])
-        total = sum((counts[0] + counts[1]).values())
-        self.unigram = {w: math.log((counts[0][w] + counts[1][w]) / total) for w in words}
-        self.total, self.longest = total, max(map(len, words), default=1)
-        sums = [sum(c.values()) + alpha * len(words) for c in counts]
-        self.odds = {w: math.log((counts[1][w] + alpha) / sums[1]) - math.log((counts[0][w] + alpha) / sums[0]) for w in words}
+        named = sorted(counts[0] | counts[1])
+        known = counts[0] + counts[1] + Counter(words or {})
+        self.total, self.longest = sum(known.values()), max(map(len, known), default=1)
+        self.unigram = {w: math.log(n / self.total) for w, n in known.items()}
+        sums = [sum(c.values()) + alpha * len(named) for c in counts]
+        self.odds = {w: math.log((counts[1][w] + alpha) / sums[1]) - math.log((counts[0][w] + alpha) / sums[0]) for w in named if len(w) > 1}
         self.prior = math.log(prior_block / (1 - prior_block))
 
     def segment(self, name: str) -> list[str]:
@@ -96,21 +103,32 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, action
 
 
+def url_words(pages: DataFrame, rows: int = VOCABULARY, least: int = LEAST_URLS) -> dict[str, int]:
+    """In how many urls each word comes: words of paths, and parts of host labels with a hyphen. The rows most frequent, ties in text order."""
+    host, path = url_parts(F.col("url"))
+    labels = F.filter(F.split(host, r"[^a-z0-9-]+"), lambda x: x.contains("-"))
+    found = F.array_distinct(F.split(F.concat_ws(" ", labels, F.lower(path)), "[^a-z0-9]+"))
+    counts = pages.select(F.explode(found).alias("word")).filter("word rlike '[a-z]'").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(rows).collect()}
+
+
 def judge_urls(pages: DataFrame, model: UrlModel | None = None, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.0) -> DataFrame:
-    """page_id, host, path, rule, verdict, log_odds (null where a rule decides). Block where the log-odds exceed the threshold."""
-    model = model or UrlModel()
+    """page_id, host, path, rule, verdict, log_odds (null where a rule decides). Block where the log-odds exceed the threshold. Without a model, one with the urls' own words."""
+    model = model or UrlModel(words=url_words(pages))
 
     @F.pandas_udf("double")
     def odds(host: pd.Series, path: pd.Series) -> pd.Series:
         segment = lru_cache(1 << 14)(model.segment)
-        return pd.Series([model.log_odds(h, p, segment) for h, p in zip(host, path, strict=True)], dtype="float64")
+        return pd.Series([None if h is None else model.log_odds(h, p, segment) for h, p in zip(host, path, strict=True)], dtype="float64")
 
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = longest_rule(F.col("host"), F.col("path"), rules)
-    out = parts.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), odds("host", "path").alias("score"))
-    learned = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("action", learned).alias("verdict"), F.when(F.col("rule").isNull(), F.col("score")).alias("log_odds"))
+    judged = parts.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
+    open_host = F.when(F.col("rule").isNull(), F.col("host"))  # what a rule decides isn't scored
+    out = judged.select("*", odds(open_host, "path").alias("log_odds"))
+    learned = F.when(F.col("log_odds") > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("action", learned).alias("verdict"), "log_odds")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
