@@ -1,14 +1,16 @@
 """The corpus pipeline: documents through quality, toxicity, near-dedup, decontamination and mixing.
 
 Every stage takes (spark, docs, sf_dir) and returns documents with the columns of the table; the last adds `copy`, the number
-of the repetition, for documents that the mix takes more than once.
+of the repetition, for documents that the mix takes more than once (`copy_` where documents have a column `copy`). Columns of documents with
+names that the stages use themselves (score, predicted, removed_words, key, ...) come out as they went in.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlog.llm.common import settle, table
+from lumenlog.llm.common import free_name, settle, table
 from lumenlog.llm.decontaminate import decontaminate
 from lumenlog.llm.mixing import mix_rows
 from lumenlog.llm.near_dedup import keep_one
@@ -19,13 +21,13 @@ from lumenlog.llm.toxicity import score_toxicity, train_toxicity
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts."""
     model = train_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return score_quality(docs, model).filter("predicted = 1").select(docs.columns)
+    return score_quality(docs, model).filter(F.col(free_name(docs, "predicted")) == 1).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the toxicity classifier passes."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return score_toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+    return score_toxicity(docs, model).filter(F.col(free_name(docs, "predicted")) == 0).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: SQL can't express the trained and hashed stages; the tests compare them with brute force.
+#: SQL can't express the trained and hashed stages; tests/llm/test_stages.py holds each stage, on what the one before kept, against brute force.
 ORACLE_SQL = None
 
 
