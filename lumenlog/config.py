@@ -56,6 +56,10 @@ class Settings:
     routes: tuple[tuple[str, str], ...]
     metrics_file: str | None
     max_line_length: int
+    state_file: str | None = None
+    mapping: str | None = None
+    mapping_key: str = "default_key"
+    sanitize_unparseable: bool = False
 
 
 def _section(doc: Mapping, name: str) -> Mapping:
@@ -80,23 +84,23 @@ def parse_rules(doc: Mapping) -> tuple[Rule, ...]:
 
 
 def _thresholds(detector: str, told: object, default: float) -> tuple[float, dict[tuple[str, str], float]]:
-    """A threshold is one number, or numbers by source with an optional default."""
+    """A threshold is one number, `auto` (the initial one, which feedback then tunes), or either by source with an optional default."""
+    value = lambda v: default if v is None or str(v).lower() == "auto" else float(v)
     if not isinstance(told, Mapping):
-        return float(default if told is None else told), {}
-    return float(told.get("default", default)), {(detector, source): float(v) for source, v in told.items() if source != "default"}
+        return value(told), {}
+    return value(told.get("default")), {(detector, source): value(v) for source, v in told.items() if source != "default"}
 
 
 def parse_detectors(doc: Mapping) -> DetectorConfig:
+    """Thresholds and windows of the detectors; each may have a window size of its own."""
     algorithms = _section(doc, "algorithms")
-    frequency, rate, pattern = (_section(algorithms, k) for k in ("frequency", "error_rate", "pattern"))
-    sizes = {float(s["window_size_seconds"]) for s in (frequency, rate, pattern) if "window_size_seconds" in s}
-    if len(sizes) > 1:
-        raise ValueError("window_size_seconds: one size for all detectors")
-    multiplier, by_source = _thresholds("frequency", frequency.get("threshold_multiplier"), 3.0)
-    z, more = _thresholds("error_rate", rate.get("z_score_threshold"), 2.5)
+    parts = {"frequency": _section(algorithms, "frequency"), "error_rate": _section(algorithms, "error_rate"), "pattern": _section(algorithms, "pattern")}
+    frequency, rate, pattern = parts.values()
+    multiplier, by_source = _thresholds("frequency", frequency.get("threshold_multiplier"), float(frequency.get("initial_threshold_multiplier", 3.0)))
+    z, more = _thresholds("error_rate", rate.get("z_score_threshold"), float(rate.get("initial_z_score_threshold", 2.5)))
     return DetectorConfig(
-        window_seconds=sizes.pop() if sizes else 300.0, alpha=float(frequency.get("alpha", 0.3)), multiplier=multiplier, history=int(rate.get("k_windows", 20)), z_threshold=z,
-        min_samples=int(pattern.get("min_samples", doc.get("min_samples", 100))), disappear_windows=int(pattern.get("disappear_windows", 3)), overrides={**by_source, **more},
+        window_seconds=300.0, windows={k: float(v["window_size_seconds"]) for k, v in parts.items() if "window_size_seconds" in v}, alpha=float(frequency.get("alpha", 0.3)), multiplier=multiplier, history=int(rate.get("k_windows", 20)), z_threshold=z,
+        min_samples=int(pattern.get("min_samples", doc.get("min_samples", 100))), disappear_windows=int(pattern.get("disappear_windows", 3)), overrides={**by_source, **more}, weights={str(k): float(v) for k, v in (doc.get("source_weights") or {}).items()},
     )
 
 
@@ -145,6 +149,7 @@ def parse_settings(doc: object) -> Settings:
         dedup_seconds=int(anomaly.get("suppression_window_seconds", 600)), correlate_seconds=int(anomaly.get("correlation_window_seconds", 30)), max_resolved=int(anomaly.get("max_resolved_alerts", 100)),
         suppression=parse_suppression(anomaly.get("suppression_rules") or []), webhook=Webhook(**{k: v for k, v in _section(anomaly, "webhook").items() if v is not None}),
         routes=tuple((r.get("level_match") or r["match"], r.get("output_target") or r["output"]) for r in stream.get("route_rules") or []), metrics_file=stream.get("metrics_file"), max_line_length=int(_section(stream, "tail").get("max_line_length", 65536)),
+        state_file=doc.get("state_file"), mapping=_section(doc, "sanitizers").get("mapping_store"), mapping_key=str(_section(doc, "sanitizers").get("hmac_key") or "default_key"), sanitize_unparseable=bool(parser.get("sanitize_unparseable")),
     )
 
 

@@ -25,6 +25,9 @@ STAMP_DASHED = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:
 STAMP_SLASHED = r"\d{4}/\d{2}/\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?"
 STAMP_ACCESS = r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}\s*[+-]\d{4}"
 STAMP_SYSLOG = r"[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
+STAMP_MAIL = r"[A-Z][a-z]{2},\s+\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}\s+\d{2}:\d{2}:\d{2}\s+[+-]\d{4}"
+STAMP_ANY = "|".join((STAMP_DASHED, STAMP_SLASHED, STAMP_ACCESS, STAMP_SYSLOG, STAMP_MAIL))
+LEVEL_NAMES = {"DEBUG": "DEBUG", "TRACE": "TRACE", "INFO": "INFO", "WARN": "WARN", "WARNING": "WARN", "ERROR": "ERROR", "CRITICAL": "ERROR", "FATAL": "ERROR"}
 # JSON keys, in the order in which they are tried.
 TIME_KEYS = ("timestamp", "time", "date", "@timestamp", "ts", "datetime")
 LEVEL_KEYS = ("level", "log_level", "severity", "loglevel", "priority")

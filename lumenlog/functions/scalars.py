@@ -63,30 +63,34 @@ def generalize_email(v: Column) -> Column:
 
 def parse_log_level(text: Column) -> Column:
     """The first level word, bracketed or free, as DEBUG, TRACE, INFO, WARN, ERROR; else UNKNOWN."""
-    pick = lambda k: F.upper(F.regexp_extract(text, f"(?i){P.LEVEL}", k))
-    return normal_level(F.when(pick(1) != "", pick(1)).otherwise(pick(2)))
+    return normal_level(F.translate(F.regexp_extract(text, f"(?i){P.LEVEL}", 0), "[]", ""))
+
+
+def known_level(word: Column) -> Column:
+    """The level of a name or alias; null for anything else."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in P.LEVEL_NAMES.items() for x in pair)), F.upper(word))
 
 
 def normal_level(word: Column) -> Column:
     """Level names and their aliases; anything else is UNKNOWN."""
-    word = F.upper(word)
-    return F.when(word.isin("WARN", "WARNING"), "WARN").when(word.isin("ERROR", "CRITICAL", "FATAL"), "ERROR").when(word.isin("DEBUG", "INFO", "TRACE"), word).otherwise("UNKNOWN")
+    return F.coalesce(known_level(word), F.lit("UNKNOWN"))
 
 
 def parse_timestamp(text: Column, year: int = 1900) -> Column:
-    """The first known stamp in the text, as UTC. The dashed form may carry fraction and zone; the syslog form takes the year given."""
+    """The first known stamp in the text; one without a zone is UTC. The dashed form may carry a fraction; the syslog form takes the year given."""
     find = lambda p: F.regexp_extract(text, p, 0)
-    dashed = F.regexp_replace(find(P.STAMP_DASHED), "T", " ")
-    dashed = F.regexp_replace(F.regexp_replace(dashed, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    stamp = lambda v, f: F.try_to_timestamp(F.when(v != "", v), F.lit(f))
-    slashed = F.regexp_replace(find(P.STAMP_SLASHED), "T", " ")
-    access = F.regexp_replace(find(P.STAMP_ACCESS), r"\s+(?=[+-])", " ")
-    syslog = F.concat(F.lit(f"{year:04d} "), F.regexp_replace(find(P.STAMP_SYSLOG), r"\s+", " "))
+    dashed = F.regexp_replace(F.regexp_replace(find(P.STAMP_DASHED), r"([T ][\d:.]+)$", "$1+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    stamp = lambda v, f: F.try_to_timestamp(v, F.lit(f))
+    slashed = F.concat(F.translate(find(P.STAMP_SLASHED), "T", " "), F.lit(" +0000"))
+    access = F.regexp_replace(find(P.STAMP_ACCESS), r"\s*([+-])", " $1")
+    syslog = F.concat(F.lit(f"{year:04d} "), F.regexp_replace(find(P.STAMP_SYSLOG), r"\s+", " "), F.lit(" +0000"))
+    mail = F.regexp_replace(F.regexp_replace(find(P.STAMP_MAIL), r"^[A-Z][a-z]{2},", ""), r"\s+", " ")
     return F.coalesce(
-        F.when(dashed != "", dashed).try_cast("timestamp"),
-        stamp(slashed, "yyyy/MM/dd HH:mm:ss"),
+        dashed.try_cast("timestamp"),
+        stamp(slashed, "yyyy/MM/dd HH:mm:ss Z"),
         stamp(access, "dd/MMM/yyyy:HH:mm:ss Z"),
-        F.when(find(P.STAMP_SYSLOG) != "", F.try_to_timestamp(syslog, F.lit("yyyy MMM d HH:mm:ss"))),
+        stamp(syslog, "yyyy MMM d HH:mm:ss Z"),
+        stamp(mail, " d MMM yyyy HH:mm:ss Z"),
     )
 
 

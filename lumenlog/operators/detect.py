@@ -91,27 +91,42 @@ def replacement(rule: Rule, value: Column) -> Column:
 MATCH = "array<struct<start:int,neg_end:int,ord:int,value:string,kind:string,rule:string,strategy:string,new:string>>"
 
 
+#: Stands between the parts of a marked text; where a text has it itself, its second character is exchanged before rules run.
+_CUT = "\x01\x02"
+
+
 def rule_matches(text: Column, rule: Rule, order: int, id_field: Column | None = None) -> Column:
-    """All checked matches of one rule: start, negated end, rule order, value, kind, rule, strategy, new."""
-    pattern = F.lit(f"(?i){rule.pattern}")
-    full = F.regexp_extract_all(text, pattern, F.lit(0))
-    inner = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else full
-    gaps = F.split(text, f"(?i){rule.pattern}", -1)
-    whole = F.arrays_zip(full.alias("f"), inner.alias("v"), F.slice(gaps, 1, F.size(full)).alias("g"))
-
-    def step(at: Column, m: Column) -> Column:
-        value = F.trim(F.when(m["v"] == "", m["f"]).otherwise(m["v"])) if rule.group else F.trim(m["f"])
-        last = F.length(m["f"]) - F.instr(F.reverse(m["f"]), F.reverse(value)) + 1 - F.length(value)
-        start = at["pos"] + F.length(m["g"]) + last
-        one = F.struct(start.cast("int").alias("start"), (-(start + F.length(value))).cast("int").alias("neg_end"), F.lit(order).alias("ord"), value.alias("value"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"), F.lit(rule.strategy).alias("strategy"), replacement(rule, value).alias("new"))
-        return F.struct((at["pos"] + F.length(m["g"]) + F.length(m["f"])).cast("int").alias("pos"), F.concat(at["out"], F.array(one)).alias("out"))
-
-    found = F.aggregate(whole, F.struct(F.lit(0).alias("pos"), F.array().cast(MATCH).alias("out")), step)["out"]
-    found = F.filter(found, lambda m: (m["value"] != "") & (rule.check(m["value"]) if rule.check else F.lit(True)))
-    needed = text.rlike(f"(?i){rule.probe or rule.pattern}") & text.rlike(f"(?i){rule.pattern}")
+    """All checked matches of one rule: start, negated end, rule order, value, kind, rule, strategy, new.
+
+    One pass of the pattern: it marks what it matches, and the marked text is cut into gap, match (and its group), gap, ...
+    """
+    safe = F.when(text.contains(_CUT), F.translate(text, "\x02", "\x03")).otherwise(text)
+    mark = _CUT + "$0" + _CUT + (f"${rule.group}{_CUT}" if rule.group else "")
+    parts, each = F.split(F.regexp_replace(safe, f"(?i){rule.pattern}", mark), _CUT, -1), 3 if rule.group else 2
+
+    def fold(ps: Column) -> Column:
+        def step(at: Column, k: Column) -> Column:
+            gap, full = F.get(ps, k), F.get(ps, k + 1)
+            group = F.get(ps, k + 2)
+            value = F.trim(F.when(group == "", full).otherwise(group)) if rule.group else F.trim(full)
+            one = F.struct((at["pos"] + F.length(gap)).alias("from"), full.alias("full"), value.alias("value"))
+            return F.struct((at["pos"] + F.length(gap) + F.length(full)).cast("int").alias("pos"), F.concat(at["out"], F.array(one)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<from:int,full:string,value:string>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(ps) - 2, F.lit(each)), start, step)["out"]
+
+    def told(m: Column) -> Column:
+        start = m["from"] + F.length(m["full"]) - F.instr(F.reverse(m["full"]), F.reverse(m["value"])) + 1 - F.length(m["value"])
+        value = F.substring(text, start + 1, F.length(m["value"]))
+        return F.struct(start.cast("int").alias("start"), (-(start + F.length(m["value"]))).cast("int").alias("neg_end"), F.lit(order).alias("ord"), value.alias("value"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"), F.lit(rule.strategy).alias("strategy"), replacement(rule, value).alias("new"))
+
+    good = lambda m: (m["value"] != "") & (rule.check(m["value"]) if rule.check else F.lit(True))
+    none = F.array().cast(MATCH)
+    found = F.flatten(F.transform(F.array(parts), lambda ps: F.when(F.size(ps) > 1, F.transform(F.filter(fold(ps), good), told)).otherwise(none)))
+    needed = text.rlike(f"(?i){rule.probe or rule.pattern}")
     if rule.kind == "phone" and id_field is not None:
         needed = needed & ~id_field
-    return F.when(needed, found).otherwise(F.array().cast(MATCH))
+    return F.when(needed, found).otherwise(none)
 
 
 def resolve(matches: Column) -> Column:
@@ -125,8 +140,12 @@ def resolve(matches: Column) -> Column:
 def detections(text: Column, rules: Sequence[Rule] = BUILTIN, field_name: Column | None = None) -> Column:
     """Kept matches of all rules. A field whose name looks like an identifier's is not searched for phone numbers."""
     id_field = S.is_id_field(field_name) if field_name is not None else None
-    found = F.concat(*(rule_matches(text, r, k, id_field) for k, r in enumerate(rules))) if rules else F.array().cast(MATCH)
-    return F.when(F.size(found) == 0, F.array().cast(MATCH)).otherwise(resolve(found))
+    none = F.array().cast(MATCH)
+    if not rules:
+        return none
+    found = F.concat(*(rule_matches(text, r, k, id_field) for k, r in enumerate(rules)))
+    some = text.rlike("(?i)" + "|".join(f"(?:{r.probe or r.pattern})" for r in rules))
+    return F.when(some, F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, resolve(f)).otherwise(none)))).otherwise(none)
 
 
 def splice(text: Column, kept: Column) -> Column:

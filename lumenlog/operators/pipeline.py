@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
 from lumenlog.operators.detect import BUILTIN, Rule, detections, splice
+from lumenlog.operators.nested import quote, rebuilt, sanitized_tokens
 
 
 def level_filter(levels: Sequence[str] | None) -> Column:
@@ -39,40 +40,53 @@ def filter_records(records: DataFrame, **options) -> DataFrame:
 
 
 def sanitize_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, sanitize_unparseable: bool = False) -> DataFrame:
-    """Records with message and extra values sanitized, and found: (field, match) of every detection, fields and changed fields counted.
+    """Records with message and all strings of extra sanitized, and found: (field, match) of every detection, fields and changed fields counted.
 
-    A value of extra whose first match is of a delete rule becomes empty. Unparseable lines stay as they are unless asked otherwise.
+    Values of extra that aren't strings keep their types: of objects and arrays the strings inside are sanitized, each a field with a path of its
+    own, and numbers, true, false and null stay. A string whose first match is of a delete rule becomes empty. Unparseable lines stay as they are unless asked otherwise.
     """
     on = F.lit(True) if sanitize_unparseable else F.col("is_parseable")
     none = detections(F.lit(""), rules[:0])
-    entries = F.transform(
-        F.map_entries("extra"),
-        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("old"), F.when(on, detections(e["value"], rules, e["key"])).otherwise(none).alias("found")),
-    )
-    staged = records.withColumn("_message", F.when(on, detections(F.col("message"), rules, F.lit("message"))).otherwise(none)).withColumn("_extra", entries)
+    path = lambda e: F.concat(F.lit("extra."), e["key"])
+    typed = F.col("typed") if "typed" in records.columns else F.create_map().cast("map<string,string>")
+    plain = F.filter(F.map_entries("extra"), lambda e: ~F.map_contains_key(F.col("_typed"), e["key"]) & e["value"].isNotNull())
+    entries = F.transform(plain, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("old"), F.when(on, detections(e["value"], rules, path(e))).otherwise(none).alias("found")))
+    deep = F.filter(F.map_entries("_typed"), lambda e: e["value"].rlike(r"^[{\[]"))
+    staged = records.withColumn("_typed", typed).withColumn("_message", F.when(on, detections(F.col("message"), rules, F.lit("message"))).otherwise(none)).withColumn("_extra", entries)
+    staged = staged.withColumn("_deep", F.when(on, F.transform(deep, lambda e: F.struct(e["key"].alias("key"), sanitized_tokens(e["value"], path(e), rules).alias("tokens")))))
     new = lambda e: F.when(F.get(e["found"], F.lit(0))["strategy"] == "delete", F.lit("")).otherwise(splice(e["old"], e["found"]))
     staged = staged.withColumn("_done", F.transform("_extra", lambda e: F.struct(e["key"].alias("key"), e["old"].alias("old"), new(e).alias("new"), e["found"].alias("found"))))
-    staged = staged.withColumn("_clean", splice(F.col("message"), F.col("_message")))
+    strings = F.flatten(F.transform("_deep", lambda e: F.filter(e["tokens"], lambda t: t["path"].isNotNull())))
+    staged = staged.withColumn("_clean", splice(F.col("message"), F.col("_message"))).withColumn("_strings", F.coalesce(strings, F.array()))
     tag = lambda field, found: F.transform(found, lambda m: F.struct(field.alias("field"), m.alias("match")))
-    found = F.concat(tag(F.lit("message"), F.col("_message")), F.flatten(F.transform("_done", lambda e: tag(F.concat(F.lit("extra."), e["key"]), e["found"]))))
-    changed = F.when(F.col("_clean") != F.col("message"), 1).otherwise(0) + F.size(F.filter("_done", lambda e: e["new"] != e["old"]))
+    found = F.concat(tag(F.lit("message"), F.col("_message")), F.flatten(F.transform("_done", lambda e: tag(path(e), e["found"]))), F.flatten(F.transform("_strings", lambda t: tag(t["path"], t["found"]))))
+    differ = lambda e: e["new"] != e["old"]
+    changed = F.when(F.col("_clean") != F.col("message"), 1).otherwise(0) + F.size(F.filter("_done", differ)) + F.size(F.filter("_strings", differ))
+    remade = F.map_from_entries(F.transform("_deep", lambda e: F.struct(e["key"], rebuilt(e["tokens"]))))
+    cleaned = F.map_from_entries(F.transform("_done", lambda e: F.struct(e["key"], F.coalesce(e["new"], e["old"]))))
+    staged = staged.withColumn("_remade", F.coalesce(remade, F.create_map().cast("map<string,string>"))).withColumn("_cleaned", cleaned)
+    over = lambda column: F.transform_values(column, lambda k, v: F.coalesce(F.element_at(F.col("_remade"), k), F.element_at(F.col("_cleaned"), k), v))
     return staged.select(
-        *[c for c in records.columns if c not in ("message", "extra")],
+        *[c for c in records.columns if c not in ("message", "extra", "typed")],
         F.col("message").alias("original_message"),
         F.col("_clean").alias("message"),
-        F.map_from_entries(F.transform("_done", lambda e: F.struct(e["key"], F.coalesce(e["new"], e["old"])))).alias("extra"),
+        over("extra").alias("extra"),
+        F.transform_values("_typed", lambda k, v: F.coalesce(F.element_at(F.col("_remade"), k), v)).alias("typed"),
         found.alias("found"),
-        F.when(on, 1 + F.size("_extra")).otherwise(0).alias("total_fields"),
+        F.when(on, 1 + F.size("_extra") + F.size("_strings")).otherwise(0).alias("total_fields"),
         F.when(on, changed).otherwise(0).alias("sanitized_fields"),
     )
 
 
 def standard(records: DataFrame) -> DataFrame:
-    """json: one line for each record: timestamp (ISO 8601, UTC, or null), level, source, message, extra; unparseable ones are marked."""
-    stamp = F.concat(F.regexp_replace(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("+00:00"))
-    common = [stamp.alias("timestamp"), F.col("level"), F.col("source"), F.col("message"), F.to_json("extra").alias("_extra")]
-    body = F.to_json(F.struct(*common[:4]), {"ignoreNullFields": "false"})
-    good = F.concat(F.expr("substring(b, 1, length(b) - 1)"), F.lit(',"extra":'), F.to_json("extra"), F.lit("}"))
+    """json: one line for each record: timestamp (ISO 8601, UTC, or null), level, source, message, extra; unparseable ones are marked. Values of extra keep their types."""
+    stamp = F.concat(F.regexp_replace(F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("+00:00"))
+    body = F.to_json(F.struct(stamp.alias("timestamp"), F.col("level"), F.col("source"), F.col("message")), {"ignoreNullFields": "false"})
+    extra = F.to_json("extra")
+    if "typed" in records.columns:
+        value = lambda e: F.concat(quote(e["key"]), F.lit(":"), F.coalesce(F.element_at(F.col("typed"), e["key"]), quote(e["value"]), F.lit("null")))
+        extra = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("extra"), value), ","), F.lit("}"))
+    good = F.concat(F.expr("substring(b, 1, length(b) - 1)"), F.lit(',"extra":'), extra, F.lit("}"))
     mark = F.to_json(F.struct(F.lit(True).alias("_unparseable"), F.col("parse_error").alias("_parse_error")))
     bad = F.concat(F.expr("substring(b, 1, length(b) - 1)"), F.lit(',"extra":{},'), F.expr("substring(u, 2)"))
     return records.withColumn("b", body).withColumn("u", mark).withColumn("json", F.when(F.col("is_parseable"), good).otherwise(bad)).drop("b", "u")
@@ -92,11 +106,12 @@ def preview(records: DataFrame, rows: int = 20) -> DataFrame:
     return records.withColumn("_at", F.row_number().over(at)).filter(F.col("_at") <= rows).select("source_file", "line_no", "original_message", "message")
 
 
-def file_stats(records: DataFrame) -> DataFrame:
-    """Per file: lines, parsed, unparsed, fields, sanitized fields, bytes."""
+def file_stats(records: DataFrame, kept: Column | None = None) -> DataFrame:
+    """Per file: lines, parsed, unparsed, fields, sanitized fields, bytes. kept: which records pass the filters; all lines count, fields only of those."""
+    kept = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
     return records.groupBy("source_file").agg(
         F.count("*").alias("total_lines"), F.count_if("is_parseable").alias("parsed_lines"), F.count_if(~F.col("is_parseable")).alias("unparsed_lines"),
-        F.sum("total_fields").alias("total_fields"), F.sum("sanitized_fields").alias("sanitized_fields"), F.sum(F.octet_length("raw") + 1).alias("bytes"),
+        F.coalesce(F.sum(F.when(kept, F.col("total_fields"))), F.lit(0)).alias("total_fields"), F.coalesce(F.sum(F.when(kept, F.col("sanitized_fields"))), F.lit(0)).alias("sanitized_fields"), F.sum(F.octet_length("raw") + 1).alias("bytes"),
     )
 
 

@@ -12,8 +12,9 @@ def event_level():
 
 
 def event_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """source_file (the user's bucket), line_no (the event's id), raw."""
+    """source_file (the user's bucket), line_no (the event's id), raw. The table is one row group; its rows are dealt over all cores, as blocks of log files would be."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    e = e.repartition(spark.sparkContext.defaultParallelism, "event_id")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     text = F.format_string("user %d %s from 10.%d.%d.1", "user_id", "event_type", F.col("user_id") % 256, F.col("event_id") % 256)
     status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404).otherwise(200)
