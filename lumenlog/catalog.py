@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog import catalog_cases
 from lumenlog.functions import patterns as P
 from lumenlog.functions import scalars as S
 from lumenlog.operators import alerts as A
@@ -147,7 +148,7 @@ QUERIES = {
     "parse_plain": _parsed("plain"), "parse_json": _parsed("json"), "parse_access": _parsed("access"), "parse_syslog": _parsed("syslog"),
     "filtered": filtered, "standard_json": standard_json, "routed": routed, "report": report, "report_kinds": report_kinds, "previewed": previewed,
     "templates": templated, "new_patterns": patterns_new, "grid_windows": grid, "frequency_spikes": spikes, "error_surges": surges,
-    "anchored_alerts": anchored, "alert_pipeline": alert_pipeline, "cron": cron,
+    "anchored_alerts": anchored, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
 }
 
 flagship = detect_counts
@@ -208,4 +209,5 @@ m AS (SELECT *, list_median(past) AS med FROM r), d AS (SELECT *, list_median(li
 z AS (SELECT source, w, CASE WHEN coalesce(len(past), 0) = 0 THEN NULL WHEN mad = 0 AND rate = med THEN 0 WHEN mad = 0 THEN 'inf'::DOUBLE ELSE (rate - med) / (1.4826::DOUBLE * mad) END AS z FROM d)
 SELECT source, w, round(CASE WHEN isfinite(z) THEN z END, 6) AS z, coalesce(z > 1.5, false) AS surge FROM z""",
     "cron": f"""WITH {_BASE} SELECT source, level, count(*) AS n FROM e WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 17 AND isodow(ts) <= 5 GROUP BY ALL""",
+    **catalog_cases.SQL,
 }
