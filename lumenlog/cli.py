@@ -1,4 +1,4 @@
-"""Command line: run, init, validate, list-rules, detect, anomaly replay|rules|alerts|feedback, stream."""
+"""Command line: run, init, validate, list-rules, detect, anomaly replay|rules|alerts|feedback|status|reset, stream."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import argparse
 import dataclasses
 import json
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import islice
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from lumenlog.operators.detectors import anchored_alerts
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
-from lumenlog.sources.text import read_feedback, read_lines, read_sanitized, write_alerts, write_records
-from lumenlog.streaming.live import parsed_records, start_routed, stream_lines
+from lumenlog.sources.text import append_log, input_files, read_feedback, read_lines, read_log, read_sanitized, unread, write_alerts, write_records
+from lumenlog.streaming.live import live_records, parsed_records, start_routed, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
 
 TEMPLATE = """name: logs
@@ -41,9 +42,10 @@ anomaly_detection:
 
 
 def read_records(spark: SparkSession, s: Settings) -> DataFrame:
-    """Parsed and filtered records of the inputs."""
-    lines = read_lines(spark, list(s.paths), s.recursive)
-    return L.filter_records(parse_lines(lines, s.fmt, custom=s.custom, names=s.names), **s.filters)
+    """Parsed records of the inputs, and whether the filters keep them. With a state file only what earlier runs haven't read."""
+    lines = read_lines(spark, input_files(spark, list(s.paths), s.recursive), encoding=s.encoding, sizes=True)
+    lines = unread(lines, read_log(spark, f"{s.state_file}/files", "source_file")) if s.state_file else lines
+    return L.mark_kept(parse_lines(lines, s.fmt, custom=s.custom, names=s.names), **s.filters)
 
 
 def tail_lines(spark: SparkSession, s: Settings) -> DataFrame:
@@ -70,29 +72,41 @@ def current_rules(path: str, rules: Sequence[Rule]) -> Callable[[], Sequence[Rul
 
 def report(records: DataFrame) -> tuple[dict, dict[str, int], dict[str, int]]:
     """Totals, detections by kind and by field: small aggregates, collected."""
-    totals = L.audit_report(L.file_stats(records)).first().asDict()
+    totals = L.audit_report(L.file_stats(records, F.col("kept") if "kept" in records.columns else None)).first().asDict()
     kinds = {r.kind: r.n for r in L.detection_counts(records).filter("source_file IS NULL AND kind IS NOT NULL").collect()}
     return totals, kinds, {r.field: r.n for r in L.top_fields(records).collect()}
 
 
 def judged_alerts(records: DataFrame, s: Settings) -> DataFrame:
-    """Alerts of records after deduplication, correlation and the suppression rules, with a stable alert_id."""
-    found = A.correlate(A.dedup(anchored_alerts(records, s.detectors), s.dedup_seconds), s.correlate_seconds)
+    """Alerts of records after deduplication, correlation and the suppression rules, with a stable alert_id. With a state file the detectors go on
+    from where the last run left each source, and their new states are kept."""
+    spark, states = records.sparkSession, f"{s.state_file}/detectors"
+    if s.state_file:
+        both = anchored_alerts(records, s.detectors, read_log(spark, states, "source"), save=True).persist(StorageLevel.DISK_ONLY)
+        append_log(both.filter("state IS NOT NULL").select("source", "state"), states)
+        found = both.filter("state IS NULL").drop("state")
+    else:
+        found = anchored_alerts(records, s.detectors)
+    found = A.correlate(A.dedup(found, s.dedup_seconds), s.correlate_seconds)
     out = A.release(A.apply_suppression(found, s.suppression)).drop("rule", "action", "delay_seconds")
     return out.withColumn("alert_id", F.substring(F.sha2(F.concat_ws("|", "source", "alert_type", F.unix_micros(F.col("ts").cast("timestamp")), "detector"), 256), 1, 16))
 
 
 def run(spark: SparkSession, s: Settings) -> dict:
     """The batch run of a configuration; its totals. Values are detected once: what several outputs read is kept on the executors' disks,
-    and computed again where an executor is lost."""
-    records = L.sanitize_records(read_records(spark, s), s.rules).persist(StorageLevel.DISK_ONLY)
+    and computed again where an executor is lost. All lines count, only those that the filters keep are sanitized and written."""
+    records = L.sanitize_records(read_records(spark, s), s.rules, s.sanitize_unparseable).persist(StorageLevel.DISK_ONLY)
     try:
-        return _outputs(records, s)
+        totals = _outputs(records, s)
+        if s.state_file and not s.dry_run:
+            append_log(records.groupBy("source_file").agg(F.max("file_size").alias("size"), F.max("line_no").alias("lines")), f"{s.state_file}/files")
+        return totals
     finally:
         records.unpersist()
 
 
-def _outputs(records: DataFrame, s: Settings) -> dict:
+def _outputs(every: DataFrame, s: Settings) -> dict:
+    records = every.filter("kept")
     if s.dry_run:
         L.preview(records).show(truncate=False)
     else:
@@ -108,7 +122,7 @@ def _outputs(records: DataFrame, s: Settings) -> dict:
             write_alerts(alerts, s.alert_file)
             if s.webhook.url:
                 send_alerts(alerts, s.webhook)
-    totals, kinds, fields = report(records)
+    totals, kinds, fields = report(every)
     if s.report_json:
         with open(s.report_json, "w") as f:
             json.dump({"summary": totals, "detections": kinds, "fields": fields}, f, default=str)
@@ -118,6 +132,29 @@ def _outputs(records: DataFrame, s: Settings) -> dict:
     return totals
 
 
+def pipe(spark: SparkSession, s: Settings, lines: Iterable[str], rows: int = 50_000) -> int:
+    """Sanitizes lines of a pipe, some at a time, and appends them to their targets; how many there were. The driver holds rows lines."""
+    done, each = 0, iter(lines)
+    while chunk := list(islice(each, rows)):
+        frame = spark.createDataFrame([("stdin", done + k, x) for k, x in enumerate(chunk, 1)], "source_file string, line_no long, raw string")
+        out = live_records(frame, s.fmt, s.rules, s.custom, s.names, **s.filters).withColumn("target", L.route(s.routes, s.file)).persist()
+        for target in sorted({s.file, *(t for _, t in s.routes)}):
+            out.filter(F.col("target") == target).select(F.col("json").alias("value")).write.mode("append").text(target)
+        out.unpersist()
+        done += len(chunk)
+    return done
+
+
+def detector_status(spark: SparkSession, s: Settings) -> list[dict]:
+    """The detectors' stored state of each source: windows, statistics and how many templates it knows."""
+    states = read_log(spark, f"{s.state_file}/detectors", "source") if s.state_file else None
+    out = []
+    for row in states.orderBy("source").toLocalIterator() if states is not None else ():
+        told = json.loads(row.state)
+        out.append({"source": row.source, "seen": told["seen"], "ewma": told["ewma"], "rates": len(told["rates"]), "templates": len(told["known"]), "absent": len(told["absent"]), "frequency_threshold": s.detectors.threshold("frequency", row.source), "error_rate_threshold": s.detectors.threshold("error_rate", row.source)})
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("lumenlog")
     sub = top.add_subparsers(dest="command", required=True)
@@ -129,20 +166,25 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("-o", "--output")
             p.add_argument("--dry-run", action="store_true")
         if name == "stream":
-            p.add_argument("--checkpoint", required=True)
+            p.add_argument("--checkpoint", help="needed but for --pipe")
             p.add_argument("--once", action="store_true", help="what is there, then stop")
             p.add_argument("--tail", action="store_true", help="follow the lines that are appended to the inputs")
+            p.add_argument("--pipe", action="store_true", help="read standard input to its end")
     sub.add_parser("init", help="write a configuration").add_argument("path")
     sub.add_parser("list-rules", help="built-in rules")
     p = sub.add_parser("detect", help="what the rules find in a text")
-    p.add_argument("text")
+    p.add_argument("text", help="or with --file a path")
+    p.add_argument("--file", action="store_true", help="search the first lines of files")
+    p.add_argument("--limit", type=int, default=1000)
     p.add_argument("-c", "--config")
     anomaly = sub.add_parser("anomaly", help="alerts").add_subparsers(dest="what", required=True)
-    for name in ("replay", "rules", "alerts", "feedback"):
+    for name in ("replay", "rules", "alerts", "feedback", "status", "reset"):
         p = anomaly.add_parser(name)
         p.add_argument("-c", "--config", required=True)
         if name == "replay":
             p.add_argument("path", help="sanitized JSON lines")
+        if name == "reset":
+            p.add_argument("source")
         if name == "alerts":
             p.add_argument("--status")
             p.add_argument("--source")
@@ -176,12 +218,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = ship(spark or SparkSession.builder.appName("lumenlog").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     if args.command == "run":
         s = dataclasses.replace(s, paths=tuple(args.input or s.paths), file=args.output or s.file, dry_run=args.dry_run or s.dry_run)
-        print(json.dumps(run(spark, s), default=str))
+        try:
+            print(json.dumps(run(spark, s), default=str))
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 1
+    elif args.command == "detect" and args.file:
+        rows = sanitize(read_lines(spark, args.text).filter(F.col("line_no") <= args.limit), "raw", s.rules if s else BUILTIN).filter(F.size("found") > 0)
+        for row in rows.select(F.explode("found.kind").alias("kind")).groupBy("kind").count().orderBy("kind").collect():
+            print(f"{row.kind}\t{row['count']}")
+        for row in rows.orderBy("source_file", "line_no").limit(10).collect():
+            print(f"{row.source_file}:{row.line_no}\t{row.sanitized[max(0, row.found[0].start - 20) : row.found[0].start + 20]}")
     elif args.command == "detect":
         row = sanitize(spark.createDataFrame([(args.text,)], "t string"), "t", s.rules if s else BUILTIN).first()
         for m in row.found:
             print(f"{m.kind}\t{m.value}")
         print(row.sanitized)
+    elif args.command == "stream" and args.pipe:
+        print(f"{pipe(spark, s, (x.rstrip(chr(10)) for x in sys.stdin))} lines", file=sys.stderr)
     elif args.command == "stream":
         if s.metrics_file:
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
@@ -191,6 +245,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         records = parsed_records(lines, s.fmt, s.custom, s.names, **s.filters)
         query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules))
         query.awaitTermination()
+    elif args.what == "status":
+        for row in detector_status(spark, s):
+            print(json.dumps(row))
+        if s.alert_file and s.feedback_file:
+            for row in A.lifecycle(spark.read.json(s.alert_file), read_feedback(spark, s.feedback_file), s.max_resolved).groupBy("status").count().orderBy("status").collect():
+                print(f"{row.status}\t{row['count']}")
+    elif args.what == "reset":
+        append_log(spark.createDataFrame([(args.source, None, True)], "source string, state string, removed boolean"), f"{s.state_file}/detectors")
     elif args.what == "replay":
         rows = read_sanitized(spark, args.path).withColumn("line_no", F.monotonically_increasing_id())
         alerts = judged_alerts(rows, s)

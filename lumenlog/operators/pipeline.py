@@ -34,6 +34,11 @@ def keep(levels: Sequence[str] | None = None, start: str | None = None, end: str
     return out
 
 
+def mark_kept(records: DataFrame, **options) -> DataFrame:
+    """Records with kept: whether they pass, as filter_records has it; null tests don't pass."""
+    return records.withColumn("kept", F.coalesce(~F.col("is_parseable") | keep(**options), F.lit(False)))
+
+
 def filter_records(records: DataFrame, **options) -> DataFrame:
     """Records that pass; unparseable ones always do."""
     return records.filter(~F.col("is_parseable") | keep(**options))
@@ -43,9 +48,11 @@ def sanitize_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, saniti
     """Records with message and all strings of extra sanitized, and found: (field, match) of every detection, fields and changed fields counted.
 
     Values of extra that aren't strings keep their types: of objects and arrays the strings inside are sanitized, each a field with a path of its
-    own, and numbers, true, false and null stay. A string whose first match is of a delete rule becomes empty. Unparseable lines stay as they are unless asked otherwise.
+    own, and numbers, true, false and null stay. A string whose first match is of a delete rule becomes empty. Unparseable lines stay as they are unless asked otherwise, and
+    so do records that a column kept says aren't.
     """
     on = F.lit(True) if sanitize_unparseable else F.col("is_parseable")
+    on = on & F.col("kept") if "kept" in records.columns else on
     none = detections(F.lit(""), rules[:0])
     path = lambda e: F.concat(F.lit("extra."), e["key"])
     typed = F.col("typed") if "typed" in records.columns else F.create_map().cast("map<string,string>")

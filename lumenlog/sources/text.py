@@ -4,22 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str] | str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """source_file, line_no (from 1), raw of all text files. Files are split between tasks; a file's lines are numbered by block and order.
+def input_files(spark: SparkSession, paths: Sequence[str] | str, recursive: bool = True, glob: str | None = None) -> list[str]:
+    """The files behind paths (files, folders, patterns), each once, in order; ValueError where there are none."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    try:
+        files = sorted(set((reader.option("pathGlobFilter", glob) if glob else reader).text(paths).inputFiles()))
+    except AnalysisException as e:
+        raise ValueError(f"no input files found: {e}") from e
+    if not files:
+        raise ValueError("no input files found")
+    return files
+
 
-    Ids that grow with position give the order; counts of (file, task) give each task's first number, so no file is gathered in one task.
+def read_lines(spark: SparkSession, paths: Sequence[str] | str, recursive: bool = True, glob: str | None = None, encoding: str = "utf-8", sizes: bool = False) -> DataFrame:
+    """source_file, line_no (from 1), raw of all text files, and with sizes file_size. Files are split between tasks; a file's lines are numbered by block and order.
+
+    Ids that grow with position give the order; counts of (file, task) give each task's first number, so no file is gathered in one task. Bytes that the
+    encoding doesn't have become U+FFFD. Encodings must have the line ends of ASCII, as nearly all do but UTF-16 and UTF-32.
     """
+    if encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32", "utf16", "utf32")):
+        raise ValueError(f"encoding {encoding}: lines can't be told by bytes")
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
-    lines = lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    size = [F.col("_metadata.file_size").alias("file_size")] if sizes else []
+    lines = lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"), *size)
     firsts = lines.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).select("source_file", "block", "skip")
-    return lines.join(firsts, ["source_file", "block"]).select("source_file", (F.col("at") + F.col("skip")).alias("line_no"), "raw")
+    return lines.join(firsts, ["source_file", "block"]).select("source_file", (F.col("at") + F.col("skip")).alias("line_no"), decoded(F.col("raw"), encoding).alias("raw"), *(["file_size"] if sizes else []))
+
+
+def decoded(text: Column, encoding: str = "utf-8") -> Column:
+    """Text whose bytes are of an encoding; native for UTF-8, else in Arrow batches."""
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+        return F.make_valid_utf8(text)
+
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode(encoding, "replace") for x in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(decode, "string")(text.cast("binary"))
+
+
+def read_log(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The newest row of each key in a folder of JSON lines that runs append to; None where there is none yet. Rows that say removed count as none."""
+    try:
+        rows = spark.read.json(path)
+    except AnalysisException:
+        return None
+    if "at" not in rows.columns:
+        return None
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "at").alias("row")).select(key, "row.*")
+    return (newest.filter("removed IS NULL OR NOT removed").drop("removed") if "removed" in rows.columns else newest).drop("at")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends rows with the time of the run, for read_log. Earlier rows stay, so a run that fails in between loses nothing."""
+    rows.withColumn("at", F.unix_micros(F.current_timestamp())).write.mode("append").json(path)
+
+
+def unread(lines: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Of lines with file_size, those that an earlier run hasn't read. done: source_file, size, lines. A file of the same size is skipped, a longer one goes on behind
+    its last line, a shorter one was begun anew and is read whole."""
+    if done is None:
+        return lines
+    told = done.select(F.col("source_file").alias("_file"), F.col("size").alias("_size"), F.col("lines").alias("_lines"))
+    out = lines.join(told, lines["source_file"] == F.col("_file"), "left")
+    new = F.col("_size").isNull() | (F.col("file_size") < F.col("_size")) | ((F.col("file_size") > F.col("_size")) & (F.col("line_no") > F.col("_lines")))
+    return out.filter(new).select(lines.columns)
 
 
 def read_sanitized(spark: SparkSession, path: str) -> DataFrame:
