@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from lumenlog.llm.chat_format import OP9_SQL, op9_chat_format
 from lumenlog.llm.decontaminate import OP6_SQL, op6_decontaminate
 from lumenlog.llm.html_extract import op8_html_extract
@@ -13,7 +15,22 @@ from lumenlog.llm.token_counts import op4_token_counts
 from lumenlog.llm.toxicity import op10_toxicity
 from lumenlog.llm.url_filter import op2_url_filter
 
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_url_filter that SQL can express: host, path and rule."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_mix_sources that SQL can express: sizes of documents and sources, and whether takes are whole and at most twice."""
+    rows = op1_mix_sources(spark, sf_dir)
+    return rows.selectExpr("doc_id", "size", "source_size", "taken % greatest(size, 1) = 0 AND taken BETWEEN 0 AND 2 * size AS fair")
+
+
 QUERIES = {
+    "url_rules": url_rules,
+    "mix_sizes": mix_sizes,
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
@@ -26,4 +43,15 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL = {"op6_decontaminate": OP6_SQL, "op9_chat_format": OP9_SQL}
+SQL = {
+    "op6_decontaminate": OP6_SQL,
+    "op9_chat_format": OP9_SQL,
+    "url_rules": r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(h, q) AS (VALUES ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/'))
+SELECT page_id, host, path, (SELECT arg_max(h || q, len(h || q)) FROM r WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, q)) AS rule FROM p""",
+    "mix_sizes": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
+SELECT doc_id, size, sum(size) OVER (PARTITION BY source)::BIGINT AS source_size, true AS fair FROM d""",
+}
