@@ -102,7 +102,7 @@ def rule_matches(text: Column, rule: Rule, order: int, id_field: Column | None =
     """
     safe = F.when(text.contains(_CUT), F.translate(text, "\x02", "\x03")).otherwise(text)
     mark = _CUT + "$0" + _CUT + (f"${rule.group}{_CUT}" if rule.group else "")
-    parts, each = F.split(F.regexp_replace(safe, f"(?i){rule.pattern}", mark), _CUT, -1), 3 if rule.group else 2
+    marked, each = F.regexp_replace(safe, f"(?i){rule.pattern}", mark), 3 if rule.group else 2
 
     def fold(ps: Column) -> Column:
         def step(at: Column, k: Column) -> Column:
@@ -122,7 +122,9 @@ def rule_matches(text: Column, rule: Rule, order: int, id_field: Column | None =
 
     good = lambda m: (m["value"] != "") & (rule.check(m["value"]) if rule.check else F.lit(True))
     none = F.array().cast(MATCH)
-    found = F.flatten(F.transform(F.array(parts), lambda ps: F.when(F.size(ps) > 1, F.transform(F.filter(fold(ps), good), told)).otherwise(none)))
+    # Arrays of one bind a value that is used more than once, so that it is made once; what has no mark isn't cut.
+    cut = F.filter(F.transform(F.filter(F.array(marked), lambda m: m.contains(_CUT)), lambda m: F.split(m, _CUT, -1)), lambda ps: F.size(ps) > 1)
+    found = F.flatten(F.transform(cut, lambda ps: F.transform(F.filter(fold(ps), good), told)))
     needed = text.rlike(f"(?i){rule.probe or rule.pattern}")
     if rule.kind == "phone" and id_field is not None:
         needed = needed & ~id_field
@@ -144,8 +146,7 @@ def detections(text: Column, rules: Sequence[Rule] = BUILTIN, field_name: Column
     if not rules:
         return none
     found = F.concat(*(rule_matches(text, r, k, id_field) for k, r in enumerate(rules)))
-    some = text.rlike("(?i)" + "|".join(f"(?:{r.probe or r.pattern})" for r in rules))
-    return F.when(some, F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, resolve(f)).otherwise(none)))).otherwise(none)
+    return F.flatten(F.transform(F.filter(F.array(found), lambda f: F.size(f) > 0), resolve))
 
 
 def splice(text: Column, kept: Column) -> Column:
