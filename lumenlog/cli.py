@@ -6,10 +6,12 @@ import argparse
 import dataclasses
 import json
 import sys
+import time
 from collections.abc import Callable, Iterable, Sequence
 from itertools import islice
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,13 @@ from lumenlog.config import Settings, load
 from lumenlog.operators import alerts as A
 from lumenlog.operators import pipeline as L
 from lumenlog.operators.detect import BUILTIN, Rule, sanitize
-from lumenlog.operators.detectors import anchored_alerts
+from lumenlog.operators.detectors import DetectorConfig, anchored_alerts
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
-from lumenlog.sources.text import append_log, input_files, read_feedback, read_lines, read_log, read_sanitized, unread, write_alerts, write_records
-from lumenlog.streaming.live import live_records, parsed_records, start_routed, stream_lines
+from lumenlog.sources.text import append_log, input_files, read_alerts, read_feedback, read_lines, read_log, read_sanitized, unread, write_alerts, write_records
+from lumenlog.streaming.judge import StreamJudge
+from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
 
 TEMPLATE = """name: logs
@@ -81,15 +84,40 @@ def judged_alerts(records: DataFrame, s: Settings) -> DataFrame:
     """Alerts of records after deduplication, correlation and the suppression rules, with a stable alert_id. With a state file the detectors go on
     from where the last run left each source, and their new states are kept."""
     spark, states = records.sparkSession, f"{s.state_file}/detectors"
+    config = tuned(spark, s)
     if s.state_file:
-        both = anchored_alerts(records, s.detectors, read_log(spark, states, "source"), save=True).persist(StorageLevel.DISK_ONLY)
+        both = anchored_alerts(records, config, read_log(spark, states, "source"), save=True).persist(StorageLevel.DISK_ONLY)
         append_log(both.filter("state IS NOT NULL").select("source", "state"), states)
         found = both.filter("state IS NULL").drop("state")
     else:
-        found = anchored_alerts(records, s.detectors)
+        found = anchored_alerts(records, config)
     found = A.correlate(A.dedup(found, s.dedup_seconds), s.correlate_seconds)
     out = A.release(A.apply_suppression(found, s.suppression)).drop("rule", "action", "delay_seconds")
-    return out.withColumn("alert_id", F.substring(F.sha2(F.concat_ws("|", "source", "alert_type", F.unix_micros(F.col("ts").cast("timestamp")), "detector"), 256), 1, 16))
+    return A.with_ids(out)
+
+
+def tuned(spark: SparkSession, s: Settings) -> DetectorConfig:
+    """The detectors' configuration with the thresholds that feedback has moved: one for each (detector, source) that somebody judged."""
+    d = s.detectors
+    if not (s.feedback_file and s.alert_file):
+        return d
+    try:
+        moved = A.tuned_thresholds(read_feedback(spark, s.feedback_file), read_alerts(spark, s.alert_file), by_detector={"frequency": d.multiplier, "error_rate": d.z_threshold}).collect()
+    except AnalysisException:  # no feedback or no alerts yet
+        return d
+    return dataclasses.replace(d, overrides={**d.overrides, **{(r.detector, r.source): r.threshold for r in moved}})
+
+
+def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool) -> StreamJudge:
+    """Judges a stream's micro-batches, with its state beside the checkpoint's; alerts go to the alert file and, where critical, to the webhook."""
+
+    def emit(alerts: DataFrame, number: int) -> None:
+        if s.alert_file:
+            write_alerts(alerts, s.alert_file, batch_name(checkpoint, number))
+        if s.webhook.url:
+            send_alerts(alerts, s.webhook)
+
+    return StreamJudge(f"{checkpoint}/anomaly", lambda: tuned(spark, s), emit, s.suppression, s.dedup_seconds, s.correlate_seconds, clock=time.time if live else None)
 
 
 def run(spark: SparkSession, s: Settings) -> dict:
@@ -239,17 +267,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "stream":
         if s.metrics_file:
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
-        if s.anomaly:
-            print("anomaly detection is on, but a stream makes no alerts: `anomaly replay` judges its output", file=sys.stderr)
         lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths, recursive=s.recursive)
         records = parsed_records(lines, s.fmt, s.custom, s.names, **s.filters)
-        query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules))
+        query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules), judge=stream_judge(spark, s, args.checkpoint, args.tail) if s.anomaly else None)
         query.awaitTermination()
     elif args.what == "status":
         for row in detector_status(spark, s):
             print(json.dumps(row))
         if s.alert_file and s.feedback_file:
-            for row in A.lifecycle(spark.read.json(s.alert_file), read_feedback(spark, s.feedback_file), s.max_resolved).groupBy("status").count().orderBy("status").collect():
+            for row in A.lifecycle(read_alerts(spark, s.alert_file), read_feedback(spark, s.feedback_file), s.max_resolved).groupBy("status").count().orderBy("status").collect():
                 print(f"{row.status}\t{row['count']}")
     elif args.what == "reset":
         append_log(spark.createDataFrame([(args.source, None, True)], "source string, state string, removed boolean"), f"{s.state_file}/detectors")
@@ -258,14 +284,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         alerts = judged_alerts(rows, s)
         write_alerts(alerts, s.alert_file) if s.alert_file else alerts.show(truncate=False)
     elif args.what == "alerts":
-        alerts = spark.read.json(s.alert_file)
+        alerts = read_alerts(spark, s.alert_file)
         if s.feedback_file:
             alerts = A.lifecycle(alerts, read_feedback(spark, s.feedback_file), s.max_resolved)
         for row in A.listing(alerts, args.status, args.source, args.sort).toJSON().toLocalIterator():
             print(row)
     else:
-        for row in A.tuned_thresholds(read_feedback(spark, s.feedback_file), spark.read.json(s.alert_file)).collect():
-            print(f"{row.detector}\t{row.source}\t{row.threshold:.4f}")
+        moved = tuned(spark, s).overrides
+        for (detector, source), threshold in sorted(moved.items()):
+            print(f"{detector}\t{source}\t{threshold:.4f}")
     return 0
 
 

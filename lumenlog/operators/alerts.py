@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from lumenlog.functions import scalars as S
 
 
-def dedup(alerts: DataFrame, seconds: int = 600) -> DataFrame:
+def dedup(alerts: DataFrame, seconds: int = 600, last: DataFrame | None = None) -> DataFrame:
     """Drops an alert that comes within seconds of the last kept one of its (source, type): an ordered fold over that pair's times.
 
-    The fold sees one long for each alert of a pair; alerts, unlike records, are few.
+    The fold sees one long for each alert of a pair; alerts, unlike records, are few. last: (source, alert_type, last_at in microseconds) of alerts kept
+    earlier, which the fold goes on from; an alert that isn't later than these goes.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     step = lambda at, t: F.when(at["last"].isNull() | (t - at["last"] >= seconds * 1_000_000), F.struct(t.alias("last"), F.concat(at["out"], F.array(t)).alias("out"))).otherwise(at)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
-    kept = alerts.groupBy("source", "alert_type").agg(F.aggregate(F.array_sort(F.collect_set(micros)), start, step)["out"].alias("kept")).select("source", "alert_type", F.explode("kept").alias("at"))
+    told = alerts.withColumn("last_at", F.lit(None).cast("long")) if last is None else alerts.join(last, ["source", "alert_type"], "left")
+    start = F.struct(F.max("last_at").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    kept = told.groupBy("source", "alert_type").agg(F.aggregate(F.array_sort(F.collect_set(micros)), start, step)["out"].alias("kept")).select("source", "alert_type", F.explode("kept").alias("at"))
     first = alerts.withColumn("at", micros).withColumn("_n", F.row_number().over(Window.partitionBy("source", "alert_type", "at").orderBy("trigger_value", "description"))).filter("_n = 1").drop("_n")
     return first.join(kept, ["source", "alert_type", "at"]).select(alerts.columns)
 
@@ -87,6 +89,11 @@ def apply_suppression(alerts: DataFrame, rules: Sequence[Suppression]) -> DataFr
     return out.withColumn("severity", F.when(F.col("action") == "downgrade", S.downgrade(F.col("severity"))).otherwise(F.col("severity")))
 
 
+def with_ids(alerts: DataFrame) -> DataFrame:
+    """alerts with a stable alert_id."""
+    return alerts.withColumn("alert_id", F.substring(F.sha2(F.concat_ws("|", "source", "alert_type", F.unix_micros(F.col("ts").cast("timestamp")), "detector"), 256), 1, 16))
+
+
 def release(judged: DataFrame) -> DataFrame:
     """What goes out: suppressed alerts don't; delayed ones do, at their end, if the same (source, type) came again in between."""
     later = judged.select(F.col("source").alias("s"), F.col("alert_type").alias("k"), F.col("ts").alias("again"))
@@ -111,12 +118,14 @@ def lifecycle(alerts: DataFrame, feedback: DataFrame, newest_resolved: int = 100
     return out.filter("status <> 'resolved'").unionByName(top).drop("_last")
 
 
-def tuned_thresholds(feedback: DataFrame, alerts: DataFrame, initial: float = 3.0) -> DataFrame:
-    """detector, source, threshold after ordered feedback: a false positive raises it by 5 % up to 3 times the initial one, a true one lowers it by 2 % down to 0.3 times."""
-    step = lambda t, x: F.when(x["fp"], F.least(t * 1.05, F.lit(3 * initial))).otherwise(F.greatest(t * 0.98, F.lit(0.3 * initial)))
+def tuned_thresholds(feedback: DataFrame, alerts: DataFrame, initial: float = 3.0, by_detector: Mapping[str, float] | None = None) -> DataFrame:
+    """detector, source, threshold after ordered feedback: a false positive raises it by 5 % up to 3 times the initial one, a true one lowers it by 2 % down to 0.3 times.
+    The initial one is that of the detector, else initial."""
+    first = F.coalesce(*(F.when(F.col("detector") == d, F.lit(float(v))) for d, v in (by_detector or {}).items()), F.lit(float(initial)))
+    step = lambda t, x: F.when(x["fp"], F.least(t * 1.05, 3 * first)).otherwise(F.greatest(t * 0.98, 0.3 * first))
     told = feedback.filter("is_false_positive IS NOT NULL").join(alerts.select("alert_id", "detector", "source"), "alert_id").filter("detector IN ('frequency', 'error_rate')")
     marks = F.array_sort(F.collect_list(F.struct("at", F.col("is_false_positive").alias("fp"))))
-    return told.groupBy("detector", "source").agg(F.aggregate(marks, F.lit(float(initial)), step).alias("threshold"))
+    return told.groupBy("detector", "source").agg(F.aggregate(marks, first, step).alias("threshold"))
 
 
 def alert_stats(alerts: DataFrame) -> DataFrame:

@@ -145,11 +145,12 @@ def templated_records(records: DataFrame) -> DataFrame:
     return records.filter("ts IS NOT NULL").select("source", F.col("ts").cast("timestamp").alias("ts"), "level", S.templatize(F.col("message")).alias("template"), F.col("line_no").cast("long").alias("line_no"))
 
 
-def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, states: DataFrame | None = None, save: bool = False) -> DataFrame:
+def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, states: DataFrame | None = None, save: bool = False, finish: bool = True, idle_since: float | None = None) -> DataFrame:
     """Alerts of all detectors in event time. records: source, ts, level, message, line_no; rows without a time are passed over.
 
-    A source's last window closes at its last record. Templates of a source are kept as long as the fold runs. states: (source, state) of an earlier run to
-    go on from, as save returns them besides the alerts: rows with state, all else null.
+    A source's last window closes at its last record, or without finish stays open in the state, and records come in the order of time, then line. Templates of a source are kept as long as the fold runs. states: (source, state) of an
+    earlier run to go on from, as save returns them besides the alerts: rows with state, all else null. idle_since (seconds of the wall clock): windows of a state
+    whose end is not after it, of sources without new records, close at their end.
     """
     config = config or DetectorConfig()
     names = [c.split()[0] for c in ALERT.split(", ")] + ["state"]
@@ -160,7 +161,9 @@ def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, st
         def ended() -> list[tuple]:
             if state is None:
                 return []
-            rows = [(*a, None) for a in state.close(last)] if last is not None else []
+            rows = [(*a, None) for a in state.close(last)] if last is not None and finish else []
+            if last is None and idle_since is not None:
+                rows = [(*a, None) for d in DETECTORS if state.start[d] is not None and (end := state.start[d] + config.seconds(d)) <= idle_since for a in state.close(end, (d,))]
             told = (None, None, None, state.source, *[None] * 7, json.dumps(state.frozen(), sort_keys=True))
             return [*rows, told] if save else rows
 
@@ -181,7 +184,7 @@ def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, st
     dealt = templated_records(records).withColumn("state", F.lit(None).cast("string"))
     if states is not None:
         dealt = dealt.unionByName(states.select("source", F.lit(-1).cast("long").alias("line_no"), "state"), allowMissingColumns=True)
-    out = dealt.repartition("source").sortWithinPartitions("source", F.col("state").isNull(), "line_no").mapInPandas(fold, f"{ALERT}, state string")
+    out = dealt.repartition("source").sortWithinPartitions("source", F.col("state").isNull(), *(["line_no"] if finish else ["ts", "line_no"])).mapInPandas(fold, f"{ALERT}, state string")
     return out if save else out.drop("state")
 
 

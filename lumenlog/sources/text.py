@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenlog.operators.detectors import ALERT
+
 
 def input_files(spark: SparkSession, paths: Sequence[str] | str, recursive: bool = True, glob: str | None = None) -> list[str]:
     """The files behind paths (files, folders, patterns), each once, in order; ValueError where there are none."""
@@ -82,13 +84,17 @@ def unread(lines: DataFrame, done: DataFrame | None) -> DataFrame:
 def read_sanitized(spark: SparkSession, path: str) -> DataFrame:
     """Records of written JSON lines, for replay in event time; lines that are no JSON are left out."""
     schema = "timestamp string, level string, source string, message string, extra map<string,string>, _bad string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").json(path)
     return rows.filter("_bad IS NULL").select(F.col("timestamp").try_cast("timestamp").alias("ts"), F.coalesce("level", F.lit("UNKNOWN")).alias("level"), "source", "message", "extra")
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """alert_id, action, is_false_positive, at, and error for lines that are none."""
-    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    """alert_id, action, is_false_positive, at, and error for lines that are none; no rows where there is no file yet."""
+    try:
+        found = spark.read.text(path)
+    except AnalysisException:
+        found = spark.createDataFrame([], "value string")
+    lines = found.filter("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
     doc = F.from_json("value", "alert_id string, action string, is_false_positive boolean")
     return lines.withColumn("d", doc).select("d.alert_id", "d.action", "d.is_false_positive", "at", F.when(F.col("d.alert_id").isNull(), "no alert_id").alias("error"))
 
@@ -105,6 +111,11 @@ def write_records(standard: DataFrame, path: str, mode: str = "append", split: s
         out.select("value").write.mode(mode).text(path)
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    """Alerts as JSON lines, appended."""
-    alerts.write.mode("append").option("ignoreNullFields", "false").json(path)
+def write_alerts(alerts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Alerts as JSON lines, appended; those of a stream's batch in a folder of its own, so that a batch that is run again writes nothing twice."""
+    alerts.write.mode("overwrite" if batch else "append").option("ignoreNullFields", "false").json(f"{path}/batch={batch}" if batch else path)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Written alerts of runs and streams."""
+    return spark.read.option("recursiveFileLookup", "true").schema(f"{ALERT}, alert_id string").json(path)

@@ -1,15 +1,15 @@
-"""The live engine: the batch expressions over a file stream, routed sinks, and anchored windows as arbitrary state."""
+"""The live engine: the batch expressions over a file stream, routed sinks, and counts in windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenlog.operators.detect import BUILTIN, Rule
 from lumenlog.operators.parse import parse_lines
@@ -37,43 +37,33 @@ def live_records(lines: DataFrame, fmt: str = "auto", rules: Sequence[Rule] = BU
     return standard(sanitize_records(parsed_records(lines, fmt, custom, names, **filters), rules))
 
 
-def start_routed(records: DataFrame, targets: Sequence[tuple[str, str]], default: str, checkpoint: str, once: bool = True, rules: Callable[[], Sequence[Rule]] | None = None) -> StreamingQuery:
+def batch_name(checkpoint: str, number: int) -> str:
+    """A name of a stream's micro-batch that is the same when it is run again, and another stream's isn't."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:8]}-{number}"
+
+
+def start_routed(
+    records: DataFrame, targets: Sequence[tuple[str, str]], default: str, checkpoint: str, once: bool = True, rules: Callable[[], Sequence[Rule]] | None = None, judge: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
     """Writes JSON lines to the target of each record's level; once: all that is there, then stop. With rules, records are parsed ones, and
-    each micro-batch is sanitized by what rules() gives at its time."""
+    each micro-batch is sanitized by what rules() gives at its time; judge gets these sanitized records and the batch's number.
+
+    Each micro-batch has a folder of its own in its targets, which it writes anew where it is run again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        if rules is not None:
-            batch = standard(sanitize_records(batch, rules()))
-        routed = batch.withColumn("target", route(targets, default)).select("target", F.col("json").alias("value")).persist()
+        clean = (batch if rules is None else sanitize_records(batch, rules())).persist(StorageLevel.DISK_ONLY)
+        routed = (clean if rules is None else standard(clean)).withColumn("target", route(targets, default))
         for target in sorted({default, *(t for _, t in targets)}):
-            routed.filter(F.col("target") == target).select("value").write.mode("append").text(target)
-        routed.unpersist()
+            routed.filter(F.col("target") == target).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{target}/batch={batch_name(checkpoint, number)}")
+        if judge is not None:
+            judge(clean, number)
+        clean.unpersist()
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-WINDOW = "source string, start timestamp, n long, errors long"
-
-
-def anchored_windows(records: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """Closed anchored windows of a stream of source, ts, level. State of a source: the open window's start and counts."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n, errors = state.get if state.exists else (None, 0, 0)
-        out = []
-        for ts, level in pd.concat(batches).sort_values("ts")[["ts", "level"]].itertuples(index=False):
-            if start is not None and (ts - pd.Timestamp(start, unit="us")).total_seconds() >= seconds:
-                out.append((key[0], pd.Timestamp(start, unit="us"), n, errors))
-                start, n, errors = None, 0, 0
-            start = int(ts.value // 1000) if start is None else start
-            n, errors = n + 1, errors + (level in ("ERROR", "WARN"))
-        state.update((start, n, errors))
-        yield pd.DataFrame(out, columns=["source", "start", "n", "errors"])
-
-    return records.select("source", F.col("ts").cast("timestamp").alias("ts"), "level").groupBy("source").applyInPandasWithState(step, WINDOW, "start long, n long, errors long", "append", GroupStateTimeout.NoTimeout)
-
-
 def grid_stream(records: DataFrame, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
     """Counts and errors in windows of a fixed grid, with a watermark for late records."""
     return records.withWatermark("ts", late).groupBy("source", F.window("ts", f"{seconds} seconds")).agg(F.count("*").alias("n"), F.count_if(F.col("level").isin("ERROR", "WARN")).alias("errors")).select("source", F.col("window.start").alias("start"), "n", "errors")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from lumenlog import cli
 from lumenlog.config import parse_settings
+from lumenlog.operators import alerts as A
 from lumenlog.operators import detectors as D
 from lumenlog.operators.nested import field_path, leaves
 from lumenlog.sources.text import read_lines
+from lumenlog.streaming.judge import StreamJudge
 
 
 def settings(folder, **more):
@@ -77,6 +79,32 @@ def test_detectors_go_on_from_a_stored_state(spark, tmp_path):
     assert "new_pattern" in kinds and any("new_pattern" in x for x in whole) and json.loads(next(r.state for r in second if r.state))["seen"] == 120
 
 
+def test_stream_judge(spark, tmp_path):
+    """Windows go on over batches, idle ones close by the clock, delayed alerts wait for their repetition, and a batch run again gives the same."""
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    frame = lambda rows: spark.createDataFrame([(x, start + dt.timedelta(seconds=t), "INFO", "m", 0) for x, t in rows], "source string, ts timestamp, level string, message string, line_no long")
+    got: dict[int, list] = {}
+    emit = lambda alerts, n: got.__setitem__(n, sorted((r.source, r.alert_type, int(r.ts.timestamp() - start.timestamp())) for r in alerts.collect()))
+    config = D.DetectorConfig(window_seconds=10, multiplier=2)
+    clock = [start.timestamp()]
+    rule = A.Suppression("wait", "delay", source_pattern="slow", delay_seconds=100)
+    judge = StreamJudge(str(tmp_path / "state"), lambda: config, emit, (rule,), dedup_seconds=5, clock=lambda: clock[0])
+    calm = [(x, t) for x in ("a", "slow") for t in (0, 10, 20)]
+    judge(frame(calm), 0)
+    judge(frame([(x, 21 + t / 4) for x in ("a", "slow") for t in range(30)]), 1)
+    assert got == {0: [], 1: []}  # the burst's window is open
+    clock[0] += 31
+    judge(frame([("b", 30)]), 2)  # a and slow are idle: their windows close at 30
+    assert got[2] == [("a", "frequency_spike", 30)]
+    later = [("slow", 31 + t / 100) for t in range(900)] + [("slow", 45)]
+    judge(frame(later), 3)
+    assert got[3] == [("slow", "frequency_spike", 30)]  # it came again within 100 seconds
+    judge(frame(later), 3)
+    assert got[3] == [("slow", "frequency_spike", 30)]
+    judge(frame([]), 4)
+    assert got[4] == []
+
+
 def test_thresholds_and_windows_of_detectors():
     s = parse_settings({"inputs": {"paths": "x"}, "output": {"stdout": True}, "anomaly_detection": {"algorithms": {"frequency": {"threshold_multiplier": "auto", "window_size_seconds": 60, "initial_threshold_multiplier": 4}, "error_rate": {"z_score_threshold": {"default": "auto", "db": 5}, "window_size_seconds": 120}}}})
     d = s.detectors
