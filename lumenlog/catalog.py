@@ -131,6 +131,11 @@ def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.anchored_alerts(_events(spark, sf_dir), D.DetectorConfig(window_seconds=86400, multiplier=1.1, z_threshold=1.5, min_samples=50))
 
 
+def anchored_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of all detectors in anchored windows, their times in microseconds."""
+    return anchored(spark, sf_dir).withColumn("micros", F.unix_micros("ts")).drop("ts")
+
+
 def alert_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts deduplicated, correlated, suppressed and counted."""
     rules = [A.Suppression("night", "suppress", cron="* 0-5 * * *", alert_types=("new_pattern",)), A.Suppression("calm", "downgrade", severities=("WARNING",), source_pattern="^u[0-4]$")]
@@ -148,7 +153,7 @@ QUERIES = {
     "parse_plain": _parsed("plain"), "parse_json": _parsed("json"), "parse_access": _parsed("access"), "parse_syslog": _parsed("syslog"),
     "filtered": filtered, "standard_json": standard_json, "routed": routed, "report": report, "report_kinds": report_kinds, "previewed": previewed,
     "templates": templated, "new_patterns": patterns_new, "grid_windows": grid, "frequency_spikes": spikes, "error_surges": surges,
-    "anchored_alerts": anchored, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
+    "anchored_alerts": anchored_micros, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
 }
 
 flagship = detect_counts
@@ -158,6 +163,31 @@ _BASE = """e AS (SELECT event_id, event_id AS line_no, ts, user_id, event_type,
   'user ' || user_id || ' ' || event_type || ' from 10.' || (user_id % 256) || '.' || (event_id % 256) || '.1' AS message FROM events)"""
 _GRID = f"""WITH {_BASE}, g AS (SELECT source, (floor(epoch_us(ts) / 86400000000) * 86400)::BIGINT AS w, count(*) AS n,
   count(*) FILTER (level IN ('ERROR', 'WARN')) AS errors FROM e GROUP BY ALL)"""
+# Windows open at a record and close with the first later one of the source that comes a day or more after; closing alerts tell the lines from the window's first to the one before.
+_ANCHORED = f"""WITH RECURSIVE {_BASE}, r AS (SELECT source, line_no, epoch_us(ts) AS us, level, 'user <NUM> ' || event_type || ' from <IP>' AS template, row_number() OVER (PARTITION BY source ORDER BY line_no) AS nth FROM e),
+opened AS (SELECT source, 1 AS k, nth, us FROM r WHERE nth = 1
+  UNION ALL SELECT o.source, o.k + 1, min(r.nth), arg_min(r.us, r.nth) FROM opened o JOIN r ON r.source = o.source AND r.nth > o.nth AND r.us >= o.us + 86400000000 GROUP BY o.source, o.k),
+b AS (SELECT source, k, nth AS low, coalesce(lead(nth) OVER s, 9000000000000000000) AS high, lead(us) OVER s AS closing FROM opened WINDOW s AS (PARTITION BY source ORDER BY k)),
+w AS (SELECT b.source, k, low, high, coalesce(any_value(closing), arg_max(us, nth)) AS micros, min_by(line_no, nth) AS line_start, max_by(line_no, nth) AS line_end, count(*) AS n,
+  count(*) FILTER (level IN ('ERROR', 'WARN')) / count(*) AS rate FROM b JOIN r ON r.source = b.source AND nth >= low AND nth < high GROUP BY b.source, k, low, high),
+ew AS (SELECT source, k, n / 86400::DOUBLE AS f, NULL::DOUBLE AS before, n / 86400::DOUBLE AS after FROM w WHERE k = 1
+  UNION ALL SELECT w.source, w.k, w.n / 86400::DOUBLE, ew.after, 0.3::DOUBLE * (w.n / 86400::DOUBLE) + (1 - 0.3::DOUBLE) * ew.after FROM ew JOIN w ON w.source = ew.source AND w.k = ew.k + 1),
+past AS (SELECT source, k, list_sort(list(rate) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS p FROM w),
+med AS (SELECT *, (p[len(p) // 2 + len(p) % 2] + p[len(p) // 2 + 1]) / 2 AS m FROM past WHERE len(p) > 0),
+dev AS (SELECT *, list_sort(list_transform(p, lambda x: abs(x - m))) AS d FROM med),
+mad AS (SELECT *, (d[len(d) // 2 + len(d) % 2] + d[len(d) // 2 + 1]) / 2 AS a FROM dev),
+z AS (SELECT w.*, p[len(p) // 2 + 1] AS mid, CASE WHEN a > 0 THEN (rate - m) / (1.4826::DOUBLE * a) WHEN rate = m THEN 0 ELSE 'inf'::DOUBLE END AS z FROM mad JOIN w USING (source, k)),
+firsts AS (SELECT source, template, min(nth) AS nth FROM r GROUP BY ALL),
+here AS (SELECT w.source, k, f.template, max(r.nth) IS NOT NULL AS present FROM w JOIN firsts f ON f.source = w.source AND f.nth < high
+  LEFT JOIN r ON r.source = w.source AND r.template = f.template AND r.nth >= low AND r.nth <= high GROUP BY ALL),
+runs AS (SELECT *, count(*) FILTER (present) OVER (PARTITION BY source, template ORDER BY k) AS run FROM here),
+gone AS (SELECT source, k, template, row_number() OVER (PARTITION BY source, template, run ORDER BY k) AS absent FROM runs WHERE NOT present)
+SELECT micros, 'WARNING' AS severity, 'frequency_spike' AS alert_type, source, 'frequency' AS detector, f AS trigger_value, before * 1.1::DOUBLE AS threshold, before AS baseline_value, line_start, line_end, format('{{:.4f}} records a second', f) AS description
+FROM ew JOIN w USING (source, k) WHERE f > before * 1.1::DOUBLE
+UNION ALL SELECT micros, 'WARNING', 'error_rate_surge', source, 'error_rate', rate, 1.5, mid, line_start, line_end, format('error rate {{:.4f}}, z {{:.2f}}', rate, z) FROM z WHERE z > 1.5
+UNION ALL SELECT r.us, 'WARNING', 'new_pattern', r.source, 'pattern', 1, 50, 0, w.line_start, r.line_no, 'new: ' || r.template FROM firsts JOIN r USING (source, template, nth) JOIN w ON w.source = r.source AND r.nth >= low AND r.nth < high WHERE r.nth > 50
+UNION ALL SELECT micros, 'INFO', 'pattern_disappeared', w.source, 'pattern', 3, 3, (SELECT count(*) FROM r WHERE r.source = w.source AND r.template = g.template AND r.nth < w.high), line_start, line_end, 'not seen: ' || g.template
+FROM gone g JOIN w ON w.source = g.source AND w.k = g.k WHERE absent % 3 = 0"""
 _PARSED = "SELECT line_no, '{fmt}' AS fmt, {level} AS level, {message} AS message, epoch(date_trunc('second', ts))::BIGINT AS epoch, {detail} AS detail FROM e"
 _LUHN = "list_sum(list_transform(range(len({v})), lambda i: CASE WHEN i % 2 = 0 THEN {v}[len({v}) - i]::INT ELSE CASE WHEN {v}[len({v}) - i]::INT > 4 THEN {v}[len({v}) - i]::INT * 2 - 9 ELSE {v}[len({v}) - i]::INT * 2 END END)) % 10 = 0"
 _HEX = lambda pad: "".join(f"\\x{b ^ pad:02X}" for b in b"key".ljust(64, b"\0"))
@@ -198,6 +228,7 @@ SELECT event_id, {_LUHN.format(v="c")} AS luhn,
   FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY line_no) <= 20""",
     "templates": r"""WITH t AS (SELECT regexp_replace(url, '/\d+$', '/<VAR>') AS u FROM pages), v AS (SELECT regexp_replace(u, '/\d+/', '/<VAR>/', 'g') AS u FROM t)
 SELECT regexp_replace(u, '\b\d+\b', '<NUM>', 'g') AS template, count(*) AS n FROM v GROUP BY ALL""",
+    "anchored_alerts": _ANCHORED,
     "new_patterns": f"""WITH {_BASE}, t AS (SELECT source, line_no, 'user <NUM> ' || event_type || ' from <IP>' AS template, row_number() OVER (PARTITION BY source ORDER BY line_no) AS nth FROM e)
 SELECT source, template, min(line_no) AS line_no FROM t GROUP BY source, template HAVING min(nth) > 100""",
     "grid_windows": _GRID + " SELECT source, w, n, errors, round(errors / n, 9) AS rate FROM g",
