@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlog.llm.chat_format import OP9_SQL, op9_chat_format
 from lumenlog.llm.decontaminate import OP6_SQL, op6_decontaminate
 from lumenlog.llm.html_extract import op8_html_extract
+from lumenlog.llm.manifest import OP11_SQL, op11_merkle_manifest
 from lumenlog.llm.media_chunks import op5_media_chunks
 from lumenlog.llm.mixing import op1_mix_sources
 from lumenlog.llm.near_dedup import op7_near_dedup
@@ -41,11 +42,13 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {
     "op6_decontaminate": OP6_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "url_rules": r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
