@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenlog.llm.chat_format import OP9_SQL, op9_chat_format
 from lumenlog.llm.decontaminate import OP6_SQL, op6_decontaminate
+from lumenlog.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from lumenlog.llm.html_extract import op8_html_extract
 from lumenlog.llm.manifest import OP11_SQL, op11_merkle_manifest
 from lumenlog.llm.media_chunks import op5_media_chunks
 from lumenlog.llm.mixing import op1_mix_sources
 from lumenlog.llm.near_dedup import op7_near_dedup
 from lumenlog.llm.quality import op3_quality
+from lumenlog.llm.quality_rules import COUNTS_SQL, op13_quality_rules, rule_counts
 from lumenlog.llm.token_counts import op4_token_counts
 from lumenlog.llm.toxicity import op10_toxicity
 from lumenlog.llm.url_filter import op2_url_filter
@@ -43,12 +45,17 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_rules": op13_quality_rules,
+    "rule_counts": rule_counts,
 }
 
 SQL = {
     "op6_decontaminate": OP6_SQL,
     "op9_chat_format": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "rule_counts": COUNTS_SQL,
     "url_rules": r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
