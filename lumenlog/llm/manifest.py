@@ -7,7 +7,7 @@ up these links: each step joins the climbers with the nodes, appends the sibling
 document by itself: a changed one folds to another root.
 
 Leaves are numbered through range partitions, of which the driver sees one count each; runs of three are grouped by number, so a hot source spreads over
-all tasks as any other. What a step shuffles are ids and one hash a leaf; nothing is broadcast by a hint.
+all tasks as any other. What a step shuffles are ids and one hash a leaf; the upper levels, of at most UPPER nodes, are broadcast.
 
 Defined results: nulls in any column have a mark of their own, so differ from empty texts; texts are hashed whole; rows with the same id are ordered by
 leaf, so equal rows are interchangeable; a lone leaf is its own subroot and a lone subroot the root, with the hash of nothing as a lone leaf's proof;
@@ -26,6 +26,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FAN = 3
 #: Level of the subroots in node ids; trees of sources stay below it, as positions have 56 bits.
 TOP = 40
+#: Upper nodes that are broadcast, at most: some 8 MB.
+UPPER = 1 << 16
 
 
 def digest(*fields: Column) -> Column:
@@ -89,28 +91,49 @@ def grown(leaves: DataFrame, base: int, several: bool) -> tuple[list[DataFrame],
     return levels, tops
 
 
-def climbed(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """at, proof_sha256, folded_root of starts (at, parent, place, start) by a recursive query over nodes: one row a step with its siblings, folded as it goes."""
-    rows = "spark.sql.cteRecursionRowLimit"
-    was = spark.conf.get(rows)
-    steps = spark.sql(
+def steps_up(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The climb of starts (at, depth, parent, place, folded) by a recursive query as far as nodes go: a row for the start and for each step, with the siblings met."""
+    return spark.sql(
         """WITH RECURSIVE climb(at, depth, parent, place, siblings, folded) AS (
-          SELECT at, 0, parent, place, CAST(array() AS ARRAY<BINARY>), start FROM {starts}
+          SELECT at, depth, parent, place, CAST(array() AS ARRAY<BINARY>), folded FROM {starts}
           UNION ALL
           SELECT c.at, c.depth + 1, n.parent, n.place, concat(slice(n.children, 1, c.place), slice(n.children, c.place + 2, 3)),
             unhex(sha2(CAST(array_join(transform(concat(slice(n.children, 1, c.place), array(c.folded), slice(n.children, c.place + 2, 3)), h -> lower(hex(h))), '') AS BINARY), 256))
           FROM climb c JOIN {nodes} n ON c.parent = n.id)
-        SELECT at, depth, siblings, folded FROM climb""",
+        SELECT * FROM climb""",
         starts=starts,
         nodes=nodes,
     )
-    path = F.array_sort(F.collect_list(F.struct("depth", "siblings")))
-    whole = steps.groupBy("at").agg(F.lower(F.hex(joined(F.flatten(path["siblings"])))).alias("proof_sha256"), F.lower(F.hex(F.max_by("folded", "depth"))).alias("folded_root"))
+
+
+def climbed(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """at, proof_sha256, folded_root of starts (at, parent, place, start). Up to the level above which at most UPPER nodes lie, climbers are shuffled to the nodes of a step;
+    those few upper nodes are broadcast."""
+    rows = "spark.sql.cteRecursionRowLimit"
+    was = spark.conf.get(rows)
+    split, above = 0, 0
+    for r in nodes.groupBy(F.shiftright("id", 56).alias("level")).count().orderBy(F.desc("level")).collect():  # a row for each level
+        above += r["count"]
+        if above > UPPER:
+            split = r["level"]
+            break
+    bound = F.lit((split + 1) << 56)
     try:
         spark.conf.set(rows, -1)  # the recursion ends with the tree's height
-        return settle(whole, "climbed")
+        at = starts.select("at", F.lit(0).alias("depth"), "parent", "place", F.col("start").alias("folded"))
+        lower = settle(steps_up(spark, at, nodes.filter(F.col("id") < bound)), "lower") if split else None
+        if lower is not None:
+            at = lower.filter(F.coalesce(F.col("parent") >= bound, F.lit(True))).drop("siblings")
+        steps = steps_up(spark, at, F.broadcast(nodes.filter(F.col("id") >= bound)))
+        steps = (steps if lower is None else steps.unionByName(lower)).select("at", "depth", "siblings", "folded")
+        path = F.array_sort(F.collect_list(F.struct("depth", "siblings")))
+        whole = steps.groupBy("at").agg(F.lower(F.hex(joined(F.flatten(path["siblings"])))).alias("proof_sha256"), F.lower(F.hex(F.max_by("folded", "depth"))).alias("folded_root"))
+        out = settle(whole, "climbed")
     finally:
         spark.conf.set(rows, was)
+    if lower is not None:
+        discard(lower)
+    return out
 
 
 def manifest(docs: DataFrame, changed: Column | None = None) -> tuple[DataFrame, str | None]:

@@ -62,6 +62,11 @@ def manifest_rows(spark, rows):
     return sorted(map(tuple, out.collect()), key=repr)
 
 
+def test_manifest_with_few_upper_nodes(spark, monkeypatch):
+    monkeypatch.setattr(M, "UPPER", 4)
+    test_manifest(spark)
+
+
 def test_manifest(spark):
     rng = random.Random(4)
     rows = [(k, f"text {k}\nof ä line {k % 3}", "en", f"s{0 if k % 3 == 0 else k % 7}", k) for k in range(60)]
