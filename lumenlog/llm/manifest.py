@@ -107,11 +107,11 @@ def steps_up(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFr
 
 
 def climbed(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """at, proof_sha256, folded_root of starts (at, parent, place, start). Up to the level above which at most UPPER nodes lie, climbers are shuffled to the nodes of a step;
-    those few upper nodes are broadcast."""
+    """at, proof_sha256, folded_root of starts (at, parent, place, start). On the first level, and up to that above which at most UPPER nodes lie, climbers are shuffled to the
+    nodes of a step; those few upper nodes are broadcast."""
     rows = "spark.sql.cteRecursionRowLimit"
     was = spark.conf.get(rows)
-    split, above = 0, 0
+    split, above = 1, 0
     for r in nodes.groupBy(F.shiftright("id", 56).alias("level")).count().orderBy(F.desc("level")).collect():  # a row for each level
         above += r["count"]
         if above > UPPER:
@@ -121,18 +121,15 @@ def climbed(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFra
     try:
         spark.conf.set(rows, -1)  # the recursion ends with the tree's height
         at = starts.select("at", F.lit(0).alias("depth"), "parent", "place", F.col("start").alias("folded"))
-        lower = settle(steps_up(spark, at, nodes.filter(F.col("id") < bound)), "lower") if split else None
-        if lower is not None:
-            at = lower.filter(F.coalesce(F.col("parent") >= bound, F.lit(True))).drop("siblings")
-        steps = steps_up(spark, at, F.broadcast(nodes.filter(F.col("id") >= bound)))
-        steps = (steps if lower is None else steps.unionByName(lower)).select("at", "depth", "siblings", "folded")
+        lower = settle(steps_up(spark, at, nodes.filter(F.col("id") < bound)), "lower")
+        at = lower.filter(F.coalesce(F.col("parent") >= bound, F.lit(True))).drop("siblings")
+        steps = steps_up(spark, at, F.broadcast(nodes.filter(F.col("id") >= bound))).unionByName(lower).select("at", "depth", "siblings", "folded")
         path = F.array_sort(F.collect_list(F.struct("depth", "siblings")))
         whole = steps.groupBy("at").agg(F.lower(F.hex(joined(F.flatten(path["siblings"])))).alias("proof_sha256"), F.lower(F.hex(F.max_by("folded", "depth"))).alias("folded_root"))
         out = settle(whole, "climbed")
     finally:
         spark.conf.set(rows, was)
-    if lower is not None:
-        discard(lower)
+    discard(lower)
     return out
 
 
