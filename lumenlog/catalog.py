@@ -126,9 +126,12 @@ def surges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.col("w").cast("long").alias("w"), F.round("z", 6).alias("z"), "surge")
 
 
+_DAY = D.DetectorConfig(window_seconds=86400, multiplier=1.1, z_threshold=1.5, min_samples=50)
+
+
 def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors over anchored windows of a day, in event time."""
-    return D.anchored_alerts(_events(spark, sf_dir), D.DetectorConfig(window_seconds=86400, multiplier=1.1, z_threshold=1.5, min_samples=50))
+    return D.anchored_alerts(_events(spark, sf_dir), _DAY)
 
 
 def anchored_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +139,13 @@ def anchored_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchored(spark, sf_dir).withColumn("micros", F.unix_micros("ts")).drop("ts")
 
 
+def anchored_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors over sources whose lines lie in two files, each with line numbers of its own."""
+    later = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    rows = _events(spark, sf_dir).withColumn("source_file", F.when(later, "b.log").otherwise("a.log")).withColumn("line_no", F.col("line_no") - F.when(later, 1_000_000_000).otherwise(0))
+    return D.anchored_alerts(rows, _DAY).withColumn("micros", F.unix_micros("ts")).drop("ts")
+
+
 def alert_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts deduplicated, correlated, suppressed and counted."""
     rules = [A.Suppression("night", "suppress", cron="* 0-5 * * *", alert_types=("new_pattern",)), A.Suppression("calm", "downgrade", severities=("WARNING",), source_pattern="^u[0-4]$")]
@@ -153,7 +163,7 @@ QUERIES = {
     "parse_plain": _parsed("plain"), "parse_json": _parsed("json"), "parse_access": _parsed("access"), "parse_syslog": _parsed("syslog"),
     "filtered": filtered, "standard_json": standard_json, "routed": routed, "report": report, "report_kinds": report_kinds, "previewed": previewed,
     "templates": templated, "new_patterns": patterns_new, "grid_windows": grid, "frequency_spikes": spikes, "error_surges": surges,
-    "anchored_alerts": anchored_micros, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
+    "anchored_alerts": anchored_micros, "anchored_two_files": anchored_two_files, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
 }
 
 flagship = detect_counts
@@ -229,6 +239,20 @@ SELECT event_id, {_LUHN.format(v="c")} AS luhn,
     "templates": r"""WITH t AS (SELECT regexp_replace(url, '/\d+$', '/<VAR>') AS u FROM pages), v AS (SELECT regexp_replace(u, '/\d+/', '/<VAR>/', 'g') AS u FROM t)
 SELECT regexp_replace(u, '\b\d+\b', '<NUM>', 'g') AS template, count(*) AS n FROM v GROUP BY ALL""",
     "anchored_alerts": _ANCHORED,
+    "anchored_two_files": _ANCHORED.replace("ORDER BY line_no) AS nth", "ORDER BY later, line_no) AS nth").replace("event_id AS line_no, ts", "event_id - CASE WHEN ts >= '2024-01-16' THEN 1000000000 ELSE 0 END AS line_no, ts >= '2024-01-16' AS later, ts"),
+    "alert_pipeline": f"""{_ANCHORED.replace(")\nSELECT micros, 'WARNING' AS severity", "),\nfound AS (SELECT micros, 'WARNING' AS severity", 1)}),
+d AS (SELECT DISTINCT source, alert_type, micros FROM found),
+kept AS (SELECT source, alert_type, min(micros) AS micros FROM d GROUP BY ALL
+  UNION ALL SELECT k.source, k.alert_type, n.micros FROM kept k, LATERAL (SELECT min(d.micros) AS micros FROM d WHERE d.source = k.source AND d.alert_type = k.alert_type AND d.micros >= k.micros + 600000000) n WHERE n.micros IS NOT NULL),
+one AS (SELECT f.* FROM found f JOIN kept USING (source, alert_type, micros) QUALIFY row_number() OVER (PARTITION BY source, alert_type, micros ORDER BY trigger_value, description) = 1),
+o AS (SELECT source, (alert_type = 'error_rate_surge')::INT AS kind, micros AS us, row_number() OVER (PARTITION BY source ORDER BY micros, alert_type = 'error_rate_surge') AS n FROM one WHERE alert_type IN ('frequency_spike', 'error_rate_surge')),
+{catalog_cases.fold_sql("o", 86400)},
+c AS (SELECT source, 'composite_anomaly' AS alert_type, 'CRITICAL' AS severity, 'frequency' AS detector, greatest(spike, surge) AS micros FROM pairs
+  UNION ALL SELECT source, alert_type, severity, detector, micros FROM one WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.source = one.source AND one.micros = CASE one.alert_type WHEN 'frequency_spike' THEN p.spike WHEN 'error_rate_surge' THEN p.surge END)),
+judged AS (SELECT source, alert_type, detector, CASE WHEN severity = 'WARNING' AND source <= 'u4' AND NOT (alert_type = 'new_pattern' AND hour(make_timestamp(micros)) <= 5) THEN 'INFO' ELSE severity END AS severity FROM c
+  WHERE NOT (alert_type = 'new_pattern' AND hour(make_timestamp(micros)) <= 5))
+SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM judged UNION ALL SELECT 'severity', severity, count(*) FROM judged GROUP BY severity UNION ALL SELECT 'alert_type', alert_type, count(*) FROM judged GROUP BY alert_type
+UNION ALL SELECT 'source', source, count(*) FROM judged GROUP BY source UNION ALL SELECT 'detector', detector, count(*) FROM judged GROUP BY detector""",
     "new_patterns": f"""WITH {_BASE}, t AS (SELECT source, line_no, 'user <NUM> ' || event_type || ' from <IP>' AS template, row_number() OVER (PARTITION BY source ORDER BY line_no) AS nth FROM e)
 SELECT source, template, min(line_no) AS line_no FROM t GROUP BY source, template HAVING min(nth) > 100""",
     "grid_windows": _GRID + " SELECT source, w, n, errors, round(errors / n, 9) AS rate FROM g",

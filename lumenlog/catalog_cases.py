@@ -63,7 +63,7 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older syslog form, loose plain text, other stamps, blank and unparseable lines, each line by the first format that fits."""
     lines = _events(spark, sf_dir, "'f' AS source_file", f"{_OTHER_LINE} AS raw").withColumnRenamed("event_id", "line_no").repartition(spark.sparkContext.defaultParallelism, "line_no")
-    return parse_lines(lines, sticky=False).select("line_no", "fmt", "level", "message", F.unix_millis("ts").alias("ms"), "parse_error", F.element_at("extra", "hostname").alias("hostname"))
+    return parse_lines(lines, year=2024, sticky=False).select("line_no", "fmt", "level", "message", F.unix_millis("ts").alias("ms"), "parse_error", F.element_at("extra", "hostname").alias("hostname"))
 
 
 def parse_named(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,12 @@ def alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dedup(_alerts(spark, sf_dir), 21600).groupBy("source", "alert_type").agg(F.count("*").alias("n"), F.sum(F.unix_seconds("ts")).alias("total"))
 
 
+def alerts_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes and surges of a source within three hours become composites, each alert in one at most; and which alerts still wait."""
+    out = A.pair_up(A.dedup(_alerts(spark, sf_dir).drop("alert_id"), 3600), 10800)
+    return out.select("source", "alert_type", "severity", F.unix_micros("ts").alias("micros"), F.col("_open").alias("waits"))
+
+
 def alerts_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rules do to alerts: dropped, downgraded, held back and released."""
     rules = [A.Suppression("off", "suppress", enabled=False), A.Suppression("night", "suppress", cron="* 0-5 * * *", alert_types=("new_pattern",)), A.Suppression("calm", "downgrade", severities=("WARNING", "CRITICAL"), source_pattern="^u[0-4]$"), A.Suppression("wait", "delay", alert_types=("error_rate_surge",), delay_seconds=3600)]
@@ -137,7 +143,7 @@ def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "detect_kinds": detect_kinds, "strategies": strategies, "parse_other": parse_other, "parse_named": parse_named, "sanitize_nested": sanitize_nested, "nested_leaves": nested_leaves,
-    "report_filtered": report_filtered, "late_patterns": late_patterns, "alerts_dedup": alerts_dedup, "alerts_suppressed": alerts_suppressed, "suppression_hits": suppression_hits,
+    "report_filtered": report_filtered, "late_patterns": late_patterns, "alerts_dedup": alerts_dedup, "alerts_correlated": alerts_correlated, "alerts_suppressed": alerts_suppressed, "suppression_hits": suppression_hits,
     "alerts_tuned": alerts_tuned, "alerts_lifecycle": alerts_lifecycle, "alert_counts": alert_counts,
 }
 
@@ -145,6 +151,16 @@ _LUHN = "list_sum(list_transform(range(len({v})), lambda i: CASE WHEN i % 2 = 0
 _CARD_CODE = "(['1','0','X','9','8','7','6','5','4','3','2'])[list_sum(list_transform(range(1, 18), lambda k: substr(v, k, 1)::INT * ([7,9,10,5,8,4,2,1,6,3,7,9,10,5,8,4,2])[k]))::INT % 11 + 1] = substr(v, 18, 1)"
 _A = f"a AS (SELECT event_id AS alert_id, ts, {_SEVERITY}, {_TYPE}, {_SOURCE} FROM events)"
 
+
+def fold_sql(rows: str, seconds: int) -> str:
+    """pairs (source, spike, surge) and ends (source, spike, surge) of rows (source, kind, us, n from 1 in order), in microseconds: what two slots a source hold, row by row."""
+    spike, surge = "CASE WHEN o.kind = 0 THEN o.us ELSE f.spike END", "CASE WHEN o.kind = 1 THEN o.us ELSE f.surge END"
+    met = f"coalesce(abs({spike} - ({surge})) <= {seconds * 1_000_000}, false)"
+    return f"""f AS (SELECT DISTINCT source, 0::BIGINT AS n, NULL::BIGINT AS spike, NULL::BIGINT AS surge, NULL::BIGINT AS a, NULL::BIGINT AS b FROM {rows}
+  UNION ALL SELECT o.source, o.n, CASE WHEN {met} THEN NULL ELSE {spike} END, CASE WHEN {met} THEN NULL ELSE {surge} END, CASE WHEN {met} THEN {spike} END, CASE WHEN {met} THEN {surge} END FROM f JOIN {rows} o ON o.source = f.source AND o.n = f.n + 1),
+pairs AS (SELECT source, a AS spike, b AS surge FROM f WHERE a IS NOT NULL), ends AS (SELECT source, arg_max_null(spike, n) AS spike, arg_max_null(surge, n) AS surge FROM f GROUP BY source)"""
+
+
 SQL = {
     "detect_kinds": f"""
 WITH t AS (SELECT event_id, event_id % 11 AS k, {_KIND_TEXT} AS text FROM events),
@@ -161,7 +177,7 @@ SELECT event_id,
     "parse_other": f"""WITH t AS (SELECT event_id, event_id % 7 AS k, {_OTHER_LINE} AS raw FROM events)
 SELECT event_id AS line_no, CASE WHEN k = 0 THEN 'syslog' WHEN k IN (4, 5) THEN 'unparseable' ELSE 'plaintext' END AS fmt, CASE k WHEN 0 THEN 'WARN' WHEN 1 THEN 'WARN' WHEN 6 THEN 'ERROR' ELSE 'UNKNOWN' END AS level,
   CASE k WHEN 0 THEN 'message ' || event_id WHEN 6 THEN 'strict ' || event_id ELSE raw END AS message,
-  CASE k WHEN 0 THEN epoch_ms(TIMESTAMP '1970-01-15 08:30:45') WHEN 2 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45') WHEN 3 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45') WHEN 6 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45.250') END AS ms,
+  CASE k WHEN 0 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45') WHEN 2 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45') WHEN 3 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45') WHEN 6 THEN epoch_ms(TIMESTAMP '2024-01-15 08:30:45.250') END AS ms,
   CASE k WHEN 4 THEN 'Empty line' WHEN 5 THEN 'Format not detected' END AS parse_error, CASE k WHEN 0 THEN 'host' || (event_id % 5) END AS hostname FROM t""",
     "parse_named": """SELECT event_id AS line_no, CASE WHEN event_id % 9 = 0 THEN 'unparseable' ELSE 'custom' END AS fmt, CASE WHEN event_id % 9 = 0 THEN 'UNKNOWN' ELSE 'ERROR' END AS level,
   CASE WHEN event_id % 9 = 0 THEN '#' || event_id ELSE props END AS message, CASE WHEN event_id % 9 > 0 THEN epoch(date_trunc('second', ts))::BIGINT END AS epoch, CASE WHEN event_id % 9 > 0 THEN 'svc' || (event_id % 3) END AS service FROM events""",
@@ -179,6 +195,14 @@ SELECT source, regexp_replace(t, '\\b\\d+\\b', '<NUM>', 'g') AS template, min(li
 k AS (SELECT source, alert_type, min(ts) AS ts FROM s GROUP BY ALL
   UNION ALL SELECT k.source, k.alert_type, n.ts FROM k, LATERAL (SELECT min(s.ts) AS ts FROM s WHERE s.source = k.source AND s.alert_type = k.alert_type AND s.ts >= k.ts + INTERVAL 6 HOUR) n WHERE n.ts IS NOT NULL)
 SELECT source, alert_type, count(*) AS n, sum(floor(epoch(ts)))::BIGINT AS total FROM k GROUP BY ALL""",
+    "alerts_correlated": f"""WITH RECURSIVE {_A}, s AS (SELECT DISTINCT source, alert_type, ts FROM a),
+k AS (SELECT source, alert_type, min(ts) AS ts FROM s GROUP BY ALL
+  UNION ALL SELECT k.source, k.alert_type, n.ts FROM k, LATERAL (SELECT min(s.ts) AS ts FROM s WHERE s.source = k.source AND s.alert_type = k.alert_type AND s.ts >= k.ts + INTERVAL 1 HOUR) n WHERE n.ts IS NOT NULL),
+o AS (SELECT source, (alert_type = 'error_rate_surge')::INT AS kind, epoch_us(ts) AS us, row_number() OVER (PARTITION BY source ORDER BY ts, alert_type = 'error_rate_surge') AS n FROM k WHERE alert_type <> 'new_pattern'),
+{fold_sql("o", 10800)}
+SELECT source, 'composite_anomaly' AS alert_type, 'CRITICAL' AS severity, greatest(spike, surge) AS micros, false AS waits FROM pairs
+UNION ALL SELECT k.source, k.alert_type, CASE k.alert_type WHEN 'error_rate_surge' THEN 'CRITICAL' WHEN 'frequency_spike' THEN 'WARNING' ELSE 'INFO' END, epoch_us(k.ts), coalesce(k.alert_type <> 'new_pattern' AND epoch_us(k.ts) IN (e.spike, e.surge), false)
+FROM k LEFT JOIN ends e ON e.source = k.source WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.source = k.source AND epoch_us(k.ts) = CASE k.alert_type WHEN 'frequency_spike' THEN p.spike WHEN 'error_rate_surge' THEN p.surge END)""",
     "alerts_suppressed": f"""WITH {_A}, j AS (SELECT *, CASE WHEN alert_type = 'new_pattern' AND hour(ts) <= 5 THEN 'night' WHEN severity IN ('WARNING', 'CRITICAL') AND regexp_matches(source, '^u[0-4]$') THEN 'calm' WHEN alert_type = 'error_rate_surge' THEN 'wait' END AS rule FROM a)
 SELECT alert_id, CASE WHEN rule = 'calm' THEN CASE severity WHEN 'CRITICAL' THEN 'WARNING' ELSE 'INFO' END ELSE severity END AS severity, rule, CASE rule WHEN 'calm' THEN 'downgrade' WHEN 'wait' THEN 'delay' END AS action FROM j
 WHERE rule IS NULL OR rule = 'calm' OR (rule = 'wait' AND EXISTS (SELECT 1 FROM a WHERE a.source = j.source AND a.alert_type = j.alert_type AND a.ts > j.ts AND a.ts <= j.ts + INTERVAL 1 HOUR))""",

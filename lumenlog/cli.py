@@ -23,7 +23,8 @@ from lumenlog.operators.detectors import DetectorConfig, anchored_alerts
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
-from lumenlog.sources.text import append_log, input_files, read_alerts, read_feedback, read_lines, read_log, read_sanitized, unread, write_alerts, write_records
+from lumenlog.sources.resume import FileRange, Manifest, newest, plan, put_manifest, read_ranges, went_on
+from lumenlog.sources.text import input_files, read_alerts, read_feedback, read_lines, read_log, read_sanitized, write_alerts, write_log, write_records
 from lumenlog.streaming.judge import StreamJudge
 from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
@@ -44,11 +45,39 @@ anomaly_detection:
 """
 
 
-def read_records(spark: SparkSession, s: Settings) -> DataFrame:
-    """Parsed records of the inputs, and whether the filters keep them. With a state file only what earlier runs haven't read."""
-    lines = read_lines(spark, input_files(spark, list(s.paths), s.recursive), encoding=s.encoding, sizes=True)
-    lines = unread(lines, read_log(spark, f"{s.state_file}/files", "source_file")) if s.state_file else lines
-    return L.mark_kept(parse_lines(lines, s.fmt, custom=s.custom, names=s.names), **s.filters)
+@dataclasses.dataclass
+class Run:
+    """A run that goes on from earlier ones: what they have done, the ranges that it reads and how many lines these have, and how many files have nothing new."""
+
+    known: Manifest
+    files: list[FileRange] = dataclasses.field(default_factory=list)
+    lines: dict[str, int] = dataclasses.field(default_factory=dict)
+    skipped: int = 0
+
+    @property
+    def number(self) -> int:
+        return self.known.number + 1
+
+    def folder(self, path: str) -> str:
+        return f"{path}/run={self.number}"
+
+    def commit(self, spark: SparkSession, s: Settings) -> None:
+        put_manifest(spark, f"{s.state_file}/runs", went_on(self.known, self.files, self.lines))
+
+
+def next_run(spark: SparkSession, s: Settings) -> Run | None:
+    return Run(newest(spark, f"{s.state_file}/runs")) if s.state_file else None
+
+
+def read_records(spark: SparkSession, s: Settings, run: Run | None = None) -> DataFrame:
+    """Parsed records of the inputs, and whether the filters keep them. In a numbered run only what earlier ones haven't read."""
+    files = input_files(spark, list(s.paths), s.recursive)
+    if run:
+        run.files, run.skipped = plan(files, run.known, s.encoding, s.idle_seconds)
+        lines, run.lines = read_ranges(spark, run.files)
+    else:
+        lines = read_lines(spark, files, encoding=s.encoding, sizes=True)
+    return L.mark_kept(parse_lines(lines, s.fmt, s.year, s.custom, s.names), **s.filters)
 
 
 def tail_lines(spark: SparkSession, s: Settings) -> DataFrame:
@@ -80,17 +109,17 @@ def report(records: DataFrame) -> tuple[dict, dict[str, int], dict[str, int]]:
     return totals, kinds, {r.field: r.n for r in L.top_fields(records).collect()}
 
 
-def judged_alerts(records: DataFrame, s: Settings) -> DataFrame:
-    """Alerts of records after deduplication, correlation and the suppression rules, with a stable alert_id. With a state file the detectors go on
-    from where the last run left each source, and their new states are kept."""
+def judged_alerts(records: DataFrame, s: Settings, run: Run | None = None, by_time: bool = False) -> DataFrame:
+    """Alerts of records after deduplication, correlation and the suppression rules, with a stable alert_id. In a numbered run the detectors go on
+    from where the last one left each source, and their new states are kept."""
     spark, states = records.sparkSession, f"{s.state_file}/detectors"
     config = tuned(spark, s)
-    if s.state_file:
-        both = anchored_alerts(records, config, read_log(spark, states, "source"), save=True).persist(StorageLevel.DISK_ONLY)
-        append_log(both.filter("state IS NOT NULL").select("source", "state"), states)
+    if run:
+        both = anchored_alerts(records, config, read_log(spark, states, "source", run.known.number), save=True, by_time=by_time).persist(StorageLevel.DISK_ONLY)
+        write_log(both.filter("state IS NOT NULL").select("source", "state"), states, run.number)
         found = both.filter("state IS NULL").drop("state")
     else:
-        found = anchored_alerts(records, config)
+        found = anchored_alerts(records, config, by_time=by_time)
     found = A.correlate(A.dedup(found, s.dedup_seconds), s.correlate_seconds)
     out = A.release(A.apply_suppression(found, s.suppression)).drop("rule", "action", "delay_seconds")
     return A.with_ids(out)
@@ -123,34 +152,37 @@ def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool)
 def run(spark: SparkSession, s: Settings) -> dict:
     """The batch run of a configuration; its totals. Values are detected once: what several outputs read is kept on the executors' disks,
     and computed again where an executor is lost. All lines count, only those that the filters keep are sanitized and written."""
-    records = L.sanitize_records(read_records(spark, s), s.rules, s.sanitize_unparseable).persist(StorageLevel.DISK_ONLY)
+    run = next_run(spark, s)
+    records = L.sanitize_records(read_records(spark, s, run), s.rules, s.sanitize_unparseable).persist(StorageLevel.DISK_ONLY)
     try:
-        totals = _outputs(records, s)
-        if s.state_file and not s.dry_run:
-            append_log(records.groupBy("source_file").agg(F.max("file_size").alias("size"), F.max("line_no").alias("lines")), f"{s.state_file}/files")
+        totals = _outputs(records, s, run)
+        if run and not s.dry_run:
+            run.commit(spark, s)
         return totals
     finally:
         records.unpersist()
 
 
-def _outputs(every: DataFrame, s: Settings) -> dict:
+def _outputs(every: DataFrame, s: Settings, run: Run | None) -> dict:
     records = every.filter("kept")
     if s.dry_run:
         L.preview(records).show(truncate=False)
     else:
         if s.file:
-            write_records(L.standard(records), s.file, "overwrite" if s.overwrite else "append", s.split)
+            own = run and not s.overwrite
+            write_records(L.standard(records), run.folder(s.file) if own else s.file, "overwrite" if own or s.overwrite else "append", s.split)
         if s.stdout:
             for row in L.standard(records).select("json").toLocalIterator():
                 print(row.json)
         if s.audit_file:
-            L.audit_log(records).write.mode("append").json(s.audit_file)
+            L.audit_log(records).write.mode("overwrite" if run else "append").json(run.folder(s.audit_file) if run else s.audit_file)
         if s.anomaly and s.alert_file:
-            alerts = judged_alerts(records, s)
-            write_alerts(alerts, s.alert_file)
+            alerts = judged_alerts(records, s, run)
+            write_alerts(alerts, s.alert_file, f"run-{run.number}" if run else None)
             if s.webhook.url:
                 send_alerts(alerts, s.webhook)
     totals, kinds, fields = report(every)
+    totals["skipped_files"] = run.skipped if run else 0
     if s.report_json:
         with open(s.report_json, "w") as f:
             json.dump({"summary": totals, "detections": kinds, "fields": fields}, f, default=str)
@@ -165,7 +197,7 @@ def pipe(spark: SparkSession, s: Settings, lines: Iterable[str], rows: int = 50_
     done, each = 0, iter(lines)
     while chunk := list(islice(each, rows)):
         frame = spark.createDataFrame([("stdin", done + k, x) for k, x in enumerate(chunk, 1)], "source_file string, line_no long, raw string")
-        out = live_records(frame, s.fmt, s.rules, s.custom, s.names, **s.filters).withColumn("target", L.route(s.routes, s.file)).persist()
+        out = live_records(frame, s.fmt, s.rules, s.custom, s.names, s.year, **s.filters).withColumn("target", L.route(s.routes, s.file)).persist()
         for target in sorted({s.file, *(t for _, t in s.routes)}):
             out.filter(F.col("target") == target).select(F.col("json").alias("value")).write.mode("append").text(target)
         out.unpersist()
@@ -175,7 +207,8 @@ def pipe(spark: SparkSession, s: Settings, lines: Iterable[str], rows: int = 50_
 
 def detector_status(spark: SparkSession, s: Settings) -> list[dict]:
     """The detectors' stored state of each source: windows, statistics and how many templates it knows."""
-    states = read_log(spark, f"{s.state_file}/detectors", "source") if s.state_file else None
+    run = next_run(spark, s)
+    states = read_log(spark, f"{s.state_file}/detectors", "source", run.known.number) if run else None
     out = []
     for row in states.orderBy("source").toLocalIterator() if states is not None else ():
         told = json.loads(row.state)
@@ -268,7 +301,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if s.metrics_file:
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
         lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths, recursive=s.recursive)
-        records = parsed_records(lines, s.fmt, s.custom, s.names, **s.filters)
+        records = parsed_records(lines, s.fmt, s.custom, s.names, s.year, **s.filters)
         query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules), judge=stream_judge(spark, s, args.checkpoint, args.tail) if s.anomaly else None)
         query.awaitTermination()
     elif args.what == "status":
@@ -278,11 +311,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for row in A.lifecycle(read_alerts(spark, s.alert_file), read_feedback(spark, s.feedback_file), s.max_resolved).groupBy("status").count().orderBy("status").collect():
                 print(f"{row.status}\t{row['count']}")
     elif args.what == "reset":
-        append_log(spark.createDataFrame([(args.source, None, True)], "source string, state string, removed boolean"), f"{s.state_file}/detectors")
+        this = next_run(spark, s)
+        write_log(spark.createDataFrame([(args.source, None, True)], "source string, state string, removed boolean"), f"{s.state_file}/detectors", this.number)
+        this.commit(spark, s)
     elif args.what == "replay":
         rows = read_sanitized(spark, args.path).withColumn("line_no", F.monotonically_increasing_id())
-        alerts = judged_alerts(rows, s)
-        write_alerts(alerts, s.alert_file) if s.alert_file else alerts.show(truncate=False)
+        this = next_run(spark, s)
+        alerts = judged_alerts(rows, s, this, by_time=True)
+        write_alerts(alerts, s.alert_file, f"run-{this.number}" if this else None) if s.alert_file else alerts.show(truncate=False)
+        if this:
+            this.commit(spark, s)
     elif args.what == "alerts":
         alerts = read_alerts(spark, s.alert_file)
         if s.feedback_file:

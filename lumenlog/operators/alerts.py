@@ -26,29 +26,51 @@ def dedup(alerts: DataFrame, seconds: int = 600, last: DataFrame | None = None)
     return first.join(kept, ["source", "alert_type", "at"]).select(alerts.columns)
 
 
-def correlate(alerts: DataFrame, seconds: int = 30) -> DataFrame:
-    """A frequency spike and an error-rate surge of a source within seconds become one CRITICAL composite; each is paired once, with its nearest.
+#: Types that pair up, in the order in which they are taken at equal times.
+PAIRED = ("frequency_spike", "error_rate_surge")
+
+
+def pair_up(alerts: DataFrame, seconds: int = 30) -> DataFrame:
+    """alerts, a composite in place of each pair, and _open: whether an alert still waits for its partner.
 
-    An interval join on source and time slot, so a hot source's alerts only meet those of neighbouring slots.
+    A source's spikes and surges are taken in the order of time, each waiting in the slot of its type: an alert that finds its slot taken sends the one before on its own way,
+    and once both slots hold alerts within seconds of each other, these become one CRITICAL composite and leave. The fold sees one number for each alert of a source;
+    alerts, unlike records, are few. Equal alerts count once.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    tagged = alerts.withColumn("_t", micros).withColumn("_id", F.xxhash64(*alerts.columns))
-    slot = F.floor(F.col("_t") / (seconds * 1_000_000))
-    spikes = tagged.filter("alert_type = 'frequency_spike'").withColumn("_slot", slot)
-    surges = tagged.filter("alert_type = 'error_rate_surge'").withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    a, b = spikes.alias("a"), surges.alias("b")
-    pairs = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a._slot") == F.col("b._slot")) & (F.abs(F.col("a._t") - F.col("b._t")) <= seconds * 1_000_000))
-    gap = F.struct(F.abs(F.col("a._t") - F.col("b._t")), F.col("a._id"), F.col("b._id"))
-    one = lambda side: F.row_number().over(Window.partitionBy(F.col(f"{side}._id")).orderBy(gap))
-    pairs = pairs.withColumn("_ra", one("a")).withColumn("_rb", one("b")).filter("_ra = 1 AND _rb = 1")
+    tagged = alerts.withColumn("_t", micros).withColumn("_id", F.xxhash64(*alerts.columns)).dropDuplicates(["_id"])
+    kinds = tagged.filter(F.col("alert_type").isin(*PAIRED)).withColumn("_kind", (F.col("alert_type") == PAIRED[1]).cast("int"))
+    slot = "struct<t:bigint,id:bigint>"
+    start = F.struct(F.lit(None).cast(slot).alias("a"), F.lit(None).cast(slot).alias("b"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("pairs"))
+
+    def placed(at: Column, x: Column) -> Column:
+        here = F.struct(x["_t"].alias("t"), x["_id"].alias("id"))
+        return F.struct(F.when(x["_kind"] == 0, here).otherwise(at["a"]).alias("a"), F.when(x["_kind"] == 1, here).otherwise(at["b"]).alias("b"), at["pairs"].alias("pairs"))
+
+    def step(at: Column, x: Column) -> Column:
+        now = placed(at, x)
+        met = F.coalesce(F.abs(now["a"]["t"] - now["b"]["t"]) <= seconds * 1_000_000, F.lit(False))
+        left = F.struct(start["a"].alias("a"), start["b"].alias("b"), F.concat(now["pairs"], F.array(F.struct(now["a"]["id"].alias("a"), now["b"]["id"].alias("b")))).alias("pairs"))
+        return F.when(met, left).otherwise(now)
+
+    ended = kinds.groupBy("source").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_t", "_kind", "_id"))), start, step).alias("end"))
+    found = ended.select(F.explode("end.pairs").alias("p")).select(F.col("p.a").alias("_a"), F.col("p.b").alias("_b"))
+    waiting = ended.select(F.explode(F.array("end.a.id", "end.b.id")).alias("_id")).filter("_id IS NOT NULL").withColumn("_open", F.lit(True))
+    pairs = found.join(tagged.alias("a"), F.col("_a") == F.col("a._id")).join(tagged.alias("b"), F.col("_b") == F.col("b._id"))
     composite = {
         "ts": F.greatest("a.ts", "b.ts"), "severity": F.lit("CRITICAL"), "alert_type": F.lit("composite_anomaly"), "source": F.col("a.source"), "detector": F.lit("frequency"),
         "trigger_value": F.greatest("a.trigger_value", "b.trigger_value"), "threshold": F.least("a.threshold", "b.threshold"), "baseline_value": F.col("a.baseline_value"),
         "line_start": F.least("a.line_start", "b.line_start"), "line_end": F.greatest("a.line_end", "b.line_end"), "description": F.concat_ws("; ", "a.description", "b.description"),
     }
-    made = pairs.select(*(v.alias(k) for k, v in composite.items()))
-    used = pairs.select(F.explode(F.array("a._id", "b._id")).alias("_id"))
-    return tagged.join(used, "_id", "left_anti").select(alerts.columns).unionByName(made.select(alerts.columns))
+    made = pairs.select(*(v.alias(k) for k, v in composite.items()), F.lit(False).alias("_open"))
+    used = found.select(F.explode(F.array("_a", "_b")).alias("_id"))
+    alone = tagged.join(used, "_id", "left_anti").join(waiting, "_id", "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
+    return alone.select(*alerts.columns, "_open").unionByName(made.select(*alerts.columns, "_open"))
+
+
+def correlate(alerts: DataFrame, seconds: int = 30) -> DataFrame:
+    """pair_up where no more alerts come: those that wait go out on their own."""
+    return pair_up(alerts, seconds).drop("_open")
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,8 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions import patterns as P
@@ -48,8 +49,19 @@ BUILTIN = (
 )
 
 
+def java_pattern(pattern: str) -> str:
+    """A Python pattern as Java's: named groups and references to them. ValueError where the running JVM can't read it."""
+    java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<")
+    if (session := SparkSession.getActiveSession()) is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(java)
+        except Py4JJavaError as e:
+            raise ValueError(f"pattern {pattern}: {e.java_exception.getMessage()}") from e
+    return java
+
+
 def custom_rule(name: str, pattern: str, kind: str = "custom", strategy: str = "mask", params: Mapping[str, object] | None = None, enabled: bool = True) -> Rule:
-    """A user's rule. The value is the first group where the pattern has one. Python's (?P<name> is read as Java's (?<name>."""
+    """A user's rule. The value is the first group where the pattern has one. Named groups are written as in Python."""
     if not pattern:
         raise ValueError(f"rule {name} has no pattern")
     if strategy not in STRATEGIES:
@@ -58,7 +70,7 @@ def custom_rule(name: str, pattern: str, kind: str = "custom", strategy: str = "
         groups = re.compile(pattern).groups
     except re.error as e:
         raise ValueError(f"rule {name}: {e}") from e
-    return Rule(name, kind, pattern.replace("(?P<", "(?<"), strategy, dict(params or {}), group=1 if groups else 0, enabled=enabled)
+    return Rule(name, kind, java_pattern(pattern), strategy, dict(params or {}), group=1 if groups else 0, enabled=enabled)
 
 
 def configured(overrides: Mapping[str, Mapping[str, object]] | None = None, custom: Sequence[Rule] = ()) -> tuple[Rule, ...]:

@@ -141,14 +141,15 @@ class SourceState:
 
 
 def templated_records(records: DataFrame) -> DataFrame:
-    """source, ts, level, template, line_no of the records that have a time."""
-    return records.filter("ts IS NOT NULL").select("source", F.col("ts").cast("timestamp").alias("ts"), "level", S.templatize(F.col("message")).alias("template"), F.col("line_no").cast("long").alias("line_no"))
+    """source, ts, level, template, line_no, file (where records name it) of the records that have a time."""
+    file = F.col("source_file") if "source_file" in records.columns else F.lit(None).cast("string")
+    return records.filter("ts IS NOT NULL").select("source", F.col("ts").cast("timestamp").alias("ts"), "level", S.templatize(F.col("message")).alias("template"), F.col("line_no").cast("long").alias("line_no"), file.alias("file"))
 
 
-def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, states: DataFrame | None = None, save: bool = False, finish: bool = True, idle_since: float | None = None) -> DataFrame:
+def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, states: DataFrame | None = None, save: bool = False, finish: bool = True, idle_since: float | None = None, by_time: bool = False) -> DataFrame:
     """Alerts of all detectors in event time. records: source, ts, level, message, line_no; rows without a time are passed over.
 
-    A source's last window closes at its last record, or without finish stays open in the state, and records come in the order of time, then line. Templates of a source are kept as long as the fold runs. states: (source, state) of an
+    A source's last window closes at its last record, or without finish stays open in the state, and records come in the order of time. Else, unless by_time, a source's records come file by file, in the order of lines. Templates of a source are kept as long as the fold runs. states: (source, state) of an
     earlier run to go on from, as save returns them besides the alerts: rows with state, all else null. idle_since (seconds of the wall clock): windows of a state
     whose end is not after it, of sources without new records, close at their end.
     """
@@ -168,7 +169,7 @@ def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, st
             return [*rows, told] if save else rows
 
         for pdf in batches:
-            for source, ts, level, template, line, told in pdf.itertuples(index=False):
+            for source, ts, level, template, line, _, told in pdf.itertuples(index=False):
                 if state is None or state.source != source:
                     out += ended()
                     state, last = SourceState(source, config), None
@@ -184,7 +185,7 @@ def anchored_alerts(records: DataFrame, config: DetectorConfig | None = None, st
     dealt = templated_records(records).withColumn("state", F.lit(None).cast("string"))
     if states is not None:
         dealt = dealt.unionByName(states.select("source", F.lit(-1).cast("long").alias("line_no"), "state"), allowMissingColumns=True)
-    out = dealt.repartition("source").sortWithinPartitions("source", F.col("state").isNull(), *(["line_no"] if finish else ["ts", "line_no"])).mapInPandas(fold, f"{ALERT}, state string")
+    out = dealt.repartition("source").sortWithinPartitions("source", F.col("state").isNull(), *(["ts", "file", "line_no"] if by_time or not finish else ["file", "line_no"])).mapInPandas(fold, f"{ALERT}, state string")
     return out if save else out.drop("state")
 
 
@@ -220,18 +221,20 @@ def error_surges(windows: DataFrame, k: int = 20, z: float = 2.5) -> DataFrame:
 
 
 def new_patterns(records: DataFrame, min_samples: int = 100, slot: int = 1 << 20) -> DataFrame:
-    """source, template, line_no of templates that first come once a source has min_samples lines behind it.
+    """source, template, line_no of templates that first come once a source has min_samples lines behind it, file by file (of source_file, where records have it).
 
     How many lines come before a template's first one is told by the counts of the slots of line numbers before, and the lines of its own slot; so
     no task numbers all lines of a source.
     """
-    lines = records.select("source", "line_no", S.templatize(F.col("message")).alias("template"))
-    first = lines.groupBy("source", "template").agg(F.min("line_no").alias("line_no")).withColumn("slot", F.floor(F.col("line_no") / slot))
-    counts = records.groupBy("source", F.floor(F.col("line_no") / slot).alias("slot")).agg(F.count("*").alias("n"))
+    file = F.col("source_file") if "source_file" in records.columns else F.lit("")
+    at = F.struct(file.alias("file"), F.floor(F.col("line_no") / slot).alias("slot")).alias("slot")
+    lines = records.select("source", F.struct(file.alias("file"), "line_no").alias("line"), at, S.templatize(F.col("message")).alias("template"))
+    first = lines.groupBy("source", "template").agg(F.min("line").alias("line"))
+    counts = lines.groupBy("source", "slot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("skipped", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("skipped") <= min_samples).withColumn("open", F.col("skipped") + F.col("n") > min_samples)
-    # Up to the slot where a source passes min_samples lines are counted one by one: of that slot the line_no of its line number min_samples.
-    near = records.select("source", "line_no", F.floor(F.col("line_no") / slot).alias("slot")).join(counts.filter("open").select("source", "slot", "skipped"), ["source", "slot"])
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("line_no")) + F.col("skipped")
-    bound = near.withColumn("nth", nth).filter(F.col("nth") == min_samples + 1).select("source", F.col("line_no").alias("from_line"))
-    return first.join(bound, "source").filter(F.col("line_no") >= F.col("from_line")).select("source", "template", "line_no")
+    counts = counts.withColumn("skipped", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.col("skipped") <= min_samples) & (F.col("skipped") + F.col("n") > min_samples))
+    # Of the slot where a source passes min_samples, lines are counted one by one: which is its line number min_samples.
+    near = lines.select("source", "line", "slot").join(counts.select("source", "slot", "skipped"), ["source", "slot"])
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("line")) + F.col("skipped")
+    bound = near.withColumn("nth", nth).filter(F.col("nth") == min_samples + 1).select("source", F.col("line").alias("from_line"))
+    return first.join(bound, "source").filter(F.col("line") >= F.col("from_line")).select("source", "template", "line.line_no")

@@ -1,4 +1,4 @@
-"""Strings inside JSON values: their paths, what the rules find in them, and the value with them sanitized.
+"""Strings inside JSON values and their paths.
 
 A JSON text is cut into tokens; one ordered fold over them keeps the path of the place where it is, so nesting may be of any depth. Only string
 values are looked at: keys, numbers, true, false and null stay as they are. Paths read `a.b[0].c`. All native.
@@ -6,14 +6,11 @@ values are looked at: keys, numbers, true, false and null stay as they are. Path
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenlog.operators.detect import MATCH, Rule, detections, splice
-
-_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+'
+# Possessive, since Java's other loops over groups go as deep as the text is long.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s"{}\[\],:]+'
 _PLACED = "array<struct<token:string,path:string>>"
 
 
@@ -61,19 +58,6 @@ def leaves(json: Column, root: Column) -> Column:
     return F.transform(F.filter(json_tokens(json, root), lambda t: t["path"].isNotNull()), lambda t: F.struct(t["path"].alias("path"), unquote(t["token"]).alias("value")))
 
 
-def sanitized_tokens(json: Column, root: Column, rules: Sequence[Rule]) -> Column:
-    """token, path, old, found, new of each token: for strings what the rules find and the text that takes its place. A string whose first match is of a delete rule becomes empty."""
-    read = F.transform(json_tokens(json, root), lambda t: F.struct(t["token"].alias("token"), t["path"].alias("path"), F.when(t["path"].isNotNull(), unquote(t["token"])).alias("old")))
-    found = F.transform(read, lambda t: F.struct(t["token"].alias("token"), t["path"].alias("path"), t["old"].alias("old"), F.coalesce(F.when(t["path"].isNotNull(), detections(t["old"], rules, t["path"])), F.array().cast(MATCH)).alias("found")))
-    new = lambda t: F.when(F.get(t["found"], F.lit(0))["strategy"] == "delete", F.lit("")).otherwise(splice(t["old"], t["found"]))
-    return F.transform(found, lambda t: F.struct(t["token"].alias("token"), t["path"].alias("path"), t["old"].alias("old"), t["found"].alias("found"), new(t).alias("new")))
-
-
-def rebuilt(tokens: Column) -> Column:
-    """The JSON text of sanitized tokens."""
-    return F.array_join(F.transform(tokens, lambda t: F.when(t["path"].isNotNull() & (t["new"] != t["old"]), quote(t["new"])).otherwise(t["token"])), "")
-
-
 def field_path(path: Column) -> Column:
     """The parts of a path: `a.b[0]` is a, b, [0]."""
     return F.regexp_extract_all(path, F.lit(r"\[[^\]]*\]|[^.\[]+|\[[^.\]]*$"), F.lit(0))

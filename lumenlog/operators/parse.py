@@ -8,16 +8,21 @@ groups in one go, and JSON is parsed once.
 from __future__ import annotations
 
 import re
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import patterns as P
 from lumenlog.functions import scalars as S
+from lumenlog.operators.detect import java_pattern
+from lumenlog.session import built
 
 RECORD = "struct<ts:timestamp,level:string,message:string,source:string,extra:map<string,string>,typed:map<string,string>>"
 #: Stands between the groups of a match; two control characters that no log line has next to each other.
 _CUT = "\x01\x02"
+#: Only a line feed ends a line: other characters that Java takes for line ends belong to the text.
+_LINES = "(?d)"
 
 
 def _empty() -> Column:
@@ -35,9 +40,11 @@ def _map(**columns: Column) -> Column:
 
 
 def groups(raw: Column, pattern: str) -> Column:
-    """All groups of a pattern that matches whole lines, from one match; an array of one where it doesn't match."""
+    """All groups of a pattern that matches whole lines, from one match; an array of one where it doesn't match. A line that holds what stands between groups is matched once a group."""
     n = re.compile(pattern.replace("(?<", "(?P<")).groups
-    return F.split(F.regexp_replace(raw, pattern, _CUT.join(f"${k}" for k in range(1, n + 1))), _CUT, n)
+    once = F.split(F.regexp_replace(raw, _LINES + pattern, _CUT.join(f"${k}" for k in range(1, n + 1))), _CUT, n)
+    each = F.when(raw.rlike(_LINES + pattern), F.array(*(F.regexp_extract(raw, _LINES + pattern, k) for k in range(1, n + 1)))).otherwise(F.array(raw))
+    return F.when(raw.contains(_CUT), each).otherwise(once)
 
 
 def _json_record(doc: Column, raw: Column) -> Column:
@@ -90,7 +97,7 @@ def _plain_record(g: Column, raw: Column, strict: bool) -> Column:
 def parse_custom(raw: Column, pattern: str, names: dict[str, str] | None = None) -> Column:
     """A user's pattern with named groups, matched at the line's beginning; names maps fields to groups."""
     groups = re.compile(pattern).groupindex
-    java = "^(?:" + pattern.replace("(?P<", "(?<") + ")"
+    java = _LINES + "^(?:" + java_pattern(pattern) + ")"
     at = lambda f: F.regexp_extract(raw, java, groups[g]) if (g := (names or {}).get(f, f)) in groups else None
     used = {(names or {}).get(f, f) for f in ("timestamp", "level", "message", "source")}
     ts, level, message, source = at("timestamp"), at("level"), at("message"), at("source")
@@ -100,21 +107,25 @@ def parse_custom(raw: Column, pattern: str, names: dict[str, str] | None = None)
     return F.when(raw.rlike(java), _record(S.parse_timestamp(ts) if ts is not None else null.cast("timestamp"), S.normal_level(level) if level is not None else F.lit("UNKNOWN"), message if message is not None else raw, extra, F.when(source != "", source) if source is not None else None))
 
 
-def parse_lines(lines: DataFrame, fmt: str = "auto", year: int = 1970, custom: str | None = None, names: dict[str, str] | None = None, sticky: bool = True, strict: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, fmt: str = "auto", year: int | None = None, custom: str | None = None, names: dict[str, str] | None = None, sticky: bool = True, strict: bool = False) -> DataFrame:
     """lines (source_file, line_no, raw) with the record's columns.
 
     auto: a file takes the format of its first line that parses; lines before it are unparseable. The file's format is one small
     aggregate, joined back by file. With sticky false each line is taken by the first format that fits. The older syslog form has no
-    year of its own; the caller names it, so that reruns agree.
+    year of its own: it is the one given, else the present one (UTC). So that reruns agree, name it.
     """
+    year = year or datetime.now(timezone.utc).year
     raw = F.regexp_replace("raw", r"[\r\n]+$", "")
     fmt = "apache" if fmt == "nginx" else fmt
     if fmt == "auto":
         # The tests alone, without the records: what decides the format stays small where it is sorted by file.
-        tests = {"json": raw.rlike(r"^\s*\{") & F.try_parse_json(raw).isNotNull(), "apache": raw.rlike(P.ACCESS), "syslog": raw.rlike(P.SYSLOG_5424) | raw.rlike(P.SYSLOG_3164), "plaintext": raw.rlike(f"(?i){P.LEVEL}") | S.parse_timestamp(raw).isNotNull() | raw.rlike(P.PLAIN)}
-        if custom:
-            tests["custom"] = parse_custom(raw, custom, names).isNotNull()
-        fits = F.coalesce(*(F.when(v, F.lit(k)) for k, v in tests.items()))
+        def fitting() -> Column:
+            tests = {"json": raw.rlike(r"^\s*\{") & F.try_parse_json(raw).isNotNull(), "apache": raw.rlike(_LINES + P.ACCESS), "syslog": raw.rlike(_LINES + P.SYSLOG_5424) | raw.rlike(_LINES + P.SYSLOG_3164), "plaintext": raw.rlike(f"(?i){P.LEVEL}") | S.parse_timestamp(raw).isNotNull() | raw.rlike(_LINES + P.PLAIN)}
+            if custom:
+                tests["custom"] = parse_custom(raw, custom, names).isNotNull()
+            return F.coalesce(*(F.when(v, F.lit(k)) for k, v in tests.items()))
+
+        fits = built(fitting, custom, names)
         if sticky:
             first = lines.withColumn("_fits", fits).filter("_fits IS NOT NULL").groupBy("source_file").agg(F.min(F.struct("line_no", "_fits")).alias("first")).select("source_file", F.col("first._fits").alias("_file_fmt"), F.col("first.line_no").alias("_from"))
             out = lines.join(first, "source_file", "left").withColumn("_fits", F.when(F.col("line_no") >= F.col("_from"), F.col("_file_fmt"))).drop("_file_fmt", "_from")
@@ -129,11 +140,13 @@ def parse_lines(lines: DataFrame, fmt: str = "auto", year: int = 1970, custom: s
     out = out.withColumn("_n", F.when(at == "syslog", groups(raw, P.SYSLOG_5424))).withColumn("_o", F.when(at == "syslog", groups(raw, P.SYSLOG_3164))).withColumn("_p", F.when(at == "plaintext", groups(raw, P.PLAIN)))
     out = out.withColumn("_doc", F.try_variant_get("_v", "$", "map<string,variant>"))
     g = F.col
-    record = F.when(g("_doc").isNotNull(), _json_record(g("_doc"), raw)).when(F.size("_a") == 9, _access_record(g("_a"))).when(F.size("_n") == 9, _newer_syslog(g("_n")))
-    record = record.when(F.size("_o") == 6, _older_syslog(g("_o"), year)).when(at == "plaintext", _plain_record(g("_p"), raw, strict))
-    if custom:
-        record = record.when(at == "custom", parse_custom(raw, custom, names))
-    out = out.withColumn("record", record)
+
+    def parsed() -> Column:
+        record = F.when(g("_doc").isNotNull(), _json_record(g("_doc"), raw)).when(F.size("_a") == 9, _access_record(g("_a"))).when(F.size("_n") == 9, _newer_syslog(g("_n")))
+        record = record.when(F.size("_o") == 6, _older_syslog(g("_o"), year)).when(at == "plaintext", _plain_record(g("_p"), raw, strict))
+        return record.when(at == "custom", parse_custom(raw, custom, names)) if custom else record
+
+    out = out.withColumn("record", built(parsed, year, strict, custom, names))
     ok, blank = F.col("record").isNotNull(), F.trim(raw) == ""
     error = F.when(ok, F.lit(None)).when(blank, "Empty line").when(at == "json", "JSON parse error").otherwise("Format not detected")
     return out.select(

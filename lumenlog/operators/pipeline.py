@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import scalars as S
-from lumenlog.operators.detect import BUILTIN, Rule, detections, splice
-from lumenlog.operators.nested import quote, rebuilt, sanitized_tokens
+from lumenlog.operators.detect import BUILTIN, MATCH, Rule, detections, splice
+from lumenlog.operators.nested import json_tokens, quote, unquote
+from lumenlog.session import built
 
 
 def level_filter(levels: Sequence[str] | None) -> Column:
@@ -18,13 +20,19 @@ def level_filter(levels: Sequence[str] | None) -> Column:
     return F.col("level").isin(*{alias.get(x.upper(), x.upper()) for x in levels}) if levels else F.lit(True)
 
 
+def _utc(text: str) -> Column:
+    """A time that is UTC unless it names a zone, whatever the session's zone is."""
+    at = datetime.fromisoformat(text)
+    return F.timestamp_micros(F.lit(round((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1e6)))
+
+
 def keep(levels: Sequence[str] | None = None, start: str | None = None, end: str | None = None, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
     """Whether a record passes. Bounds are inclusive and read as UTC, a null time passes; keywords are looked for in the raw line."""
     out = level_filter(levels)
     if start:
-        out = out & (F.col("ts").isNull() | (F.col("ts") >= F.lit(start).cast("timestamp")))
+        out = out & (F.col("ts").isNull() | (F.col("ts") >= _utc(start)))
     if end:
-        out = out & (F.col("ts").isNull() | (F.col("ts") <= F.lit(end).cast("timestamp")))
+        out = out & (F.col("ts").isNull() | (F.col("ts") <= _utc(end)))
     for words, wanted in ((include, True), (exclude, False)):
         if words:
             any_word = F.lit(False)
@@ -49,39 +57,40 @@ def sanitize_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, saniti
 
     Values of extra that aren't strings keep their types: of objects and arrays the strings inside are sanitized, each a field with a path of its
     own, and numbers, true, false and null stay. A string whose first match is of a delete rule becomes empty. Unparseable lines stay as they are unless asked otherwise, and
-    so do records that a column kept says aren't.
+    so do records that a column kept says aren't. All strings of a record lie in one array, over which the rules run once.
     """
     on = F.lit(True) if sanitize_unparseable else F.col("is_parseable")
     on = on & F.col("kept") if "kept" in records.columns else on
-    none = detections(F.lit(""), rules[:0])
+    none = F.lit(None).cast("string")
     path = lambda e: F.concat(F.lit("extra."), e["key"])
+    item = lambda kind, key, token, at, old: F.struct(F.lit(kind).alias("kind"), key.alias("key"), token.alias("token"), at.alias("path"), old.alias("old"))
     typed = F.col("typed") if "typed" in records.columns else F.create_map().cast("map<string,string>")
     plain = F.filter(F.map_entries("extra"), lambda e: ~F.map_contains_key(F.col("_typed"), e["key"]) & e["value"].isNotNull())
-    entries = F.transform(plain, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("old"), F.when(on, detections(e["value"], rules, path(e))).otherwise(none).alias("found")))
     deep = F.filter(F.map_entries("_typed"), lambda e: e["value"].rlike(r"^[{\[]"))
-    staged = records.withColumn("_typed", typed).withColumn("_message", F.when(on, detections(F.col("message"), rules, F.lit("message"))).otherwise(none)).withColumn("_extra", entries)
-    staged = staged.withColumn("_deep", F.when(on, F.transform(deep, lambda e: F.struct(e["key"].alias("key"), sanitized_tokens(e["value"], path(e), rules).alias("tokens")))))
-    new = lambda e: F.when(F.get(e["found"], F.lit(0))["strategy"] == "delete", F.lit("")).otherwise(splice(e["old"], e["found"]))
-    staged = staged.withColumn("_done", F.transform("_extra", lambda e: F.struct(e["key"].alias("key"), e["old"].alias("old"), new(e).alias("new"), e["found"].alias("found"))))
-    strings = F.flatten(F.transform("_deep", lambda e: F.filter(e["tokens"], lambda t: t["path"].isNotNull())))
-    staged = staged.withColumn("_clean", splice(F.col("message"), F.col("_message"))).withColumn("_strings", F.coalesce(strings, F.array()))
-    tag = lambda field, found: F.transform(found, lambda m: F.struct(field.alias("field"), m.alias("match")))
-    found = F.concat(tag(F.lit("message"), F.col("_message")), F.flatten(F.transform("_done", lambda e: tag(path(e), e["found"]))), F.flatten(F.transform("_strings", lambda t: tag(t["path"], t["found"]))))
-    differ = lambda e: e["new"] != e["old"]
-    changed = F.when(F.col("_clean") != F.col("message"), 1).otherwise(0) + F.size(F.filter("_done", differ)) + F.size(F.filter("_strings", differ))
-    remade = F.map_from_entries(F.transform("_deep", lambda e: F.struct(e["key"], rebuilt(e["tokens"]))))
-    cleaned = F.map_from_entries(F.transform("_done", lambda e: F.struct(e["key"], F.coalesce(e["new"], e["old"]))))
-    staged = staged.withColumn("_remade", F.coalesce(remade, F.create_map().cast("map<string,string>"))).withColumn("_cleaned", cleaned)
+    tokens = lambda e: F.transform(json_tokens(e["value"], path(e)), lambda t: item("token", e["key"], t["token"], t["path"], F.when(t["path"].isNotNull(), unquote(t["token"]))))
+    items = F.concat(F.array(item("message", none, none, F.lit("message"), F.col("message"))), F.transform(plain, lambda e: item("plain", e["key"], none, path(e), e["value"])), F.flatten(F.transform(deep, tokens)))
+    # Each step is a projection of its own, since a later one uses its columns more than once.
+    staged = records.withColumn("_typed", typed).withColumn("_items", F.when(on, items))
+    staged = staged.withColumn("_found", built(lambda: F.transform("_items", lambda i: detections(i["old"], rules, i["path"])), tuple(rules)))
+    new = lambda i, found: F.when((i["kind"] != "message") & (F.get(found, F.lit(0))["strategy"] == "delete"), F.lit("")).otherwise(splice(i["old"], found))
+    staged = staged.withColumn("_new", F.zip_with("_items", "_found", new))
+    staged = staged.withColumn("_done", F.zip_with("_items", "_new", lambda i, n: F.struct(i["kind"].alias("kind"), i["key"].alias("key"), i["token"].alias("token"), i["path"].alias("path"), i["old"].alias("old"), n.alias("new"))))
+    of = lambda kind: F.filter("_done", lambda d: d["kind"] == kind)
+    told = lambda d: F.when(d["path"].isNotNull() & (d["new"] != d["old"]), quote(d["new"])).otherwise(d["token"])
+    remade = F.map_from_entries(F.transform(F.array_distinct(F.transform(of("token"), lambda d: d["key"])), lambda k: F.struct(k, F.array_join(F.transform(F.filter("_done", lambda d: (d["kind"] == "token") & (d["key"] == k)), told), ""))))
+    cleaned = F.map_from_entries(F.transform(of("plain"), lambda d: F.struct(d["key"], F.coalesce(d["new"], d["old"]))))
+    staged = staged.withColumn("_remade", F.coalesce(remade, F.create_map().cast("map<string,string>"))).withColumn("_cleaned", F.coalesce(cleaned, F.create_map().cast("map<string,string>")))
     over = lambda column: F.transform_values(column, lambda k, v: F.coalesce(F.element_at(F.col("_remade"), k), F.element_at(F.col("_cleaned"), k), v))
+    found = F.flatten(F.zip_with("_items", "_found", lambda i, found: F.transform(found, lambda m: F.struct(i["path"].alias("field"), m.alias("match")))))
     return staged.select(
         *[c for c in records.columns if c not in ("message", "extra", "typed")],
         F.col("message").alias("original_message"),
-        F.col("_clean").alias("message"),
+        F.when(F.col("_new").isNotNull(), F.get("_new", F.lit(0))).otherwise(F.col("message")).alias("message"),
         over("extra").alias("extra"),
         F.transform_values("_typed", lambda k, v: F.coalesce(F.element_at(F.col("_remade"), k), v)).alias("typed"),
-        found.alias("found"),
-        F.when(on, 1 + F.size("_extra") + F.size("_strings")).otherwise(0).alias("total_fields"),
-        F.when(on, changed).otherwise(0).alias("sanitized_fields"),
+        F.coalesce(found, F.array().cast(f"array<struct<field:string,match:{MATCH[6:-1]}>>")).alias("found"),
+        F.when(on, F.size(F.filter("_items", lambda i: i["path"].isNotNull()))).otherwise(0).alias("total_fields"),
+        F.when(on, F.size(F.filter("_done", lambda d: d["new"] != d["old"]))).otherwise(0).alias("sanitized_fields"),
     )
 
 

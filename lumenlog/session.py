@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, SparkSession
 
 #: Bytes of an Arrow batch, unless the session has its own setting: documents are large, and workers hold copies of a batch.
 BATCH_BYTES = "8m"
@@ -14,6 +16,15 @@ BATCH_BYTES = "8m"
 READER_ROWS = 512
 
 
+def built(make: Callable[..., Column], *key: object) -> Column:
+    """make(), an expression over columns by name, made once for a Spark context and key. Building a large one takes seconds, which each micro-batch would pay anew."""
+    held = SparkContext._active_spark_context.__dict__.setdefault("_lumenlog_built", {})
+    at = (make.__module__, make.__qualname__, repr(key))
+    if at not in held:
+        held[at] = make()
+    return held[at]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors' Python workers, once a Spark context, and sets the bounds of batches where they are Spark's own."""
     sc = spark.sparkContext

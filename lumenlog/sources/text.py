@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.operators.detectors import ALERT
+from lumenlog.sources.resume import Manifest, plan, read_ranges, wide_codec
 
 
 def input_files(spark: SparkSession, paths: Sequence[str] | str, recursive: bool = True, glob: str | None = None) -> list[str]:
@@ -28,10 +29,11 @@ def read_lines(spark: SparkSession, paths: Sequence[str] | str, recursive: bool
     """source_file, line_no (from 1), raw of all text files, and with sizes file_size. Files are split between tasks; a file's lines are numbered by block and order.
 
     Ids that grow with position give the order; counts of (file, task) give each task's first number, so no file is gathered in one task. Bytes that the
-    encoding doesn't have become U+FFFD. Encodings must have the line ends of ASCII, as nearly all do but UTF-16 and UTF-32.
+    encoding doesn't have become U+FFFD. UTF-16 and UTF-32, whose line ends are no bytes of ASCII, are read by ranges aligned to their code units.
     """
-    if encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32", "utf16", "utf32")):
-        raise ValueError(f"encoding {encoding}: lines can't be told by bytes")
+    if wide_codec(encoding).startswith(("utf-16", "utf-32")):
+        lines, _ = read_ranges(spark, plan(input_files(spark, paths, recursive, glob), Manifest(), encoding, idle_seconds=0)[0])
+        return lines if sizes else lines.drop("file_size")
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
     size = [F.col("_metadata.file_size").alias("file_size")] if sizes else []
@@ -53,32 +55,22 @@ def decoded(text: Column, encoding: str = "utf-8") -> Column:
     return F.arrow_udf(decode, "string")(text.cast("binary"))
 
 
-def read_log(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """The newest row of each key in a folder of JSON lines that runs append to; None where there is none yet. Rows that say removed count as none."""
+def read_log(spark: SparkSession, path: str, key: str, run: int) -> DataFrame | None:
+    """The newest row of each key in what runs up to a number have written; None where there is none yet. Rows that say removed count as none."""
     try:
         rows = spark.read.json(path)
     except AnalysisException:
         return None
-    if "at" not in rows.columns:
+    if "run" not in rows.columns:
         return None
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "at").alias("row")).select(key, "row.*")
-    return (newest.filter("removed IS NULL OR NOT removed").drop("removed") if "removed" in rows.columns else newest).drop("at")
+    rows = rows.filter(F.col("run") <= run)
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "run").alias("row")).select(key, "row.*")
+    return (newest.filter("removed IS NULL OR NOT removed").drop("removed") if "removed" in rows.columns else newest).drop("run")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Appends rows with the time of the run, for read_log. Earlier rows stay, so a run that fails in between loses nothing."""
-    rows.withColumn("at", F.unix_micros(F.current_timestamp())).write.mode("append").json(path)
-
-
-def unread(lines: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Of lines with file_size, those that an earlier run hasn't read. done: source_file, size, lines. A file of the same size is skipped, a longer one goes on behind
-    its last line, a shorter one was begun anew and is read whole."""
-    if done is None:
-        return lines
-    told = done.select(F.col("source_file").alias("_file"), F.col("size").alias("_size"), F.col("lines").alias("_lines"))
-    out = lines.join(told, lines["source_file"] == F.col("_file"), "left")
-    new = F.col("_size").isNull() | (F.col("file_size") < F.col("_size")) | ((F.col("file_size") > F.col("_size")) & (F.col("line_no") > F.col("_lines")))
-    return out.filter(new).select(lines.columns)
+def write_log(rows: DataFrame, path: str, run: int) -> None:
+    """Writes a run's rows for read_log, in a folder of its own; those of earlier runs stay."""
+    rows.write.mode("overwrite").json(f"{path}/run={run}")
 
 
 def read_sanitized(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +104,7 @@ def write_records(standard: DataFrame, path: str, mode: str = "append", split: s
 
 
 def write_alerts(alerts: DataFrame, path: str, batch: str | None = None) -> None:
-    """Alerts as JSON lines, appended; those of a stream's batch in a folder of its own, so that a batch that is run again writes nothing twice."""
+    """Alerts as JSON lines, appended; those of a stream's batch, or of a numbered run, in a folder of its own, so that what is run again writes nothing twice."""
     alerts.write.mode("overwrite" if batch else "append").option("ignoreNullFields", "false").json(f"{path}/batch={batch}" if batch else path)
 
 

@@ -14,7 +14,7 @@ from lumenlog.operators import alerts as A
 from lumenlog.operators.detectors import ALERT, DetectorConfig, anchored_alerts
 
 JUDGED = f"{ALERT}, rule string, action string, delay_seconds int"
-STATES = {"detectors": "source string, state string", "kept": "source string, alert_type string, last_at long", "delayed": JUDGED}
+STATES = {"detectors": "source string, state string", "kept": "source string, alert_type string, last_at long", "waiting": ALERT, "delayed": JUDGED}
 
 
 class StreamJudge:
@@ -22,8 +22,8 @@ class StreamJudge:
 
     State lies in two slots under folder, written by turns: batch n goes on from what n - 1 left and writes the other slot, so a batch that is run again finds
     the same state as before. A batch takes a source's records in the order of time, then line. Windows stay open from batch to batch; those of a source
-    without new records close once the wall clock is past their end (clock: None where times are not of now, as for old files). Spikes and surges are
-    correlated where a batch holds both, as windows of the same size always do. Delayed alerts wait until one of their (source, type) comes in time, or
+    without new records close once the wall clock is past their end (clock: None where times are not of now, as for old files). A spike
+    or a surge waits for its partner over batches, until records are that much later (with a clock: until it is that much later). Delayed alerts wait until one of their (source, type) comes in time, or
     time, as the newest alert tells it, is past their delay.
     """
 
@@ -47,12 +47,16 @@ class StreamJudge:
         fresh = A.dedup(rows.filter("state IS NULL").drop("state"), self.dedup_seconds, before["kept"]).persist(StorageLevel.DISK_ONLY)
         last = fresh.select("source", "alert_type", F.unix_micros("ts").alias("last_at")).unionByName(before["kept"])
         last.groupBy("source", "alert_type").agg(F.max("last_at").alias("last_at")).write.mode("overwrite").parquet(f"{new}/kept")
-        judged = A.apply_suppression(A.correlate(fresh, self.correlate_seconds), self.suppression).unionByName(before["delayed"]).persist(StorageLevel.DISK_ONLY)
+        paired = A.pair_up(fresh.unionByName(before["waiting"]), self.correlate_seconds).persist(StorageLevel.DISK_ONLY)
+        latest = F.lit(int(self.clock() * 1e6)) if self.clock else F.lit(records.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]).cast("long")
+        waits = F.col("_open") & F.coalesce(F.unix_micros("ts") + self.correlate_seconds * 1_000_000 >= latest, F.lit(True))
+        paired.filter(waits).drop("_open").write.mode("overwrite").parquet(f"{new}/waiting")
+        judged = A.apply_suppression(paired.filter(~waits).drop("_open"), self.suppression).unionByName(before["delayed"]).persist(StorageLevel.DISK_ONLY)
         out = A.release(judged)
         waiting = judged.filter("action = 'delay'").exceptAll(out.filter("action = 'delay'"))
         now = judged.agg(F.max(F.unix_micros("ts"))).first()[0]
         due = F.unix_micros("ts") + F.col("delay_seconds") * F.lit(1_000_000).cast("long")
         waiting.filter(due > F.lit(now).cast("long")).write.mode("overwrite").parquet(f"{new}/delayed")
         self.emit(A.with_ids(out.drop("rule", "action", "delay_seconds")), number)
-        for kept in (judged, fresh, rows):
+        for kept in (judged, paired, fresh, rows):
             kept.unpersist()

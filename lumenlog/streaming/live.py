@@ -27,14 +27,14 @@ def _stream_path(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("raw"))
 
 
-def parsed_records(lines: DataFrame, fmt: str = "auto", custom: str | None = None, names: dict[str, str] | None = None, **filters) -> DataFrame:
+def parsed_records(lines: DataFrame, fmt: str = "auto", custom: str | None = None, names: dict[str, str] | None = None, year: int | None = None, **filters) -> DataFrame:
     """Parsed and filtered records; each line by the first format that fits."""
-    return filter_records(parse_lines(lines, fmt, custom=custom, names=names, sticky=False), **filters)
+    return filter_records(parse_lines(lines, fmt, year, custom, names, sticky=False), **filters)
 
 
-def live_records(lines: DataFrame, fmt: str = "auto", rules: Sequence[Rule] = BUILTIN, custom: str | None = None, names: dict[str, str] | None = None, **filters) -> DataFrame:
+def live_records(lines: DataFrame, fmt: str = "auto", rules: Sequence[Rule] = BUILTIN, custom: str | None = None, names: dict[str, str] | None = None, year: int | None = None, **filters) -> DataFrame:
     """Parsed, filtered, sanitized, standard records."""
-    return standard(sanitize_records(parsed_records(lines, fmt, custom, names, **filters), rules))
+    return standard(sanitize_records(parsed_records(lines, fmt, custom, names, year, **filters), rules))
 
 
 def batch_name(checkpoint: str, number: int) -> str:
