@@ -11,6 +11,7 @@ from lumenlog.functions import scalars as S
 from lumenlog.operators import alerts as A
 from lumenlog.operators import detectors as D
 from lumenlog.operators import pipeline as L
+from lumenlog.operators.anchored import spread_alerts
 from lumenlog.operators.detect import BUILTIN, detections, sanitize
 from lumenlog.operators.parse import parse_lines
 from lumenlog.plans.lines import event_level, event_lines
@@ -139,6 +140,11 @@ def anchored_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchored(spark, sf_dir).withColumn("micros", F.unix_micros("ts")).drop("ts")
 
 
+def anchored_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of anchored_alerts, found with a source's records over all tasks."""
+    return spread_alerts(_events(spark, sf_dir), _DAY).withColumn("micros", F.unix_micros("ts")).drop("ts")
+
+
 def anchored_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors over sources whose lines lie in two files, each with line numbers of its own."""
     later = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
@@ -163,7 +169,7 @@ QUERIES = {
     "parse_plain": _parsed("plain"), "parse_json": _parsed("json"), "parse_access": _parsed("access"), "parse_syslog": _parsed("syslog"),
     "filtered": filtered, "standard_json": standard_json, "routed": routed, "report": report, "report_kinds": report_kinds, "previewed": previewed,
     "templates": templated, "new_patterns": patterns_new, "grid_windows": grid, "frequency_spikes": spikes, "error_surges": surges,
-    "anchored_alerts": anchored_micros, "anchored_two_files": anchored_two_files, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
+    "anchored_alerts": anchored_micros, "anchored_spread": anchored_spread, "anchored_two_files": anchored_two_files, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
 }
 
 flagship = detect_counts
@@ -239,6 +245,7 @@ SELECT event_id, {_LUHN.format(v="c")} AS luhn,
     "templates": r"""WITH t AS (SELECT regexp_replace(url, '/\d+$', '/<VAR>') AS u FROM pages), v AS (SELECT regexp_replace(u, '/\d+/', '/<VAR>/', 'g') AS u FROM t)
 SELECT regexp_replace(u, '\b\d+\b', '<NUM>', 'g') AS template, count(*) AS n FROM v GROUP BY ALL""",
     "anchored_alerts": _ANCHORED,
+    "anchored_spread": _ANCHORED,
     "anchored_two_files": _ANCHORED.replace("ORDER BY line_no) AS nth", "ORDER BY later, line_no) AS nth").replace("event_id AS line_no, ts", "event_id - CASE WHEN ts >= '2024-01-16' THEN 1000000000 ELSE 0 END AS line_no, ts >= '2024-01-16' AS later, ts"),
     "alert_pipeline": f"""{_ANCHORED.replace(")\nSELECT micros, 'WARNING' AS severity", "),\nfound AS (SELECT micros, 'WARNING' AS severity", 1)}),
 d AS (SELECT DISTINCT source, alert_type, micros FROM found),

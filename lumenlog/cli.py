@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lumenlog.config import Settings, load
 from lumenlog.operators import alerts as A
 from lumenlog.operators import pipeline as L
+from lumenlog.operators.anchored import spread_alerts
 from lumenlog.operators.detect import BUILTIN, Rule, sanitize
 from lumenlog.operators.detectors import DetectorConfig, anchored_alerts
 from lumenlog.operators.parse import parse_lines
@@ -119,7 +120,7 @@ def judged_alerts(records: DataFrame, s: Settings, run: Run | None = None, by_ti
         write_log(both.filter("state IS NOT NULL").select("source", "state"), states, run.number)
         found = both.filter("state IS NULL").drop("state")
     else:
-        found = anchored_alerts(records, config, by_time=by_time)
+        found = spread_alerts(records, config) if s.spread_sources and not by_time else anchored_alerts(records, config, by_time=by_time)
     found = A.correlate(A.dedup(found, s.dedup_seconds), s.correlate_seconds)
     out = A.release(A.apply_suppression(found, s.suppression)).drop("rule", "action", "delay_seconds")
     return A.with_ids(out)
