@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.session import ship
+from lumenlog.storage import discard, settle, shared_dir  # noqa: F401
 
 #: Bytes of text that a vectorised scan holds at once; a single longer text is still scanned whole.
 PIECE_BYTES = 1 << 19
-#: Bytes of a row group of a settled table, which a task that writes holds in memory.
-ROW_GROUP_BYTES = 32 << 20
 #: Parts that the rows of a frequent join key are dealt over.
 SALTS = 64
 
@@ -27,45 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one for a session in one machine
-    (tests); on a cluster it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir: set it to a folder that driver and executors share")
-        base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lumenlog-")
-        shared_dir.own = base
-    return base.rstrip("/")
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it again: cuts lineage, and survives lost executors.
-
-    The shuffle files that the write needed go once it is done; the caller's setting for that is put back.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenlog/{tag}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
-        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    finally:
-        spark.conf.set(clean, was)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes settled tables that nothing reads any more: what was made of them is itself settled."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
     """rows, a settled table, joined with other on keys, of which other has one row each. A key's rows are dealt out by the column salt, a
     number below SALTS, and other's row goes only where the key has rows, so that no task gets a frequent key whole."""
