@@ -26,7 +26,8 @@ from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
 from lumenlog.sources.resume import FileRange, Manifest, newest, plan, put_manifest, read_ranges, went_on
 from lumenlog.sources.text import input_files, read_alerts, read_feedback, read_lines, read_log, read_sanitized, write_alerts, write_log, write_records
-from lumenlog.streaming.judge import StreamJudge
+from lumenlog.streaming.judge import StreamJudge, start_alerts
+from lumenlog.streaming.keyed import stream_status
 from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
 
@@ -139,7 +140,7 @@ def tuned(spark: SparkSession, s: Settings) -> DetectorConfig:
 
 
 def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool) -> StreamJudge:
-    """Judges a stream's micro-batches, with its state beside the checkpoint's; alerts go to the alert file and, where critical, to the webhook."""
+    """Judges the alerts of a stream's micro-batches, with what waits beside the checkpoint's; alerts go to the alert file and, where critical, to the webhook."""
 
     def emit(alerts: DataFrame, number: int) -> None:
         if s.alert_file:
@@ -147,7 +148,7 @@ def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool)
         if s.webhook.url:
             send_alerts(alerts, s.webhook)
 
-    return StreamJudge(f"{checkpoint}/anomaly", lambda: tuned(spark, s), emit, s.suppression, s.dedup_seconds, s.correlate_seconds, clock=time.time if live else None)
+    return StreamJudge(f"{checkpoint}/anomaly", emit, s.suppression, s.dedup_seconds, s.correlate_seconds, clock=time.time if live else None)
 
 
 def run(spark: SparkSession, s: Settings) -> dict:
@@ -245,6 +246,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-c", "--config", required=True)
         if name == "replay":
             p.add_argument("path", help="sanitized JSON lines")
+        if name == "status":
+            p.add_argument("--checkpoint", help="of a stream, whose state is told")
         if name == "reset":
             p.add_argument("source")
         if name == "alerts":
@@ -303,10 +306,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             spark.streams.addListener(Metrics(s.metrics_file, lambda line: print(line, file=sys.stderr)))
         lines = tail_lines(spark, s) if args.tail else stream_lines(spark, s.paths, recursive=s.recursive)
         records = parsed_records(lines, s.fmt, s.custom, s.names, s.year, **s.filters)
-        query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules), judge=stream_judge(spark, s, args.checkpoint, args.tail) if s.anomaly else None)
-        query.awaitTermination()
+        query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules))
+        if s.anomaly:  # a query of its own: the detectors see what is sanitized by the rules of the start
+            judge = stream_judge(spark, s, args.checkpoint, args.tail)
+            alerts = start_alerts(L.sanitize_records(records, s.rules), tuned(spark, s), judge, f"{args.checkpoint}/alerts", args.once)
+            if args.once:
+                alerts.awaitTermination()
+                judge.flush(spark)
+        query.awaitTermination() if args.once else spark.streams.awaitAnyTermination()
     elif args.what == "status":
-        for row in detector_status(spark, s):
+        for row in stream_status(spark, f"{args.checkpoint}/alerts") if args.checkpoint else detector_status(spark, s):
             print(json.dumps(row))
         if s.alert_file and s.feedback_file:
             for row in A.lifecycle(read_alerts(spark, s.alert_file), read_feedback(spark, s.feedback_file), s.max_resolved).groupBy("status").count().orderBy("status").collect():

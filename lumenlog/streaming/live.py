@@ -43,10 +43,10 @@ def batch_name(checkpoint: str, number: int) -> str:
 
 
 def start_routed(
-    records: DataFrame, targets: Sequence[tuple[str, str]], default: str, checkpoint: str, once: bool = True, rules: Callable[[], Sequence[Rule]] | None = None, judge: Callable[[DataFrame, int], None] | None = None
+    records: DataFrame, targets: Sequence[tuple[str, str]], default: str, checkpoint: str, once: bool = True, rules: Callable[[], Sequence[Rule]] | None = None
 ) -> StreamingQuery:
     """Writes JSON lines to the target of each record's level; once: all that is there, then stop. With rules, records are parsed ones, and
-    each micro-batch is sanitized by what rules() gives at its time; judge gets these sanitized records and the batch's number.
+    each micro-batch is sanitized by what rules() gives at its time.
 
     Each micro-batch has a folder of its own in its targets, which it writes anew where it is run again.
     """
@@ -56,8 +56,6 @@ def start_routed(
         routed = (clean if rules is None else standard(clean)).withColumn("target", route(targets, default))
         for target in sorted({default, *(t for _, t in targets)}):
             routed.filter(F.col("target") == target).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{target}/batch={batch_name(checkpoint, number)}")
-        if judge is not None:
-            judge(clean, number)
         clean.unpersist()
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

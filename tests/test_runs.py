@@ -77,29 +77,26 @@ def test_detectors_go_on_from_a_stored_state(spark, tmp_path):
 
 
 def test_stream_judge(spark, tmp_path):
-    """Windows go on over batches, idle ones close by the clock, delayed alerts wait for their repetition, and a batch run again gives the same."""
+    """Pairs meet over batches, delayed alerts wait for their repetition, and a batch run again gives the same."""
     start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-    frame = lambda rows: spark.createDataFrame([(x, start + dt.timedelta(seconds=t), "INFO", "m", 0) for x, t in rows], "source string, ts timestamp, level string, message string, line_no long")
+    at = lambda t: start + dt.timedelta(seconds=t)
+    frame = lambda rows: spark.createDataFrame([(at(t), "WARNING", kind, x, "frequency", 2.0, 1.0, 1.0, 1, 2, f"d{t}") for x, t, kind in rows], D.ALERT)
     got: dict[int, list] = {}
     emit = lambda alerts, n: got.__setitem__(n, sorted((r.source, r.alert_type, int(r.ts.timestamp() - start.timestamp())) for r in alerts.collect()))
-    config = D.DetectorConfig(window_seconds=10, multiplier=2)
-    clock = [start.timestamp()]
+    clock = [at(30).timestamp()]
     rule = A.Suppression("wait", "delay", source_pattern="slow", delay_seconds=100)
-    judge = StreamJudge(str(tmp_path / "state"), lambda: config, emit, (rule,), dedup_seconds=5, clock=lambda: clock[0])
-    calm = [(x, t) for x in ("a", "slow") for t in (0, 10, 20)]
-    judge(frame(calm), 0)
-    judge(frame([(x, 21 + t / 4) for x in ("a", "slow") for t in range(30)]), 1)
-    assert got == {0: [], 1: []}  # the burst's window is open
-    clock[0] += 31
-    judge(frame([("b", 30)]), 2)  # a and slow are idle: their windows close at 30
-    assert got[2] == [("a", "frequency_spike", 30)]
-    later = [("slow", 31 + t / 100) for t in range(900)] + [("slow", 45)]
-    judge(frame(later), 3)
-    assert got[3] == [("slow", "frequency_spike", 30)]  # it came again within 100 seconds
-    judge(frame(later), 3)
-    assert got[3] == [("slow", "frequency_spike", 30)]
-    judge(frame([]), 4)
-    assert got[4] == []
+    judge = StreamJudge(str(tmp_path / "state"), emit, (rule,), dedup_seconds=5, correlate_seconds=30, clock=lambda: clock[0])
+    judge(frame([("a", 20, "frequency_spike"), ("slow", 21, "new_pattern"), ("b", 22, "frequency_spike"), ("b", 24, "frequency_spike")]), 0)
+    assert got[0] == []  # a and b wait for a surge, slow is delayed; b's second comes too soon
+    judge(frame([("a", 40, "error_rate_surge"), ("c", 41, "new_pattern")]), 1)
+    assert got[1] == [("a", "composite_anomaly", 40), ("c", "new_pattern", 41)]
+    clock[0] = at(60).timestamp()
+    for _ in range(2):
+        judge(frame([("slow", 50, "new_pattern"), ("a", 55, "error_rate_surge")]), 2)
+        assert got[2] == [("b", "frequency_spike", 22), ("slow", "new_pattern", 21)]  # nobody came for b; slow came again within 100 seconds
+    clock[0] = at(300).timestamp()
+    judge(frame([]), 3)
+    assert got[3] == [("a", "error_rate_surge", 55)]  # slow's second was alone until its delay was over
 
 
 def test_thresholds_and_windows_of_detectors():
