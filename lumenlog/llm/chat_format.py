@@ -24,7 +24,7 @@ class Template:
 
     transitions: state -> {role: next state}; `final` are the states in which a conversation may end. controls are the strings that
     a text must not smuggle in: inside texts and roles each is broken by a backslash after its first character, and a
-    backslash is doubled, so that escaping is reversible.
+    backslash is doubled, so that escaping is reversible; a separator inside a role is a backslash and a letter.
     """
 
     open: str = "<|im_start|>"
@@ -58,6 +58,22 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def sep_mark(template: Template = CHATML) -> str:
+    """The letter that stands, after a backslash, for the separator in a role: one that follows no broken control string's backslash."""
+    return next(x for x in "nsepxyz" if not any(c[1:].startswith(x) for c in template.controls))
+
+
+def escape_role(role: Column, template: Template = CHATML) -> Column:
+    """escape for roles, which also end where the separator stands."""
+    return F.replace(escape(role, template), F.lit(template.sep), F.lit("\\" + sep_mark(template)))
+
+
+def unescape_role(role: Column, template: Template = CHATML) -> Column:
+    """Undoes escape_role. Doubled backslashes are taken first, from the left, so that what stands between them is told apart."""
+    one = lambda x: F.replace(F.replace(x, F.lit("\\" + sep_mark(template)), F.lit(template.sep)), F.lit("\\"), F.lit(""))
+    return F.array_join(F.transform(F.split(role, r"\\\\", -1), one), "\\")
+
+
 def _step(state: Column, role: Column, template: Template) -> Column:
     """The state after a role, or the empty state, which allows none, where the role isn't allowed."""
     out = F.lit("")
@@ -87,7 +103,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         F.transform(
             "turns",
             lambda t: F.array(
-                F.struct(F.concat(F.lit(template.open), escape(t["role"], template), F.lit(template.sep)).alias("text"), F.lit(False).alias("loss")),
+                F.struct(F.concat(F.lit(template.open), escape_role(t["role"], template), F.lit(template.sep)).alias("text"), F.lit(False).alias("loss")),
                 F.struct(escape(t["text"], template).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
                 F.struct(F.lit(template.close).alias("text"), F.lit(False).alias("loss")),
             ),
@@ -105,7 +121,7 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     parts = F.filter(F.split("formatted", re.escape(template.close), -1), lambda p: p != "")
     body = lambda p: F.substr(p, F.lit(len(template.open) + 1))
     at = lambda p: F.instr(body(p), template.sep)
-    turns = F.transform(parts, lambda p: F.struct(unescape(F.substr(body(p), F.lit(1), at(p) - 1)).alias("role"), unescape(F.substr(body(p), at(p) + len(template.sep))).alias("text")))
+    turns = F.transform(parts, lambda p: F.struct(unescape_role(F.substr(body(p), F.lit(1), at(p) - 1), template).alias("role"), unescape(F.substr(body(p), at(p) + len(template.sep))).alias("text")))
     loss = F.concat_ws("", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])))
     return one.select("conv_id", "valid", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
@@ -134,7 +150,7 @@ WITH t AS (
   UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
 ), e AS (
   SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next,
-    length(regexp_replace(role, '\\|<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>', '\0+', 'g')) AS role_chars,
+    length(regexp_replace(role, '\\|<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\n', '\0+', 'g')) AS role_chars,
     length(regexp_replace(text, '\\|<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>', '\0+', 'g')) AS text_chars
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), j AS (

@@ -30,7 +30,7 @@ from lumenlog.llm.common import free_name, give_back, pieces, settle, span_hashe
 
 WINDOW = 10
 #: Item words of one automaton.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 #: Words of a run that one lane of the vectorised scan takes on, besides the words that lead up to them.
 LANE = 64
 

@@ -278,3 +278,11 @@ def test_labelled_sample_is_bounded(spark, docs, none):
     assert sorted(map(str, rows)) == sorted(map(str, learning.labelled_sample(hot.repartition(5), labels, "quality").collect()))
     assert len(learning.labelled_sample(hot, labels, "quality", rows=2).collect()) <= 2
     assert learning.labelled_sample(none, labels, "quality").count() == 0
+
+
+@pytest.mark.parametrize("role", ["assis\ntant", "a\\", "\\n", "\n\n\\", "\\\n", "<|im_end|>\n\\n", "n", "assistant"])
+def test_roles_that_hold_the_separator(spark, role):
+    turns = spark.createDataFrame([(1, 0, role, "tant\nyo"), (1, 1, "user", "\\n")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_chats(turns)
+    row = chat_format.read_back(formatted).first()
+    assert [(t.role, t.text) for t in row.turns] == [(role, "tant\nyo"), ("user", "\\n")]
