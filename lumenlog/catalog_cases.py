@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from lumenlog.operators import detectors as D
 from lumenlog.operators import nested as N
 from lumenlog.operators import pipeline as L
 from lumenlog.operators.detect import custom_rule, sanitize
+from lumenlog.operators.mapping import MappingStore, mapped_records
 from lumenlog.operators.parse import parse_lines
+from lumenlog.storage import settle, shared_dir
 
 # The texts are SQL that Spark and DuckDB read alike.
 _KIND_TEXT = """CASE event_id % 11
@@ -80,6 +84,17 @@ def sanitize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_no", "json", F.array_join(F.transform("found", lambda d: d["field"]), ",").alias("fields"), F.col("total_fields").cast("long").alias("total_fields"), F.col("sanitized_fields").cast("long").alias("sanitized_fields"))
 
 
+def mapping_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over parts of the lines whose rule masks differently; values that the first has seen keep its replacement in the second."""
+    store, out = MappingStore(f"{shared_dir(spark)}/lumenlog/mapping-{uuid.uuid4().hex}", "k"), []
+    for first, shown in ((True, 4), (False, 5)):
+        rule = custom_rule("user", r"user-\d+", params={"keep_start": shown, "keep_end": 1})
+        lines = _events(spark, sf_dir, "'f' AS source_file", "concat('x user-', user_id, ' and user-', event_id % 100) AS message", "true AS is_parseable", "CAST(map() AS map<string,string>) AS extra", "ts < '2024-01-10' AS early").withColumnRenamed("event_id", "line_no")
+        staged = settle(L.detected_records(lines.filter("early" if first else "NOT early"), [rule]), "found")
+        out.append(settle(L.spliced_records(mapped_records(staged, store)).select("line_no", "message"), "mapped"))
+    return out[0].unionByName(out[1])
+
+
 def nested_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths and values of the strings in JSON texts, and the parts of the paths."""
     found = _events(spark, sf_dir, f"{_NESTED_LINE} AS raw").filter("event_id % 10 = 0").select("event_id", F.explode(N.leaves(F.col("raw"), F.lit("r"))).alias("leaf"))
@@ -142,7 +157,7 @@ def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "detect_kinds": detect_kinds, "strategies": strategies, "parse_other": parse_other, "parse_named": parse_named, "sanitize_nested": sanitize_nested, "nested_leaves": nested_leaves,
+    "detect_kinds": detect_kinds, "strategies": strategies, "parse_other": parse_other, "parse_named": parse_named, "sanitize_nested": sanitize_nested, "mapping_two_runs": mapping_two_runs, "nested_leaves": nested_leaves,
     "report_filtered": report_filtered, "late_patterns": late_patterns, "alerts_dedup": alerts_dedup, "alerts_correlated": alerts_correlated, "alerts_suppressed": alerts_suppressed, "suppression_hits": suppression_hits,
     "alerts_tuned": alerts_tuned, "alerts_lifecycle": alerts_lifecycle, "alert_counts": alert_counts,
 }
@@ -183,6 +198,10 @@ SELECT event_id AS line_no, CASE WHEN k = 0 THEN 'syslog' WHEN k IN (4, 5) THEN
   CASE WHEN event_id % 9 = 0 THEN '#' || event_id ELSE props END AS message, CASE WHEN event_id % 9 > 0 THEN epoch(date_trunc('second', ts))::BIGINT END AS epoch, CASE WHEN event_id % 9 > 0 THEN 'svc' || (event_id % 3) END AS service FROM events""",
     "sanitize_nested": """SELECT event_id AS line_no, '{"timestamp":"2024-01-15T08:30:45+00:00","level":"INFO","source":"f","message":"m","extra":{"list":[["10.1.*.*"],"x"],"n":4111111111111111,"none":null,"s":"a \\"q\\" ***@ex.com","user":{"ips":["10.9.*.*",7],"mail":"***@ex.com","ok":true}}}' AS json,
   'extra.s,extra.list[0][0],extra.user.ips[0],extra.user.mail' AS fields, 6::BIGINT AS total_fields, 4::BIGINT AS sanitized_fields FROM events""",
+    "mapping_two_runs": """WITH e AS (SELECT event_id AS line_no, ts < '2024-01-10' AS early, 'user-' || user_id AS a, 'user-' || (event_id % 100) AS b FROM events),
+s AS (SELECT a AS v FROM e WHERE early UNION SELECT b FROM e WHERE early),
+m AS (SELECT v, CASE WHEN len(v) <= k + 1 THEN repeat('*', len(v)) ELSE substr(v, 1, k) || repeat('*', len(v) - k - 1) || right(v, 1) END AS masked FROM (SELECT v, CASE WHEN v IN (SELECT v FROM s) THEN 4 ELSE 5 END AS k FROM (SELECT a AS v FROM e UNION SELECT b FROM e)))
+SELECT line_no, 'x ' || x.masked || ' and ' || y.masked AS message FROM e JOIN m x ON x.v = a JOIN m y ON y.v = b""",
     "nested_leaves": """SELECT event_id, p.path, CASE p.path WHEN 'r.list[0][0]' THEN '10.1.2.' || (event_id % 256) WHEN 'r.user.mail' THEN 'u' || event_id || '@ex.com' ELSE p.v END AS value, p.parts::BIGINT AS parts
 FROM events, (VALUES ('r.time', '2024-01-15 08:30:45', 2), ('r.msg', 'm', 2), ('r.level', 'info', 2), ('r.list[0][0]', '', 4), ('r.list[1]', 'x', 3), ('r.s', 'a "q" u@ex.com', 2), ('r.user.ips[0]', '10.9.8.7', 4), ('r.user.mail', '', 3)) AS p(path, v, parts) WHERE event_id % 10 = 0""",
     "report_filtered": """SELECT 'f' || (user_id % 3) AS source_file, count(*) AS total_lines, count(*) FILTER (event_id % 8 > 0) AS parsed_lines, count(*) FILTER (event_id % 8 = 0) AS unparsed_lines,

@@ -21,6 +21,7 @@ from lumenlog.operators import pipeline as L
 from lumenlog.operators.anchored import spread_alerts
 from lumenlog.operators.detect import BUILTIN, Rule, sanitize
 from lumenlog.operators.detectors import DetectorConfig, anchored_alerts
+from lumenlog.operators.mapping import MappingStore, mapped_records
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
@@ -155,7 +156,10 @@ def run(spark: SparkSession, s: Settings) -> dict:
     """The batch run of a configuration; its totals. Values are detected once: what several outputs read is kept on the executors' disks,
     and computed again where an executor is lost. All lines count, only those that the filters keep are sanitized and written."""
     run = next_run(spark, s)
-    records = L.sanitize_records(read_records(spark, s, run), s.rules, s.sanitize_unparseable).persist(StorageLevel.DISK_ONLY)
+    found = L.detected_records(read_records(spark, s, run), s.rules, s.sanitize_unparseable)
+    if s.mapping and not s.dry_run:
+        found = mapped_records(found.persist(StorageLevel.DISK_ONLY), MappingStore(s.mapping, s.mapping_key))
+    records = L.spliced_records(found).persist(StorageLevel.DISK_ONLY)
     try:
         totals = _outputs(records, s, run)
         if run and not s.dry_run:
@@ -163,6 +167,7 @@ def run(spark: SparkSession, s: Settings) -> dict:
         return totals
     finally:
         records.unpersist()
+        found.unpersist()
 
 
 def _outputs(every: DataFrame, s: Settings, run: Run | None) -> dict:

@@ -171,9 +171,3 @@ def splice(text: Column, kept: Column) -> Column:
 def sanitize(df: DataFrame, column: str, rules: Sequence[Rule] = BUILTIN, out: str = "sanitized", found: str = "found") -> DataFrame:
     """df with the matches of a column and its sanitized text. One pass, no shuffle, no Python."""
     return df.withColumn(found, detections(F.col(column), rules, F.lit(column))).withColumn(out, splice(F.col(column), F.col(found)))
-
-
-def consistent_mapping(pairs: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
-    """hmac_key, rule, new for (rule, value, new): entries already known stay, new ones are added once (the least new value)."""
-    made = pairs.select("rule", S.hmac_sha256(F.col("value"), key).alias("hmac_key"), "new").groupBy("rule", "hmac_key").agg(F.min("new").alias("new"))
-    return made if known is None else known.select("rule", "hmac_key", "new").unionByName(made.join(known, ["rule", "hmac_key"], "left_anti"))

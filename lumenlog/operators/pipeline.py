@@ -59,6 +59,11 @@ def sanitize_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, saniti
     own, and numbers, true, false and null stay. A string whose first match is of a delete rule becomes empty. Unparseable lines stay as they are unless asked otherwise, and
     so do records that a column kept says aren't. All strings of a record lie in one array, over which the rules run once.
     """
+    return spliced_records(detected_records(records, rules, sanitize_unparseable))
+
+
+def detected_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, sanitize_unparseable: bool = False) -> DataFrame:
+    """Records with _items, all their strings (null where a record is left as it is), and _found, what the rules find in each."""
     on = F.lit(True) if sanitize_unparseable else F.col("is_parseable")
     on = on & F.col("kept") if "kept" in records.columns else on
     none = F.lit(None).cast("string")
@@ -69,10 +74,15 @@ def sanitize_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, saniti
     deep = F.filter(F.map_entries("_typed"), lambda e: e["value"].rlike(r"^[{\[]"))
     tokens = lambda e: F.transform(json_tokens(e["value"], path(e)), lambda t: item("token", e["key"], t["token"], t["path"], F.when(t["path"].isNotNull(), unquote(t["token"]))))
     items = F.concat(F.array(item("message", none, none, F.lit("message"), F.col("message"))), F.transform(plain, lambda e: item("plain", e["key"], none, path(e), e["value"])), F.flatten(F.transform(deep, tokens)))
-    # Each step is a projection of its own, since a later one uses its columns more than once.
     staged = records.withColumn("_typed", typed).withColumn("_items", F.when(on, items))
-    staged = staged.withColumn("_found", built(lambda: F.transform("_items", lambda i: detections(i["old"], rules, i["path"])), tuple(rules)))
+    return staged.withColumn("_found", built(lambda: F.transform("_items", lambda i: detections(i["old"], rules, i["path"])), tuple(rules)))
+
+
+def spliced_records(staged: DataFrame) -> DataFrame:
+    """What sanitize_records gives, of detected_records."""
+    # Each step is a projection of its own, since a later one uses its columns more than once.
     new = lambda i, found: F.when((i["kind"] != "message") & (F.get(found, F.lit(0))["strategy"] == "delete"), F.lit("")).otherwise(splice(i["old"], found))
+    columns, on = [c for c in staged.columns if c not in ("message", "extra", "typed", "_typed", "_items", "_found")], F.col("_items").isNotNull()
     staged = staged.withColumn("_new", F.zip_with("_items", "_found", new))
     staged = staged.withColumn("_done", F.zip_with("_items", "_new", lambda i, n: F.struct(i["kind"].alias("kind"), i["key"].alias("key"), i["token"].alias("token"), i["path"].alias("path"), i["old"].alias("old"), n.alias("new"))))
     of = lambda kind: F.filter("_done", lambda d: d["kind"] == kind)
@@ -83,7 +93,7 @@ def sanitize_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, saniti
     over = lambda column: F.transform_values(column, lambda k, v: F.coalesce(F.element_at(F.col("_remade"), k), F.element_at(F.col("_cleaned"), k), v))
     found = F.flatten(F.zip_with("_items", "_found", lambda i, found: F.transform(found, lambda m: F.struct(i["path"].alias("field"), m.alias("match")))))
     return staged.select(
-        *[c for c in records.columns if c not in ("message", "extra", "typed")],
+        *columns,
         F.col("message").alias("original_message"),
         F.when(F.col("_new").isNotNull(), F.get("_new", F.lit(0))).otherwise(F.col("message")).alias("message"),
         over("extra").alias("extra"),
