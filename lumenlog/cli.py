@@ -25,11 +25,13 @@ from lumenlog.operators.mapping import MappingStore, mapped_records
 from lumenlog.operators.parse import parse_lines
 from lumenlog.session import ship
 from lumenlog.sources.tail import TailSource
+from lumenlog.sources.named import write_named
+from lumenlog.sources.replay import replay_stream
 from lumenlog.sources.resume import FileRange, Manifest, newest, plan, put_manifest, read_ranges, went_on
 from lumenlog.sources.text import input_files, read_alerts, read_feedback, read_lines, read_log, read_sanitized, write_alerts, write_log, write_records
 from lumenlog.streaming.judge import StreamJudge, start_alerts
 from lumenlog.streaming.keyed import stream_status
-from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_lines
+from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_counts, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts
 
 TEMPLATE = """name: logs
@@ -177,10 +179,13 @@ def _outputs(every: DataFrame, s: Settings, run: Run | None) -> dict:
     else:
         if s.file:
             own = run and not s.overwrite
-            write_records(L.standard(records), run.folder(s.file) if own else s.file, "overwrite" if own or s.overwrite else "append", s.split)
+            if s.template or s.pretty:
+                write_named(L.standard(records), run.folder(s.file) if own else s.file, s.template or "output.jsonl", s.split, s.pretty, bool(own) or s.overwrite)
+            else:
+                write_records(L.standard(records), run.folder(s.file) if own else s.file, "overwrite" if own or s.overwrite else "append", s.split)
         if s.stdout:
             for row in L.standard(records).select("json").toLocalIterator():
-                print(row.json)
+                print(json.dumps(json.loads(row.json), ensure_ascii=False, indent=2) if s.pretty else row.json)
         if s.audit_file:
             L.audit_log(records).write.mode("overwrite" if run else "append").json(run.folder(s.audit_file) if run else s.audit_file)
         if s.anomaly and s.alert_file:
@@ -251,6 +256,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-c", "--config", required=True)
         if name == "replay":
             p.add_argument("path", help="sanitized JSON lines")
+            p.add_argument("--speed", type=float, help="replay as a stream: seconds of event time let in each second")
+            p.add_argument("--checkpoint", help="needed with --speed")
+            p.add_argument("--seconds", type=int, help="how long the stream goes on")
         if name == "status":
             p.add_argument("--checkpoint", help="of a stream, whose state is told")
         if name == "reset":
@@ -320,6 +328,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 judge.flush(spark)
         query.awaitTermination() if args.once else spark.streams.awaitAnyTermination()
     elif args.what == "status":
+        if args.checkpoint:
+            try:
+                for row in stream_counts(spark, args.checkpoint).orderBy("source", "kind").toLocalIterator():
+                    print(f"{row.source}\t{row.kind}\t{row.n:g}")
+            except AnalysisException:  # a stream without records of its own
+                pass
         for row in stream_status(spark, f"{args.checkpoint}/alerts") if args.checkpoint else detector_status(spark, s):
             print(json.dumps(row))
         if s.alert_file and s.feedback_file:
@@ -329,6 +343,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         this = next_run(spark, s)
         write_log(spark.createDataFrame([(args.source, None, True)], "source string, state string, removed boolean"), f"{s.state_file}/detectors", this.number)
         this.commit(spark, s)
+    elif args.what == "replay" and args.speed:
+        judge = stream_judge(spark, s, args.checkpoint, False)
+        query = start_alerts(replay_stream(spark, input_files(spark, args.path), args.speed, checkpoint=f"{args.checkpoint}/alerts"), tuned(spark, s), judge, f"{args.checkpoint}/alerts", False)
+        query.awaitTermination(args.seconds)
+        query.stop()
+        judge.flush(spark)
     elif args.what == "replay":
         rows = read_sanitized(spark, args.path).withColumn("line_no", F.monotonically_increasing_id())
         this = next_run(spark, s)

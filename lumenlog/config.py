@@ -60,6 +60,8 @@ class Settings:
     state_file: str | None = None
     idle_seconds: float = 300.0
     spread_sources: bool = True
+    template: str | None = None
+    pretty: bool = False
     mapping: str | None = None
     mapping_key: str = "default_key"
     sanitize_unparseable: bool = False
@@ -152,7 +154,7 @@ def parse_settings(doc: object) -> Settings:
         dedup_seconds=int(anomaly.get("suppression_window_seconds", 600)), correlate_seconds=int(anomaly.get("correlation_window_seconds", 30)), max_resolved=int(anomaly.get("max_resolved_alerts", 100)),
         suppression=parse_suppression(anomaly.get("suppression_rules") or []), webhook=Webhook(**{k: v for k, v in _section(anomaly, "webhook").items() if v is not None}),
         routes=tuple((r.get("level_match") or r["match"], r.get("output_target") or r["output"]) for r in stream.get("route_rules") or []), metrics_file=stream.get("metrics_file"), max_line_length=int(_section(stream, "tail").get("max_line_length", 65536)),
-        year=int(parser["year"]) if parser.get("year") else None, state_file=doc.get("state_file"), idle_seconds=float(inputs.get("idle_seconds", 300)), spread_sources=bool(anomaly.get("spread_sources", True)), mapping=_section(doc, "sanitizers").get("mapping_store"), mapping_key=str(_section(doc, "sanitizers").get("hmac_key") or "default_key"), sanitize_unparseable=bool(parser.get("sanitize_unparseable")),
+        year=int(parser["year"]) if parser.get("year") else None, state_file=doc.get("state_file"), idle_seconds=float(inputs.get("idle_seconds", 300)), spread_sources=bool(anomaly.get("spread_sources", True)), template=output.get("filename_template"), pretty=bool(output.get("pretty")), mapping=_section(doc, "sanitizers").get("mapping_store"), mapping_key=str(_section(doc, "sanitizers").get("hmac_key") or "default_key"), sanitize_unparseable=bool(parser.get("sanitize_unparseable")),
     )
 
 

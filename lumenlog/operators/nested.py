@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Possessive, since Java's other loops over groups go as deep as the text is long.
 _TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s"{}\[\],:]+'
+#: Tokens that are taken one by one before what they gave is put aside.
+CHUNK = 256
 _PLACED = "array<struct<token:string,path:string>>"
 
 
@@ -39,7 +41,16 @@ def json_tokens(json: Column, root: Column) -> Column:
         here = F.when(t.startswith('"') & ~key, F.replace(F.array_join(path, "."), F.lit(".["), F.lit("[")))
         return F.struct(moved.alias("path"), nested.alias("lists"), F.concat(at["out"], F.array(F.struct(t.alias("token"), here.alias("path")))).alias("out"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    # The fold runs over chunks, whose results are put together once, as each step copies what it has so far.
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest((F.size(pairs) - 1) / CHUNK, F.lit(0)).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
+    empty = F.array().cast(_PLACED)
+    begin = F.struct(start["path"].alias("path"), start["lists"].alias("lists"), F.array().cast(f"array<{_PLACED}>").alias("outs"))
+
+    def whole(at: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(at["path"].alias("path"), at["lists"].alias("lists"), empty.alias("out")), step)
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["path"].alias("path"), d["lists"].alias("lists"), F.concat(at["outs"], F.array(d["out"])).alias("outs"))), F.lit(0))
+
+    return F.flatten(F.aggregate(chunks, begin, whole)["outs"])
 
 
 def unquote(literal: Column) -> Column:

@@ -51,14 +51,23 @@ class Metrics(StreamingQueryListener):
     """Appends one JSON line for each finished micro-batch: rows, rates, batch time; beat, where given, gets each line too."""
 
     def __init__(self, path: str, beat: Callable[[str], None] | None = None):
-        self.path, self.beat = path, beat
+        self.path, self.beat, self.total = path, beat, {}
+
+    def counted(self, progress) -> dict:
+        """What the micro-batch has counted as records passed, its share of errors, and the lines of the query so far."""
+        row = (progress.observedMetrics or {}).get("records")
+        if row is None:
+            return {}
+        told = row.asDict()
+        self.total[str(progress.id)] = self.total.get(str(progress.id), 0) + told["lines"]
+        return {**told, "error_rate": round(told["errors"] / told["lines"], 4) if told["lines"] else 0.0, "total_lines": self.total[str(progress.id)]}
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        line = json.dumps({"query": str(p.id), "batch": p.batchId, "at": p.timestamp, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "batch_ms": p.batchDuration})
+        line = json.dumps({"query": str(p.id), "batch": p.batchId, "at": p.timestamp, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "batch_ms": p.batchDuration, **self.counted(p)})
         with open(self.path, "a") as f:
             f.write(line + "\n")
         if self.beat:
