@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog import catalog_cases
+from lumenlog import catalog_cases, catalog_files
 from lumenlog.functions import patterns as P
 from lumenlog.functions import scalars as S
 from lumenlog.operators import alerts as A
@@ -169,7 +169,7 @@ QUERIES = {
     "parse_plain": _parsed("plain"), "parse_json": _parsed("json"), "parse_access": _parsed("access"), "parse_syslog": _parsed("syslog"),
     "filtered": filtered, "standard_json": standard_json, "routed": routed, "report": report, "report_kinds": report_kinds, "previewed": previewed,
     "templates": templated, "new_patterns": patterns_new, "grid_windows": grid, "frequency_spikes": spikes, "error_surges": surges,
-    "anchored_alerts": anchored_micros, "anchored_spread": anchored_spread, "anchored_two_files": anchored_two_files, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES,
+    "anchored_alerts": anchored_micros, "anchored_spread": anchored_spread, "anchored_two_files": anchored_two_files, "alert_pipeline": alert_pipeline, "cron": cron, **catalog_cases.QUERIES, **catalog_files.QUERIES,
 }
 
 flagship = detect_counts
@@ -272,4 +272,6 @@ z AS (SELECT source, w, CASE WHEN coalesce(len(past), 0) = 0 THEN NULL WHEN mad
 SELECT source, w, round(CASE WHEN isfinite(z) THEN z END, 6) AS z, coalesce(z > 1.5, false) AS surge FROM z""",
     "cron": f"""WITH {_BASE} SELECT source, level, count(*) AS n FROM e WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 17 AND isodow(ts) <= 5 GROUP BY ALL""",
     **catalog_cases.SQL,
+    **catalog_files.SQL,
+    "streamed_alerts": f"SELECT * FROM ({_ANCHORED.replace('ORDER BY line_no) AS nth', 'ORDER BY ts, line_no) AS nth').replace('coalesce(any_value(closing), arg_max(us, nth)) AS micros', 'any_value(closing) AS micros')}) WHERE micros IS NOT NULL",
 }

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lumenlog.operators.detectors import ALERT
 from lumenlog.sources.resume import Manifest, plan, read_ranges, wide_codec
 
+#: How times of alerts are written, to the microsecond.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def input_files(spark: SparkSession, paths: Sequence[str] | str, recursive: bool = True, glob: str | None = None) -> list[str]:
     """The files behind paths (files, folders, patterns), each once, in order; ValueError where there are none."""
@@ -105,9 +108,9 @@ def write_records(standard: DataFrame, path: str, mode: str = "append", split: s
 
 def write_alerts(alerts: DataFrame, path: str, batch: str | None = None) -> None:
     """Alerts as JSON lines, appended; those of a stream's batch, or of a numbered run, in a folder of its own, so that what is run again writes nothing twice."""
-    alerts.write.mode("overwrite" if batch else "append").option("ignoreNullFields", "false").json(f"{path}/batch={batch}" if batch else path)
+    alerts.write.mode("overwrite" if batch else "append").option("ignoreNullFields", "false").option("timestampFormat", STAMP).json(f"{path}/batch={batch}" if batch else path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Written alerts of runs and streams."""
-    return spark.read.option("recursiveFileLookup", "true").schema(f"{ALERT}, alert_id string").json(path)
+    return spark.read.option("recursiveFileLookup", "true").option("timestampFormat", STAMP.replace("SSSSSS", "[SSSSSS][SSS]")).schema(f"{ALERT}, alert_id string").json(path)
