@@ -157,13 +157,13 @@ def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool)
 def run(spark: SparkSession, s: Settings) -> dict:
     """The batch run of a configuration; its totals. Values are detected once: what several outputs read is kept on the executors' disks,
     and computed again where an executor is lost. All lines count, only those that the filters keep are sanitized and written."""
-    run = next_run(spark, s)
+    run, begun = next_run(spark, s), time.monotonic()
     found = L.detected_records(read_records(spark, s, run), s.rules, s.sanitize_unparseable)
     if s.mapping and not s.dry_run:
         found = mapped_records(found.persist(StorageLevel.DISK_ONLY), MappingStore(s.mapping, s.mapping_key))
     records = L.spliced_records(found).persist(StorageLevel.DISK_ONLY)
     try:
-        totals = _outputs(records, s, run)
+        totals = _outputs(records, s, run, begun)
         if run and not s.dry_run:
             run.commit(spark, s)
         return totals
@@ -172,7 +172,7 @@ def run(spark: SparkSession, s: Settings) -> dict:
         found.unpersist()
 
 
-def _outputs(every: DataFrame, s: Settings, run: Run | None) -> dict:
+def _outputs(every: DataFrame, s: Settings, run: Run | None, begun: float) -> dict:
     records = every.filter("kept")
     if s.dry_run:
         L.preview(records).show(truncate=False)
@@ -194,13 +194,17 @@ def _outputs(every: DataFrame, s: Settings, run: Run | None) -> dict:
             if s.webhook.url:
                 send_alerts(alerts, s.webhook)
     totals, kinds, fields = report(every)
-    totals["skipped_files"] = run.skipped if run else 0
+    took = time.monotonic() - begun
+    totals |= {"skipped_files": run.skipped if run else 0, "seconds": round(took, 2), "lines_per_second": round((totals["total_lines"] or 0) / took, 1)}
+    files = (r.asDict() for r in L.file_report(every, F.col("kept")).toLocalIterator())
     if s.report_json:
         with open(s.report_json, "w") as f:
-            json.dump({"summary": totals, "detections": kinds, "fields": fields}, f, default=str)
+            skipped = [x.name for x in run.files if x.begin >= x.stop] if run else []
+            json.dump({"summary": totals, "detections": kinds, "fields": fields, "files": list(files), "skipped": skipped}, f, default=str)
+        files = (r.asDict() for r in L.file_report(every, F.col("kept")).toLocalIterator())
     if s.report_file:
         with open(s.report_file, "w") as f:
-            f.write(L.render_report(totals, kinds, fields) + "\n")
+            f.writelines(line + "\n" for line in L.render_report(totals, kinds, fields, files))
     return totals
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,13 +166,20 @@ def audit_log(records: DataFrame) -> DataFrame:
     return records.select("source_file", "line_no", "ts", F.explode_outer("found").alias("d")).filter("d IS NOT NULL").select("source_file", F.col("line_no").alias("line_number"), d["field"].alias("field_path"), d["match"]["value"].alias("original_value"), d["match"]["new"].alias("sanitized_value"), d["match"]["rule"].alias("rule_name"), F.col("ts").alias("timestamp")).filter("original_value <> sanitized_value")
 
 
-def render_report(report: dict, kinds: dict[str, int], fields: dict[str, int]) -> str:
-    """A plain-text report from collected aggregates."""
-    top = max(kinds.values(), default=1)
-    lines = ["Audit report", "=" * 40, *(f"{k:<18}{v}" for k, v in report.items()), "", "Detections", *(f"{k:<12}{n:>8} {'#' * max(1, 30 * n // top)}" for k, n in sorted(kinds.items(), key=lambda x: -x[1])), "", "Fields", *(f"{k:<24}{n:>8}" for k, n in sorted(fields.items(), key=lambda x: -x[1]))]
-    return "\n".join(lines)
+def file_report(records: DataFrame, kept: Column | None = None) -> DataFrame:
+    """file_stats with the detections of each file by kind (a map), in order of the files."""
+    hits = records.select(F.col("source_file").alias("_file"), F.explode_outer("found").alias("d")).filter("d IS NOT NULL").groupBy("_file", F.col("d.match.kind").alias("kind")).agg(F.count("*").alias("n"))
+    kinds = hits.groupBy("_file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("detections"))
+    stats = file_stats(records, kept)
+    return stats.join(kinds, F.col("source_file").eqNullSafe(F.col("_file")), "left").drop("_file").orderBy("source_file")
 
 
-def templates(records: DataFrame) -> DataFrame:
-    """How often each message template comes in a source, and the first and last line with it."""
-    return records.select("source", "line_no", S.templatize(F.col("message")).alias("template")).groupBy("source", "template").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+def render_report(report: dict, kinds: dict[str, int], fields: dict[str, int], files: Iterable[dict] = ()) -> Iterator[str]:
+    """The lines of a plain-text report from collected aggregates, and a part for each file, which may come one by one."""
+    top = max(kinds.values(), default=1)
+    yield from ("Audit report", "=" * 40, *(f"{k:<18}{v}" for k, v in report.items()), "", "Detections", *(f"{k:<12}{n:>8} {'#' * max(1, 30 * n // top)}" for k, n in sorted(kinds.items(), key=lambda x: -x[1])), "", "Fields", *(f"{k:<24}{n:>8}" for k, n in sorted(fields.items(), key=lambda x: -x[1])))
+    for f in files:
+        share = f" ({f['sanitized_fields'] / f['total_fields']:.2%})" if f["total_fields"] else ""
+        yield from ("", f"File {f['source_file']}", f"  lines {f['total_lines']}, parsed {f['parsed_lines']}, unparsed {f['unparsed_lines']}, bytes {f['bytes']}", f"  sanitized fields {f['sanitized_fields']}/{f['total_fields']}{share}")
+        if f["detections"]:
+            yield "  " + ", ".join(f"{k}={n}" for k, n in sorted(f["detections"].items()))

@@ -123,3 +123,15 @@ def test_wide_files(spark, tmp_path):
     names = [f"file://{tmp_path}/utf-16.log"]
     lines, counts = R.read_ranges(spark, R.plan(names, R.Manifest(), "utf-16")[0], split=1024)
     assert counts == {names[0]: 3000} and [r.raw for r in lines.orderBy("line_no").collect()] == text.split("\r\n")[:-1]
+
+
+def test_reports_of_files(spark, tmp_path, log):
+    s = settings(tmp_path, report_json=str(tmp_path / "r.json"), report_file=str(tmp_path / "r.txt"))
+    log.write_text("2024-01-15 08:30:45 [ERROR] from 10.0.0.1\njunk\n")
+    cli.run(spark, s)
+    (tmp_path / "in" / "b.log").write_text("2024-01-15 08:30:45 [INFO] a@b.cd c@d.ef\n")
+    cli.run(spark, s)
+    told = json.loads((tmp_path / "r.json").read_text())
+    assert told["summary"]["skipped_files"] == 1 and [x.endswith("a.log") for x in told["skipped"]] == [True] and told["summary"]["lines_per_second"] > 0
+    assert [(f["source_file"][-5:], f["total_lines"], f["sanitized_fields"], f["detections"]) for f in told["files"]] == [("b.log", 1, 1, {"email": 2})]
+    assert "  email=2" in (tmp_path / "r.txt").read_text().splitlines()
