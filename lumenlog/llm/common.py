@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside shuffle both sides at every size, where Spark would broadcast those that are small yet. What is only planned inside isn't bound by it."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
     """rows, a settled table, joined with other on keys, of which other has one row each. A key's rows are dealt out by the column salt, a
     number below SALTS, and other's row goes only where the key has rows, so that no task gets a frequent key whole."""

@@ -176,7 +176,8 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     taken = settle(taken.filter("all_copies > 0").select(*group, F.expr("all_copies div all_rows").alias("copies"), F.expr("all_copies % all_rows").alias("more")), "taken")
     whole = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
     on = F.col("doc_id").eqNullSafe(F.col("taken_id")) & F.col("source").eqNullSafe(F.col("taken_source")) & (F.col("size") == F.col("taken_size"))
-    even, uneven = taken.filter("more = 0"), taken.filter("more > 0")
+    # The plan has a row for each id: by sort and merge at every size, not broadcast while it is small.
+    even, uneven = taken.filter("more = 0").hint("merge"), taken.filter("more > 0").hint("merge")
     rows = whole.join(even, on).select("row", "copies")
     if not uneven.isEmpty():
         nth = F.row_number().over(Window.partitionBy(*group).orderBy("row.text"))

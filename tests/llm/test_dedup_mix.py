@@ -143,3 +143,20 @@ def test_mix_rows_of_clashing_columns(spark):
     assert mixed.columns == [*docs.columns, "copy_"]
     assert all(getattr(r, c) == f"{c}{r.doc_id}" for r in mixed.collect() for c in names) and mixed.agg(F.sum("copy_")).first()[0] >= 3
     assert mixing.mix_rows(docs.filter("false")).count() == 0
+
+
+def test_independent_edits(spark):
+    """Texts of 200 words of which so many per cent were exchanged: every pair whose sets of five words reach 0.802 is one class, and none below 0.798."""
+    rng, rows, pairs = np.random.default_rng(1), [], []
+    shingled = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    for percent in (1, 2, 3, 5):
+        for _ in range(40):
+            a = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+            b = list(a)
+            for k in rng.choice(200, 2 * percent, replace=False):
+                b[k] = f"w{rng.integers(0, 5000)}"
+            one, other = shingled(a), shingled(b)
+            pairs.append((len(rows), len(rows) + 1, len(one & other) / len(one | other)))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all((found[a] == found[b]) == (j >= 0.8) for a, b, j in pairs if abs(j - 0.8) > 0.002) and sum(j > 0.802 for *_, j in pairs) > 70
