@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ def java_pattern(pattern: str) -> str:
     if (session := SparkSession.getActiveSession()) is not None:
         try:
             session._jvm.java.util.regex.Pattern.compile(java)
-        except Py4JJavaError as e:
-            raise ValueError(f"pattern {pattern}: {e.java_exception.getMessage()}") from e
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            raise ValueError(f"pattern {pattern}: {e}") from e
     return java
 
 
