@@ -9,8 +9,11 @@ The region then grows to whole blocks: on both sides up to the next boilerplate
 where none does, blocks of links alone at the ends are left out again. So a short paragraph behind many tags isn't lost.
 
 Boilerplate elements are told by name or by the words of class, id and role: outside of content one word of HINTS is enough, inside an article
-or main element every name in the attribute must begin or end with one of INNER, so that `ad-slot` goes and `share price` stays. An article in
-boilerplate, such as a teaser in a sidebar or a reader's comment, is boilerplate. An element that is never closed ends where an article begins.
+or main element every name in the attribute, but for those of layout, must begin or end with one of INNER, so that `ad-slot` and `ad box` go and
+`share price` stays. What may as well be a topic (TOPICS: a menu of dishes, a recipe for cookies) goes only where links and controls hold at least
+half of its words. A button inside a sentence of the content is text. An article in boilerplate, such as a teaser in a sidebar or a reader's
+comment, is boilerplate. An element that is never closed ends where an article begins. Where the best region begins and ends in articles,
+or they hold half of its words, the content is all articles of the page, in page order, but for those whose words are links for the most part.
 
 Defined results: null html is the empty page; a page without words, or whose best region scores nothing, has the empty text;
 unclosed, nested and cut-off markup is read as far as it goes; of equal regions the first counts; repeated rows are extracted each;
@@ -22,7 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,9 @@ SAMPLE_PAGES = 500
 #: Elements that are never content, and words of attributes that mark others as such: anywhere, and outside an article or main element.
 BOILERPLATE = frozenset("nav footer aside form menu dialog select button iframe noscript template object head title textarea svg canvas".split())
 INNER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent notice popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies reply respond related share sharing social footer masthead widget".split())
+#: Those of INNER that may be a topic, and words of layout, which say nothing.
+TOPICS = frozenset("menu cookie cookies related share sharing social navigation nav widget notice reply replies respond promo".split())
+LAYOUT = frozenset("box block list item items wrapper wrap container inner outer section row col column grid panel area slot unit group left right top bottom center clearfix".split())
 OUTER = frozenset("banner site-header login search legal copyright skip-link".split())
 HINTS = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(sorted(INNER | OUTER))}|side-bar)(?:$|[\s_-])", re.I)
 #: Elements between which text is in different blocks.
@@ -49,8 +55,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OPEN = re.compile(r"<(?:!--|(/?)([a-z][^\s/>]*)|[!?/])", re.I)
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")  # to the end of a tag; never goes back
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Tags of a page with quotes that nothing closes; from then on its quotes aren't looked at, so that no page takes more than linear time.
-STRAY_QUOTES = 32
+_STOP = re.compile("[>\"']")
+#: Elements whose words are links or controls.
+CONTROLS = frozenset("a button label option select".split())
 
 #: Score of a word in content, of one in boilerplate, and the bounds of a tag's.
 WORD, OUTSIDE, LEAST, MOST = 1.0, -1.0, -3.0, -0.05
@@ -58,9 +65,30 @@ WORD, OUTSIDE, LEAST, MOST = 1.0, -1.0, -3.0, -0.05
 UNSEEN = -0.5
 
 
+def _tag_end(html: str, at: int, ends: dict[int, int]) -> int:
+    """Where the tag ends whose attributes start here, -1 if quotes are open to the end of the page. ends keeps what is known for quotes, so that
+    all tags of a page take linear time together, however many of its quotes nothing closes."""
+    path, end = [], -1
+    while m := _STOP.search(html, at):
+        k = m.start()
+        if m[0] == ">":
+            end = k + 1
+            break
+        if k in ends:
+            end = ends[k]
+            break
+        path.append(k)
+        close = html.find(m[0], k + 1)
+        if close < 0:
+            break
+        at = close + 1
+    ends.update(dict.fromkeys(path, end))
+    return end
+
+
 def markup(html: str) -> list[tuple[str | None, str | None, str]]:
     """The page in order: (text, None, "") and (None, tag as "p", "/p" or "!", attributes). A raw element is its closing tag alone."""
-    out, at, stray = [], 0, 0
+    out, at, stray, ends = [], 0, False, {}
     while m := _OPEN.search(html, at):
         if m.start() > at:
             out.append((html[at : m.start()], None, ""))
@@ -70,13 +98,12 @@ def markup(html: str) -> list[tuple[str | None, str | None, str]]:
             at = end + 3 if end >= 0 else len(html)
             out.append((None, "!", ""))
             continue
-        rest = _REST.match(html, m.end()) if stray < STRAY_QUOTES else None
-        if rest is None:
-            stray += 1
-            end = html.find(">", m.end())
-            at = end + 1 if end >= 0 else len(html)
-        else:
-            at = rest.end()
+        rest = None if stray else _REST.match(html, m.end())
+        stray = rest is None
+        end = _tag_end(html, m.end(), ends) if stray else rest.end()
+        if end < 0:  # an open quote: the tag ends at the next >
+            end = html.find(">", m.end()) + 1
+        at = end or len(html)
         attributes = html[m.end() : at].rstrip(">")
         if not m[1] and name in _RAW:
             end = _RAW[name].search(html, at)
@@ -89,15 +116,16 @@ def markup(html: str) -> list[tuple[str | None, str | None, str]]:
     return out
 
 
-def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether the attributes mark an element as boilerplate."""
+def _marked(name: str, attributes: str, inside: bool, controls: Callable[[], bool]) -> bool:
+    """Whether the attributes mark an element as boilerplate. controls tells whether links and controls hold at least half of its words."""
     if name in ("html", "body", "main") or not attributes:
         return False
     for found in _ATTRIBUTE.findall(attributes):
         value = "".join(found)
         if inside or name == "article":
-            ends = [(w[0], w[-1]) for w in (re.split("[-_]", v) for v in value.lower().split())]
-            if ends and all(a in INNER or b in INNER for a, b in ends):
+            names = [re.split("[-_]", v) for v in value.lower().split()]
+            words = [{w[0], w[-1]} & INNER for w in names if not LAYOUT.issuperset(w)]
+            if words and all(words) and (any(w - TOPICS for w in words) or controls()):
                 return True
         elif HINTS.search(value):
             return True
@@ -106,14 +134,29 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
 
 def items(html: str) -> list[tuple[str | None, str | None, bool]]:
     """The page in order: (text, None, inside boilerplate) and (None, tag as "p" or "/p", inside boilerplate)."""
-    seq, open_at, closed = markup(html), {}, set()
-    for k, (_, tag, attributes) in enumerate(seq):
+    seq, open_at, closed = markup(html), {}, {}
+    words, linked, level = [0], [0], 0  # so many words, and of these in links and controls, come before each item
+    for k, (text, tag, attributes) in enumerate(seq):
+        n = len(text.split()) if tag is None else 0
+        words.append(words[-1] + n)
+        linked.append(linked[-1] + (n if level > 0 else 0))
         if tag is None or attributes == "raw":
             continue
         if tag[0] != "/":
             open_at.setdefault(tag, []).append(k)
+            level += tag in CONTROLS
         elif before := open_at.get(tag[1:]):
-            closed.add(before.pop())
+            closed[before.pop()] = k
+            level -= tag[1:] in CONTROLS
+
+    def controls(k: int) -> bool:
+        end = closed.get(k)
+        return end is not None and 2 * (linked[end] - linked[k]) >= words[end] - words[k]
+
+    def in_sentence(k: int) -> bool:
+        around = (k - 1, closed.get(k, len(seq)) + 1)
+        return all(0 <= i < len(seq) and (seq[i][0] or "").strip() for i in around)
+
     out, shut, ends, depth, content = [], "", False, 0, 0
     for k, (text, tag, attributes) in enumerate(seq):
         if tag is None or tag == "!" or attributes == "raw":
@@ -128,7 +171,8 @@ def items(html: str) -> list[tuple[str | None, str | None, bool]]:
             out.append((None, tag, True))
             continue
         if tag[0] != "/" and name not in _VOID and not attributes.endswith("/"):
-            if name in BOILERPLATE or (name == "header" and content <= 0) or _marked(name, attributes, content > 0):
+            named = name in BOILERPLATE and not (name == "button" and content > 0 and in_sentence(k))
+            if named or (name == "header" and content <= 0) or _marked(name, attributes, content > 0, lambda k=k: controls(k)):
                 shut, ends, depth = name, k in closed, 1
         if name in ("article", "main") and not depth:
             content += -1 if tag[0] == "/" else 1
@@ -225,12 +269,37 @@ def _grown(seq: list, start: int, stop: int) -> tuple[int, int]:
     return low, high
 
 
+def _articles(seq: list, start: int, stop: int) -> list[tuple[int, int]]:
+    """What is content if the region is: where both of its ends lie in articles, or these hold half of its words, all outermost articles of the page but
+    those that are links for the most part, in page order; else the region."""
+    found, level, begin = [], 0, 0
+    words, link = [0, 0], False
+    for k, (text, tag, out) in enumerate([*seq, *[(None, "/article", False)] * sum(tag == "article" for _, tag, _ in seq)]):
+        if tag == "article" and not out:
+            if level == 0:
+                begin, words = k, [0, 0]
+            level += 1
+        if tag in ("a", "/a"):
+            link = tag == "a"
+        elif tag is None and not out:
+            words[link] += len(text.split())
+        if tag == "/article" and not out and level > 0:
+            level -= 1
+            if level == 0:
+                found.append((begin, min(k + 1, len(seq)), words[0] > words[1], sum(words)))
+    held = [x for x in found if x[0] < stop and start < x[1]]
+    size = sum(len(text.split()) for text, tag, out in seq[start:stop] if tag is None and not out)
+    ends = held and held[0][0] <= start and stop <= held[-1][1]
+    if not ends and 2 * sum(x[3] for x in held) < max(size, 1):
+        return [(start, stop)]
+    return [x[:2] for x in found if x[2] or len(held) == 1 and x in held]
+
+
 def extract(html: str, weights: dict[str, float]) -> str:
-    """The text of the best region: its blocks, white space folded, joined by an empty line."""
+    """The text of the best region, and of other articles beside it: its blocks, white space folded, joined by an empty line."""
     seq = items(html)
     start, stop = _region(seq, weights, any(tag in ("article", "main") and not out for _, tag, out in seq))
-    if start < stop:
-        start, stop = _grown(seq, start, stop)
+    regions = _articles(seq, *_grown(seq, start, stop)) if start < stop else []
     blocks, part = [], []
 
     def flush() -> None:
@@ -238,15 +307,16 @@ def extract(html: str, weights: dict[str, float]) -> str:
             blocks.append(joined)
         part.clear()
 
-    for text, tag, out in seq[start:stop]:
-        if tag is None:
-            if not out:
-                part.append(text)
-        elif tag.lstrip("/") in BLOCKS:
-            flush()
-        elif tag == "br":
-            part.append(" ")
-    flush()
+    for start, stop in regions:
+        for text, tag, out in seq[start:stop]:
+            if tag is None:
+                if not out:
+                    part.append(text)
+            elif tag.lstrip("/") in BLOCKS:
+                flush()
+            elif tag == "br":
+                part.append(" ")
+        flush()
     return "\n\n".join(blocks)
 
 

@@ -147,6 +147,35 @@ def test_html_pages(spark):
     assert html_extract.labelled_weights(empty) == {} and html_extract.extract_pages(empty, {}).count() == 0
 
 
+def test_html_topics_layout_buttons_and_several_articles():
+    frame = "<html><head><title>T</title></head><body><nav><a>Home</a></nav>{}<footer>all of us</footer></body></html>"
+    weights = html_extract.learn_weights([frame.format(f"<div class=ad>buy it</div><article><h1>title</h1><p>{prose(1, 30)}</p></article>")] * 20)
+    lead, end = f"<p>{prose(1, 20)}</p>", f"<p>{prose(2, 20)}</p>"
+    text = [prose(1, 20), prose(2, 20)]
+    read = lambda inner: html_extract.extract(frame.format(inner), weights).split("\n\n")
+    for mark in ("section class='menu'", "div class='cookies box'", "div class=related", "div id=share"):
+        name = mark.split()[0]
+        assert read(f"<article>{lead}<{mark}>{prose(3, 15)} <a>x</a></{name}>{end}</article>") == [text[0], prose(3, 15) + " x", text[1]]
+        assert read(f"<article>{lead}<{mark}><a>one two</a> <a>three</a> or</{name}>{end}</article>") == text
+    for mark in ("div class='user-comment box'", "div class='ad box'", "ul class='reader-comments list'", "div class='row ad-slot'", "section class=comments"):
+        assert read(f"<article>{lead}<{mark}>{prose(3, 40)}</{mark.split()[0]}>{end}</article>") == text
+    assert read(f"<article>{lead}<div class='price box'>it went up</div>{end}</article>") == [text[0], "it went up", text[1]]
+    assert read(f"<article>{lead}<p>see <button>this</button> here</p><button>Send</button>{end}</article>") == [text[0], "see this here", text[1]]
+    promo = f"<div>{prose(5, 80)}</div>"
+    assert read(f"<article>{lead}</article>{promo}<article>{end}</article>") == text
+    assert read(f"<article>{lead}{end}</article><article><a>read this too</a></article><aside><article>{prose(6, 9)}</article></aside>") == text
+
+
+def test_html_quotes_that_nothing_closes():
+    body = f"<article><p>{prose(1, 20)}</p><p title='a > b'>{prose(2, 20)}</p></article>"
+    stray = "<a title=\"x>y</a>" * 101 + "<i>z</i>" + "<p title='>'>"  # an odd number of quotes
+    ends, page = {}, stray + body
+    for k in range(len(page)):
+        m = html_extract._REST.match(page, k)
+        assert html_extract._tag_end(page, k, ends) == (m.end() if m else -1)
+    assert html_extract.extract(stray.replace('"', "") + body, {}).endswith(prose(2, 20)) and " b'" not in html_extract.extract(page, {})
+
+
 @pytest.mark.parametrize("piece", ["<a \"", "<a '\"", "<a \">", "<", "<!--", "<p ", "<script", "<div class=ad "])
 def test_broken_markup_takes_linear_time(piece):
     import time
