@@ -151,6 +151,12 @@ def alerts_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.listing(out, source_pattern="^u[0-6]$").select("alert_id", "status", "source")
 
 
+def alerts_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every time that an alert was resolved, and what it was before."""
+    steps = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id DIV 5 AS alert_id", "event_id AS at", "CASE event_type WHEN 'error' THEN 'reopen' WHEN 'purchase' THEN 'resolve' WHEN 'click' THEN 'resolve' WHEN 'signup' THEN 'acknowledge' ELSE 'look' END AS action")
+    return A.resolutions(_alerts(spark, sf_dir), steps).select("alert_id", "source", "old_status", "new_status", "nth")
+
+
 def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert statistics by each dimension."""
     return A.alert_stats(_alerts(spark, sf_dir))
@@ -159,7 +165,7 @@ def alert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "detect_kinds": detect_kinds, "strategies": strategies, "parse_other": parse_other, "parse_named": parse_named, "sanitize_nested": sanitize_nested, "mapping_two_runs": mapping_two_runs, "nested_leaves": nested_leaves,
     "report_filtered": report_filtered, "late_patterns": late_patterns, "alerts_dedup": alerts_dedup, "alerts_correlated": alerts_correlated, "alerts_suppressed": alerts_suppressed, "suppression_hits": suppression_hits,
-    "alerts_tuned": alerts_tuned, "alerts_lifecycle": alerts_lifecycle, "alert_counts": alert_counts,
+    "alerts_tuned": alerts_tuned, "alerts_lifecycle": alerts_lifecycle, "alerts_resolved": alerts_resolved, "alert_counts": alert_counts,
 }
 
 _LUHN = "list_sum(list_transform(range(len({v})), lambda i: CASE WHEN i % 2 = 0 THEN {v}[len({v}) - i]::INT ELSE CASE WHEN {v}[len({v}) - i]::INT > 4 THEN {v}[len({v}) - i]::INT * 2 - 9 ELSE {v}[len({v}) - i]::INT * 2 END END)) % 10 = 0"
@@ -235,6 +241,11 @@ l AS (SELECT alert_id, max(step) AS latest, max(step) FILTER (x IN ('error', 'pu
 s AS (SELECT a.alert_id, a.source, l.latest, CASE WHEN l.x = 'purchase' THEN 'resolved' WHEN l.ack IS NOT NULL AND l.ack > coalesce(l.turn, -1) THEN 'acknowledged' ELSE 'active' END AS status FROM a LEFT JOIN l USING (alert_id) WHERE a.alert_id < 1000),
 n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY latest DESC, alert_id) AS k FROM s)
 SELECT alert_id, status, source FROM n WHERE (status <> 'resolved' OR k <= 100) AND regexp_matches(source, '^u[0-6]$')""",
+    "alerts_resolved": f"""WITH RECURSIVE {_A}, f AS (SELECT event_id // 5 AS alert_id, CASE event_type WHEN 'error' THEN 'active' WHEN 'signup' THEN 'acknowledged' ELSE 'resolved' END AS x, row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id) AS n
+  FROM events WHERE event_type IN ('error', 'purchase', 'click', 'signup')),
+s AS (SELECT DISTINCT alert_id, 0::BIGINT AS n, 'active' AS old, 'active' AS now, 0 AS nth FROM f
+  UNION ALL SELECT s.alert_id, f.n, s.now, CASE WHEN f.x = 'acknowledged' AND s.now = 'resolved' THEN s.now ELSE f.x END, s.nth + (f.x = 'resolved' AND s.now <> 'resolved')::INT FROM s JOIN f ON f.alert_id = s.alert_id AND f.n = s.n + 1)
+SELECT s.alert_id, a.source, s.old AS old_status, 'resolved' AS new_status, s.nth FROM s JOIN a USING (alert_id) WHERE s.now = 'resolved' AND s.old <> 'resolved'""",
     "alert_counts": f"""WITH {_A} SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM a UNION ALL SELECT 'severity', severity, count(*) FROM a GROUP BY severity UNION ALL SELECT 'alert_type', alert_type, count(*) FROM a GROUP BY alert_type
 UNION ALL SELECT 'source', source, count(*) FROM a GROUP BY source UNION ALL SELECT 'detector', 'frequency', count(*) FROM a""",
 }

@@ -32,7 +32,7 @@ from lumenlog.sources.text import input_files, read_alerts, read_feedback, read_
 from lumenlog.streaming.judge import StreamJudge, start_alerts
 from lumenlog.streaming.keyed import stream_status
 from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_counts, stream_lines
-from lumenlog.streaming.notify import Metrics, send_alerts
+from lumenlog.streaming.notify import Metrics, send_alerts, send_changes
 
 TEMPLATE = """name: logs
 inputs:
@@ -142,6 +142,29 @@ def tuned(spark: SparkSession, s: Settings) -> DetectorConfig:
     return dataclasses.replace(d, overrides={**d.overrides, **{(r.detector, r.source): r.threshold for r in moved}})
 
 
+def tell_resolved(spark: SparkSession, s: Settings, folder: str | None) -> int:
+    """Posts the alerts that feedback has resolved since the last time to the webhook; how many. Those that folder names were posted before; a run that
+    dies in between posts again. Without a folder to keep them in nothing is posted."""
+    if not (folder and s.webhook.url and s.alert_file and s.feedback_file):
+        return 0
+    try:
+        found = A.resolutions(read_alerts(spark, s.alert_file).dropDuplicates(["alert_id"]), read_feedback(spark, s.feedback_file))
+    except AnalysisException:  # no alerts yet
+        return 0
+    try:
+        found = found.join(spark.read.schema("alert_id string, nth int").json(folder), ["alert_id", "nth"], "left_anti")
+    except AnalysisException:  # nothing posted yet
+        pass
+    found = found.persist(StorageLevel.DISK_ONLY)
+    try:
+        if told := found.count():
+            send_changes(found, s.webhook)
+            found.select("alert_id", "nth").write.mode("append").json(folder)
+        return told
+    finally:
+        found.unpersist()
+
+
 def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool) -> StreamJudge:
     """Judges the alerts of a stream's micro-batches, with what waits beside the checkpoint's; alerts go to the alert file and, where critical, to the webhook."""
 
@@ -150,6 +173,7 @@ def stream_judge(spark: SparkSession, s: Settings, checkpoint: str, live: bool)
             write_alerts(alerts, s.alert_file, batch_name(checkpoint, number))
         if s.webhook.url:
             send_alerts(alerts, s.webhook)
+            tell_resolved(spark, s, f"{checkpoint}/anomaly/told")
 
     return StreamJudge(f"{checkpoint}/anomaly", emit, s.suppression, s.dedup_seconds, s.correlate_seconds, clock=time.time if live else None)
 
@@ -193,6 +217,7 @@ def _outputs(every: DataFrame, s: Settings, run: Run | None, begun: float) -> di
             write_alerts(alerts, s.alert_file, f"run-{run.number}" if run else None)
             if s.webhook.url:
                 send_alerts(alerts, s.webhook)
+                tell_resolved(every.sparkSession, s, f"{s.state_file}/told" if run else None)
     totals, kinds, fields = report(every)
     took = time.monotonic() - begun
     totals |= {"skipped_files": run.skipped if run else 0, "seconds": round(took, 2), "lines_per_second": round((totals["total_lines"] or 0) / took, 1)}
@@ -370,6 +395,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         moved = tuned(spark, s).overrides
         for (detector, source), threshold in sorted(moved.items()):
             print(f"{detector}\t{source}\t{threshold:.4f}")
+        if told := tell_resolved(spark, s, f"{s.state_file}/told" if s.state_file else None):
+            print(f"{told} resolved alerts posted", file=sys.stderr)
     return 0
 
 

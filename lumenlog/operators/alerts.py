@@ -140,6 +140,21 @@ def lifecycle(alerts: DataFrame, feedback: DataFrame, newest_resolved: int = 100
     return out.filter("status <> 'resolved'").unionByName(top).drop("_last")
 
 
+def resolutions(alerts: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Each time that feedback in order resolved an alert which wasn't resolved before: alerts with old_status, new_status, and nth (from 1 for each alert)."""
+    steps = feedback.filter("action IN ('acknowledge', 'resolve', 'reopen')").select("alert_id", "at", "action")
+    order = Window.partitionBy("alert_id").orderBy("at", "action")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.row_number().over(order)
+    turn = F.col("action") != "acknowledge"
+    last = lambda hit, what: F.last(F.when(hit, what), ignorenulls=True).over(before)
+    told = steps.withColumn("_n", n).select("*", last(turn, F.col("action")).alias("_turn"), last(turn, F.col("_n")).alias("_turned"), last(~turn, F.col("_n")).alias("_seen"))
+    told = told.filter((F.col("action") == "resolve") & ~F.col("_turn").eqNullSafe("resolve"))
+    old = F.when(F.col("_seen") > F.coalesce("_turned", F.lit(0)), "acknowledged").otherwise("active")
+    told = told.select("alert_id", old.alias("old_status"), F.lit("resolved").alias("new_status"), n.alias("nth"))
+    return alerts.join(told, "alert_id")
+
+
 def tuned_thresholds(feedback: DataFrame, alerts: DataFrame, initial: float = 3.0, by_detector: Mapping[str, float] | None = None) -> DataFrame:
     """detector, source, threshold after ordered feedback: a false positive raises it by 5 % up to 3 times the initial one, a true one lowers it by 2 % down to 0.3 times.
     The initial one is that of the detector, else initial."""

@@ -28,8 +28,19 @@ def send_alerts(alerts: DataFrame, hook: Webhook, send: Callable[..., None] = po
 
     Alerts are fetched partition by partition, so the driver never holds them all.
     """
+    return _posted(alerts.filter("severity = 'CRITICAL'").select(F.struct(*alerts.columns).alias("doc")), hook, "alert", send, pause)
+
+
+def send_changes(changes: DataFrame, hook: Webhook, send: Callable[..., None] = post, pause: Callable[[float], None] = time.sleep) -> tuple[int, int]:
+    """Posts resolved alerts (of operators.alerts.resolutions) of any severity as changes of status, as send_alerts does."""
+    about = [c for c in changes.columns if c not in ("old_status", "new_status", "nth")]
+    doc = F.struct(F.lit("status_change").alias("type"), "alert_id", "old_status", "new_status", F.current_timestamp().alias("timestamp"), F.struct(*about).alias("alert"))
+    return _posted(changes.select(doc.alias("doc")), hook, "payload", send, pause)
+
+
+def _posted(docs: DataFrame, hook: Webhook, key: str, send: Callable[..., None], pause: Callable[[float], None]) -> tuple[int, int]:
     done = failed = 0
-    for row in alerts.filter("severity = 'CRITICAL'").select(F.to_json(F.struct(*alerts.columns), {"ignoreNullFields": "false"}).alias("json")).toLocalIterator():
+    for row in docs.select(F.to_json("doc", {"ignoreNullFields": "false"}).alias("json")).toLocalIterator():
         error = None
         for attempt in range(1 + hook.max_retries if hook.url else 0):
             try:
@@ -43,7 +54,7 @@ def send_alerts(alerts: DataFrame, hook: Webhook, send: Callable[..., None] = po
         done, failed = done + (error == ""), failed + bool(error)
         if error and hook.dead_letter_file:
             with open(hook.dead_letter_file, "a") as f:
-                f.write(json.dumps({"alert": json.loads(row.json), "error": error}) + "\n")
+                f.write(json.dumps({key: json.loads(row.json), "error": error}) + "\n")
     return done, failed
 
 

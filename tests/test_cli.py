@@ -5,7 +5,7 @@ import json
 import pytest
 import yaml
 
-from lumenlog.cli import current_rules, main
+from lumenlog.cli import current_rules, main, tell_resolved
 from lumenlog.config import Webhook, load, parse_settings
 from lumenlog.operators.detect import BUILTIN
 from lumenlog.streaming.live import parsed_records, start_routed, stream_lines
@@ -78,6 +78,42 @@ def test_webhook(spark, tmp_path):
     assert send_alerts(alerts, Webhook(), send) == (0, 0)
 
 
+def test_webhook_of_resolved_alerts(spark, tmp_path, monkeypatch):
+    """A change of status is posted once, and again after the alert was reopened and resolved anew; a failed one is a dead letter."""
+    from lumenlog.operators.detectors import ALERT
+    from lumenlog.sources.text import write_alerts
+    from lumenlog.streaming import notify
+
+    stamp = "timestamp '2024-01-15 08:30:45'"
+    row = lambda k: f"SELECT {', '.join(stamp + ' AS ts' if c.split()[0] == 'ts' else f'CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}' for c in ALERT.split(', ') if c.split()[0] != 'severity')}, 'WARNING' AS severity, '{k}' AS alert_id"
+    alerts = spark.sql(" UNION ALL ".join(row(k) for k in "abc")).select(*[c.split()[0] for c in ALERT.split(", ")], "alert_id")
+    write_alerts(alerts, str(tmp_path / "alerts"))
+    (tmp_path / "feedback").mkdir()
+    calls = []
+
+    def send(url, body, headers, timeout):
+        doc = json.loads(body)
+        calls.append((doc["type"], doc["alert_id"], doc["old_status"], doc["new_status"], doc["alert"]["severity"]))
+        if doc["alert_id"] == "b":
+            raise OSError("down")
+
+    monkeypatch.setattr(notify.send_changes, "__defaults__", (send, lambda s: None))
+    doc = {**BASE, "anomaly_detection": {"enabled": True, "alert_file": str(tmp_path / "alerts"), "feedback_file": str(tmp_path / "feedback"), "webhook": {"url": "http://host/x", "max_retries": 0, "dead_letter_file": str(tmp_path / "dead")}}}
+    s, told = parse_settings(doc), str(tmp_path / "told")
+
+    def feed(name, *steps):
+        (tmp_path / "feedback" / name).write_text("".join(json.dumps({"alert_id": k, "action": a}) + "\n" for k, a in steps))
+        calls.clear()
+        return tell_resolved(spark, s, told), sorted(calls)
+
+    change = lambda k, old: ("status_change", k, old, "resolved", "WARNING")
+    assert feed("1", ("a", "resolve"), ("a", "resolve"), ("b", "acknowledge"), ("b", "resolve"), ("c", "acknowledge"), ("z", "resolve")) == (2, [change("a", "active"), change("b", "acknowledged")])
+    assert json.loads((tmp_path / "dead").read_text())["payload"]["alert_id"] == "b"
+    assert feed("1", ("a", "resolve"), ("a", "resolve"), ("b", "acknowledge"), ("b", "resolve"), ("c", "acknowledge"), ("z", "resolve")) == (0, [])
+    assert feed("1", ("a", "resolve"), ("a", "reopen"), ("a", "resolve"), ("b", "acknowledge"), ("b", "resolve"), ("c", "resolve")) == (2, [change("a", "active"), change("c", "active")])
+    assert tell_resolved(spark, s, None) == 0 and tell_resolved(spark, parse_settings({**doc, "anomaly_detection": {**doc["anomaly_detection"], "alert_file": str(tmp_path / "none")}}), told) == 0
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("2024-01-15 08:30:45 [INFO] mail a@b.cd\n2024-01-15 08:30:46 [ERROR] from 10.0.0.1\n")
