@@ -30,7 +30,7 @@ from lumenlog.sources.replay import replay_stream
 from lumenlog.sources.resume import FileRange, Manifest, newest, plan, put_manifest, read_ranges, went_on
 from lumenlog.sources.text import input_files, read_alerts, read_feedback, read_lines, read_log, read_sanitized, write_alerts, write_log, write_records
 from lumenlog.streaming.judge import StreamJudge, start_alerts
-from lumenlog.streaming.keyed import stream_status
+from lumenlog.streaming.keyed import ask_reset, stream_status
 from lumenlog.streaming.live import batch_name, live_records, parsed_records, start_routed, stream_counts, stream_lines
 from lumenlog.streaming.notify import Metrics, send_alerts, send_changes
 
@@ -292,6 +292,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--checkpoint", help="of a stream, whose state is told")
         if name == "reset":
             p.add_argument("source")
+            p.add_argument("--checkpoint", help="of a stream, which drops the source's state with its next records")
         if name == "alerts":
             p.add_argument("--status")
             p.add_argument("--source")
@@ -351,7 +352,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         query = start_routed(records, s.routes, s.file, args.checkpoint, once=args.once, rules=current_rules(args.config, s.rules))
         if s.anomaly:  # a query of its own: the detectors see what is sanitized by the rules of the start
             judge = stream_judge(spark, s, args.checkpoint, args.tail)
-            alerts = start_alerts(L.sanitize_records(records, s.rules), tuned(spark, s), judge, f"{args.checkpoint}/alerts", args.once)
+            alerts = start_alerts(L.sanitize_records(records, s.rules), tuned(spark, s), judge, f"{args.checkpoint}/alerts", args.once, f"{args.checkpoint}/resets")
             if args.once:
                 alerts.awaitTermination()
                 judge.flush(spark)
@@ -368,6 +369,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if s.alert_file and s.feedback_file:
             for row in A.lifecycle(read_alerts(spark, s.alert_file), read_feedback(spark, s.feedback_file), s.max_resolved).groupBy("status").count().orderBy("status").collect():
                 print(f"{row.status}\t{row['count']}")
+    elif args.what == "reset" and args.checkpoint:
+        ask_reset(spark, f"{args.checkpoint}/resets", args.source)
     elif args.what == "reset":
         this = next_run(spark, s)
         write_log(spark.createDataFrame([(args.source, None, True)], "source string, state string, removed boolean"), f"{s.state_file}/detectors", this.number)

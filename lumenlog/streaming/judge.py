@@ -70,7 +70,7 @@ class StreamJudge:
         spark.createDataFrame([], STATES["waiting"]).write.mode("overwrite").parquet(f"{self.folder}/{self.last % 2}/waiting")
 
 
-def start_alerts(records: DataFrame, config: DetectorConfig, judge: StreamJudge, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Judges what the detectors find in a stream of records, in a query of its own with its own checkpoint."""
-    writer = keyed_alerts(records, config, timed=judge.clock is not None).writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).outputMode("append")
+def start_alerts(records: DataFrame, config: DetectorConfig, judge: StreamJudge, checkpoint: str, once: bool = True, resets: str | None = None) -> StreamingQuery:
+    """Judges what the detectors find in a stream of records, in a query of its own with its own checkpoint. resets: the folder of requests to drop a source's state."""
+    writer = keyed_alerts(records, config, timed=judge.clock is not None, resets=resets).writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

@@ -3,6 +3,8 @@
 A micro-batch touches only sources that have records or whose timer is due, and writes only the templates that changed; Spark keeps the state with the stream's
 checkpoint, so a restarted stream goes on where it was. A source's records of a micro-batch come in the order of time, then file and line. With timers a window of a
 source that sends nothing more closes once the wall clock is past its end; without (for old files) windows close by later records alone.
+
+A source is reset by a row of a second stream, a folder that ask_reset writes to: its state is dropped before the records of the micro-batch in which the row comes.
 """
 
 from __future__ import annotations
@@ -58,8 +60,17 @@ class KeyedDetectors(StatefulProcessor):
                 self.handle.registerTimer(int(min(ends) * 1000) + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        whole = pd.concat(list(rows), ignore_index=True)
+        if (reset := whole["reset"].astype(bool)).any():
+            self.core.clear()
+            self.templates.clear()
+            for told in list(self.handle.listTimers()) if self.timed else ():
+                self.handle.deleteTimer(told)
+            whole = whole[~reset]
+            if whole.empty:
+                return
         state, held = self._load(key[0])
-        whole = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "file", "line_no"], kind="stable")
+        whole = whole.sort_values(["ts", "file", "line_no"], kind="stable")
         out = [a for ts, level, template, line in zip(whole["ts"], whole["level"], whole["template"], whole["line_no"], strict=True) for a in state.add(ts.value / 1e9, level, template, int(line))]
         self._store(state, held)
         if out:
@@ -82,10 +93,19 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_NAMES).astype({"ts": "datetime64[us]", "line_start": "int64", "line_end": "int64"})
 
 
-def keyed_alerts(records: DataFrame, config: DetectorConfig, timed: bool = True) -> DataFrame:
-    """The alerts of a stream of records (source, ts, level, message, line_no and, where there is one, source_file)."""
+def ask_reset(spark: SparkSession, folder: str, source: str | None = None) -> None:
+    """Has the stream that reads folder drop a source's state; without a source folder is made if it isn't there."""
+    spark.createDataFrame([] if source is None else [(source,)], "source string").coalesce(1).write.mode("append").json(folder)
+
+
+def keyed_alerts(records: DataFrame, config: DetectorConfig, timed: bool = True, resets: str | None = None) -> DataFrame:
+    """The alerts of a stream of records (source, ts, level, message, line_no and, where there is one, source_file). resets: a folder that ask_reset writes to."""
     records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = templated_records(records).withColumn("source", F.coalesce("source", F.lit("")))
+    rows = templated_records(records).withColumn("source", F.coalesce("source", F.lit(""))).withColumn("reset", F.lit(False))
+    if resets:
+        ask_reset(records.sparkSession, resets)
+        asked = records.sparkSession.readStream.schema("source string").json(resets).filter("source IS NOT NULL").withColumn("reset", F.lit(True))
+        rows = rows.unionByName(asked, allowMissingColumns=True)
     return rows.groupBy("source").transformWithStateInPandas(KeyedDetectors(config, timed), ALERT, "append", "processingTime" if timed else "none")
 
 

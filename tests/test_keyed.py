@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenlog.operators import detectors as D
-from lumenlog.streaming.keyed import keyed_alerts, stream_status
+from lumenlog.streaming.keyed import ask_reset, keyed_alerts, stream_status
 
 SCHEMA = "source string, source_file string, line_no long, ts timestamp, level string, message string"
 
@@ -34,9 +34,9 @@ def rows_of(start, n=240, seed=3, step=0.5):
     return sorted(out, key=lambda r: r[3])
 
 
-def run(spark, folder, config, timed, seconds=0, got=None):
+def run(spark, folder, config, timed, seconds=0, got=None, resets=None):
     got = [] if got is None else got
-    stream = keyed_alerts(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(folder / "in")), config, timed)
+    stream = keyed_alerts(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(folder / "in")), config, timed, resets)
     writer = stream.writeStream.foreachBatch(lambda df, n: got.extend(df.collect())).option("checkpointLocation", str(folder / "cp"))
     query = (writer.trigger(processingTime="1 second") if seconds else writer.trigger(availableNow=True)).start()
     if seconds:
@@ -64,6 +64,26 @@ def test_restarts(spark, tmp_path):
     assert [(r["source"], r["seen"], r["templates"]) for r in status] == [tuple(r) for r in frame.groupBy("source").agg(F.count("*"), F.countDistinct(F.regexp_extract("message", "m .", 0))).orderBy("source").collect()]
 
 
+def test_a_source_is_reset(spark, tmp_path):
+    """After a reset a source is judged as one that begins with what comes next; the others go on. A reset of a source that is not there changes nothing."""
+    rows, resets = rows_of(dt.datetime(2024, 1, 1)), str(tmp_path / "resets")
+    config = D.DetectorConfig(window_seconds=10.0, windows={"pattern": 15.0}, multiplier=1.3, z_threshold=1.2, min_samples=50, disappear_windows=2)
+    early, late = rows[:240], rows[240:]
+    write(tmp_path / "in", 0, early)
+    got = run(spark, tmp_path, config, False, resets=resets)
+    ask_reset(spark, resets, "a")
+    ask_reset(spark, resets, "none")
+    run(spark, tmp_path, config, False, got=got, resets=resets)
+    assert [r["source"] for r in stream_status(spark, str(tmp_path / "cp"))] == ["b"]
+    write(tmp_path / "in", 1, late)
+    run(spark, tmp_path, config, False, got=got, resets=resets)
+    want = []
+    for part in ([r for r in early if r[0] == "a"], [r for r in late if r[0] == "a"], [r for r in rows if r[0] == "b"]):
+        last = max(r[3] for r in part)
+        want += [r for r in D.anchored_alerts(spark.createDataFrame(part, SCHEMA), config, by_time=True).collect() if r.ts != last or r.alert_type == "new_pattern"]
+    assert told(got) == told(want) and {r["source"]: r["seen"] for r in stream_status(spark, str(tmp_path / "cp"))} == {"a": sum(r[0] == "a" for r in late), "b": 240}
+
+
 def test_idle_sources_close_by_the_clock(spark, tmp_path):
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(seconds=60)
     rows = rows_of(start, n=80, step=0.25)
