@@ -1,9 +1,11 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 Shingles are five consecutive words (runs of digits, letters and code points from U+0080, A-Z lower-cased); a text of one to four words
-is one shingle. A shingle weighs (1 + ln tf) * idf; idf is 1 + ln(1 / p) / 4, where p is the share of documents with the shingle,
-taken as 1/16 where it is less, so that only what is common in the corpus weighs less. Shares of common shingles are exact: a counting sketch
-over all documents tells where they must be, and a second pass counts these alone.
+is one shingle. A shingle weighs (1 + ln tf) * idf; idf is 1 + ln(1 / p) / 4, where p is the share of documents with the shingle. op7_near_dedup
+and the pipeline take every shingle's own share (rare=0): documents are written in pieces, the distinct shingles of a piece go to shards by
+ranges of their hashes, a shard counts its shingles over all pieces, and the counts come back to the pieces.
+A caller may have shares below `rare` taken as that (the default, 1/16), so that only what is common in the corpus weighs less; then a counting
+sketch over all documents tells where common shingles must be, and a second pass counts these alone.
 
 Texts of equal words are one node. In two rounds, nodes that share a band's hash meet one leader of their bucket, at first the one
 whose buckets are the largest (the original of a group of copies), then one by lot; each pair is verified exactly. So a bucket of n copies
@@ -26,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import SALTS, discard, free_name, give_back, join_hot, mix64, pieces, salt_of, settle, shuffled_joins, span_hashes, spans, table, text_bytes
+from lumenlog.llm.common import IS_WORD, SALTS, discard, free_name, give_back, join_hot, mix64, pieces, salt_of, settle, shuffled_joins, span_hashes, spans, table, text_bytes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -37,8 +40,10 @@ BANDS, ROWS = 12, 3
 BLOCK, MATCHES = 64, 16
 #: Buckets of the counting sketch, in parts that are summed apart.
 SKETCH, PARTS = 1 << 21, 64
-#: Shingles in fewer documents than this share all weigh the same.
+#: Shingles in fewer documents than this share all weigh the same, where a caller doesn't ask for exact shares.
 RARE = 1 / 16
+#: Bytes of text of a piece and of a shard of exact shares, and the least number of shards.
+PIECE, SHARD, SHARDS = 4 << 20, 32 << 20, 64
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,48 +178,157 @@ def _keys(data: np.ndarray, offs: np.ndarray, words: np.ndarray, at: np.ndarray)
     return [xxhash.xxh3_128_digest(b"w" + words[at[k] : at[k + 1]].tobytes() if at[k] < at[k + 1] else b"t" + data[offs[k] : offs[k + 1]].tobytes()) for k in range(len(offs) - 1)]
 
 
-def _signatures(common: tuple[np.ndarray, np.ndarray]):
-    """For mapInArrow: doc_id, key (digest of the words), bands, sign (all samples), vector: shingles (sorted 32-bit hashes and float16 weights as bytes),
-    salt (rows of a task in turn)."""
+SIGNED = "doc_id long, key binary, bands array<long>, sign binary, vector binary, salt int"
+
+
+def _signed(doc_id: pa.Array, parts: Iterator[tuple], weigh, sampler: Sampler, done: int) -> pa.RecordBatch:
+    """SIGNED: doc_id, key (digest of the words), bands, sign (all samples), vector: shingles (sorted 32-bit hashes and float16 weights as bytes),
+    salt (rows in turn). parts: bytes and offsets of texts with their shingles; weigh: weights of shingles."""
+    keys, bands, signs_out, vectors = [], [], [], []
+    for d, o, (found, times, where, words, at) in parts:
+        n, w = len(o) - 1, weigh(found, times)
+        full = np.flatnonzero(np.diff(where))
+        signs = np.zeros((BANDS, n), np.int64)
+        if len(full):
+            place = np.cumsum(np.diff(where) > 0) - 1
+            chosen = sampler(found, w, np.append(where[full], len(found)))
+            for b in range(BANDS):
+                code = np.full(len(full), b + 1, np.uint64)
+                for row in chosen[b * ROWS : (b + 1) * ROWS]:
+                    code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
+                signs[b, full] = code.view(np.int64)
+        small, half = (found >> np.uint64(32)).astype(np.uint32), w.astype(np.float16)
+        keys += _keys(d, o, words, at)
+        for k in range(n):
+            a, b = where[k], where[k + 1]
+            if a == b:
+                bands.append(None)
+                signs_out.append(None)
+                vectors.append(None)
+            else:
+                bands.append(signs[:, k])
+                signs_out.append(chosen[:, place[k]].tobytes())
+                vectors.append(small[a:b].tobytes() + half[a:b].tobytes())
+    salts = (np.arange(done, done + len(keys)) % SALTS).astype(np.int32)
+    columns = [doc_id, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs_out, pa.binary()), pa.array(vectors, pa.binary()), pa.array(salts)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "bands", "sign", "vector", "salt"])
+
+
+def _signatures(common: tuple[np.ndarray, np.ndarray], rare: float):
+    """For mapInArrow: SIGNED of documents, by the idf of common shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, done = Sampler(), 0
         for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            keys, bands, signs_out, vectors = [], [], [], []
-            for lo, hi, d, o in pieces(data, offs, 1 << 17):
-                found, times, where, words, at = shingles(d, o)
-                w = weights(found, times, common)
-                full = np.flatnonzero(np.diff(where))
-                signs = np.zeros((BANDS, hi - lo), np.int64)
-                if len(full):
-                    place = np.cumsum(np.diff(where) > 0) - 1
-                    chosen = sampler(found, w, np.append(where[full], len(found)))
-                    for b in range(BANDS):
-                        code = np.full(len(full), b + 1, np.uint64)
-                        for row in chosen[b * ROWS : (b + 1) * ROWS]:
-                            code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
-                        signs[b, full] = code.view(np.int64)
-                small, half = (found >> np.uint64(32)).astype(np.uint32), w.astype(np.float16)
-                keys += _keys(d, o, words, at)
-                for k in range(hi - lo):
-                    a, b = where[k], where[k + 1]
-                    if a == b:
-                        bands.append(None)
-                        signs_out.append(None)
-                        vectors.append(None)
-                    else:
-                        bands.append(signs[:, k])
-                        signs_out.append(chosen[:, place[k]].tobytes())
-                        vectors.append(small[a:b].tobytes() + half[a:b].tobytes())
-            salts = (np.arange(done, done + len(keys)) % SALTS).astype(np.int32)
-            done += len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs_out, pa.binary()), pa.array(vectors, pa.binary()), pa.array(salts)], ["doc_id", "key", "bands", "sign", "vector", "salt"])
+            parts = ((d, o, shingles(d, o)) for _, _, d, o in pieces(*text_bytes(batch.column("text")), 1 << 17))
+            yield _signed(batch.column("doc_id").cast(pa.int64()), parts, lambda found, times: weights(found, times, common, rare), sampler, done)
+            done += batch.num_rows
         give_back()
 
     return scan
 
 
+# --- exact shares of all shingles --------------------------------------------
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte of their numbers: of sorted hashes and of counts the high bytes hardly change."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays))
+
+
+def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    data, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8), [], 0
+    wide = [np.dtype(k).itemsize for k in kinds]
+    n = len(data) // sum(wide)
+    for kind, size in zip(kinds, wide, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: piece, doc_ids, offs, texts (packed), bytes, full (texts with words)."""
+    place, pack = (TaskContext.get().partitionId() << 32), zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        ids = batch.column("doc_id").cast(pa.int64())
+        for lo, hi, d, o in pieces(*text_bytes(batch.column("text")), PIECE):
+            inside = np.append(0, np.cumsum(IS_WORD[d]))[o]
+            row = [place, ids[lo:hi].to_pylist(), o.tobytes(), pack.compress(d.tobytes()), len(d), int((np.diff(inside) > 0).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["piece", "doc_ids", "offs", "texts", "bytes", "full"])
+            place += 1
+    give_back()
+
+
+def _parts(offs: bytes, texts: bytes) -> list[tuple]:
+    """Bytes and offsets of a piece's texts in small parts, each with its shingles."""
+    data, o = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8), np.frombuffer(offs, np.int64)
+    return [(d, own, shingles(d, own)) for _, _, d, own in pieces(data, o, 1 << 17)]
+
+
+def _distinct(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a piece, sorted, and how many of its texts have them."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[2][0] for x in parts)]), return_counts=True)
+
+
+def _to_shards(shards: int):
+    """For mapInArrow: shard, piece, keys (distinct shingles of the piece in the shard's range of hashes, with counts, packed)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, offs, texts in zip(*(batch.column(c) for c in ("piece", "offs", "texts")), strict=True):
+                keys, n = _distinct(_parts(offs.as_py(), texts.as_py()))
+                cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cuts))
+                packed = [_pack(keys[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]].astype(np.uint32)) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([piece.as_py()] * len(some), pa.int64()), pa.array(packed, pa.binary())], ["shard", "piece", "keys"])
+        give_back()
+
+    return send
+
+
+def _count_shard(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For applyInArrow: piece, shard, n (of each of the piece's shingles in the shard: how many documents have it, packed)."""
+    at, keys, n = [], [], []
+    for batch in batches:
+        at += batch.column("piece").to_pylist()
+        for raw in batch.column("keys"):
+            own = _unpack(raw.as_py(), np.uint64, np.uint32)
+            keys.append(own[0])
+            n.append(own[1])
+    ends = np.cumsum([len(x) for x in keys])[:-1]
+    _, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, np.concatenate(n)).astype(np.uint32)
+    packed = [_pack(x) for x in np.split(total[where], ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array(packed, pa.binary())], ["piece", "shard", "n"])
+    give_back()
+
+
+def _sign_piece(total: int):
+    """For a cogroup of a piece and its counts: SIGNED of its documents."""
+
+    def sign(piece: pa.Table, counts: pa.Table) -> pa.Table:
+        parts = _parts(piece["offs"][0].as_py(), piece["texts"][0].as_py())
+        keys, _ = _distinct(parts)
+        ordered = counts.sort_by("shard")["n"]  # shards are ranges of hashes, in order
+        n = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x.as_py(), np.uint32)[0] for x in ordered)])
+        idf = 1 + np.log(total / n) / 4
+        weigh = lambda found, times: (idf[np.searchsorted(keys, found)] * (1 + np.log(times))).astype(np.float32)
+        out = pa.Table.from_batches([_signed(piece["doc_ids"].combine_chunks().flatten(), parts, weigh, Sampler(), piece["piece"][0].as_py())])
+        give_back()
+        return out
+
+    return sign
+
+
+def signed_by_all_shares(docs: DataFrame) -> DataFrame:
+    """SIGNED of documents, settled, each shingle weighed by the exact share of documents that have it: no floor, no sample."""
+    cut = settle(docs.mapInArrow(_cut, "piece long, doc_ids array<long>, offs binary, texts binary, bytes long, full long"), "pieces")
+    size, total = cut.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("full"), F.lit(0))).first()
+    sent = cut.select("piece", "offs", "texts").mapInArrow(_to_shards(max(SHARDS, -(-size // SHARD))), "shard int, piece long, keys binary")
+    counts = settle(sent.groupBy("shard").applyInArrow(_count_shard, "piece long, shard int, n binary"), "shares")
+    signed = settle(cut.select("piece", "doc_ids", "offs", "texts").groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(_sign_piece(total), SIGNED), "signed")
+    discard(cut, counts)
+    return signed
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed vectors."""
     n, m = len(a) // 6, len(b) // 6
@@ -322,10 +436,10 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def classes_of(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classes_of(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) -> DataFrame:
     """near_duplicates with key (digest of the words) and root (the least key of the class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(docs.mapInArrow(_signatures(common_shingles(docs)), "doc_id long, key binary, bands array<long>, sign binary, vector binary, salt int"), "signed")
+    signed = settle(docs.mapInArrow(_signatures(common_shingles(docs, rare), rare), SIGNED), "signed") if rare else signed_by_all_shares(docs)
     nodes = settle(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sign").alias("sign")), "nodes")
     with shuffled_joins(docs.sparkSession):
         told = _told(signed, nodes, least)
@@ -342,11 +456,11 @@ def _told(signed: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return settle(join_hot(placed, classes, ["root"], "salt").select("key", "root", "class_id", "class_rows", "n_verified"), "classes")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_key (the class itself, also where ids repeat or lack), class_rows, n_verified
     (pairs with other texts that were verified and found similar: links inside a class that its other links already join aren't tried, so no
-    count of similar texts). A row for each document."""
-    return classes_of(docs, least).withColumn("class_key", F.lower(F.hex("root"))).drop("key", "root")
+    count of similar texts). A row for each document. Shares of documents below rare count as that; 0 takes every shingle's own."""
+    return classes_of(docs, least, rare).withColumn("class_key", F.lower(F.hex("root"))).drop("key", "root")
 
 
 def text_key(column: pa.Array) -> pa.Array:
@@ -358,10 +472,10 @@ def text_key(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) -> DataFrame:
     """docs with one row of each class: that of the least id, of several texts with it that of the least key; a row without an id only
     where the class has no other. Texts are read again only where an id is null or comes repeatedly."""
-    found = settle(classes_of(docs, least).select("doc_id", "key", "root"), "classes")
+    found = settle(classes_of(docs, least, rare).select("doc_id", "key", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")
     first = settle(found.groupBy("root").agg(F.min(order).alias("at")).select("at.doc_id", "at.key"), "kept")
     often = settle(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "often")
@@ -377,5 +491,5 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """The class of every document, by the idf of all shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), rare=0)

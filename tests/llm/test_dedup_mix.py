@@ -160,3 +160,34 @@ def test_independent_edits(spark):
             rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
     found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert all((found[a] == found[b]) == (j >= 0.8) for a, b, j in pairs if abs(j - 0.8) > 0.002) and sum(j > 0.802 for *_, j in pairs) > 70
+
+
+def test_every_shingle_has_its_own_share(spark):
+    """op7's weights (rare=0): the idf of each shingle follows its own count of documents, however rare; classes are those of that similarity."""
+    rng, texts = np.random.default_rng(7), []
+    for g in range(12):
+        base = prose(50 + g, 80).split()
+        for _ in range(5):
+            words = list(base)
+            for at in rng.integers(0, 80, rng.integers(0, 4)):
+                words[at] = f"edit{rng.integers(1000)}"
+            texts.append(" ".join(words))
+    texts += ["one two", "one two", "", None, "!!!"]
+    counts = [collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] * bool(w)) for w in (re.findall(r"\w+", t or "") for t in texts)]
+    total, share = sum(bool(c) for c in counts), collections.Counter(s for c in counts for s in c)
+    exact = [{s: (1 + math.log(tf)) * (1 + math.log(total / share[s]) / 4) for s, tf in c.items()} for c in counts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in near_dedup.signed_by_all_shares(docs).collect():
+        w = np.frombuffer(r.vector or b"", np.float16, offset=len(r.vector or b"") // 6 * 4)
+        assert np.allclose(np.sort(w.astype(float)), sorted(exact[r.doc_id].values()), atol=0.003)
+
+    def components(vectors):
+        root = list(range(len(texts)))
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if vectors[i] and vectors[j] and alike(vectors[i], vectors[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+        return root[:-5]
+
+    found = [r.class_id for r in near_dedup.near_duplicates(docs, rare=0).orderBy("doc_id").collect()]
+    assert found[:-5] == components(exact) != components(weighted(texts)) and found[-5:-3] == [60, 60] and found[-3:-1] == [62, 62]
