@@ -129,7 +129,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     """Fits to at most rows labelled, not held-out documents; their feature ids are made on the executors."""
     sample = labelled_sample(docs, labels, "quality", rows).mapInArrow(_feature_rows, "doc_id long, label int, features array<int>").toArrow()
     found = sorted(zip(sample["doc_id"].to_pylist(), sample["label"].to_pylist(), (np.asarray(x.values, np.int64) for x in sample["features"].combine_chunks())), key=lambda r: (r[0], r[1], len(r[2])))
-    return fit([f for _, _, f in found], np.array([label for _, label, _ in found], float))
+    model = fit([f for _, _, f in found], np.array([label for _, label, _ in found], float))
+    del sample, found
+    give_back()  # the driver's memory, for the steps that come after
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

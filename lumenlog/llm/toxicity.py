@@ -224,7 +224,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     x = np.array([sample["features"][i].as_py() for i in order], float).reshape(len(order), len(FEATURES))
     of = lambda name, i: [np.asarray(sample[name][i].values[j].values, np.int32) for j in range(len(BEGINNINGS))]
     units = [list(zip((u.view(np.uint32) for u in of("units", i)), of("counts", i), strict=True)) for i in order]
-    return fit(x, units, np.array([sample["label"][i].as_py() for i in order], float))
+    model = fit(x, units, np.array([sample["label"][i].as_py() for i in order], float))
+    del sample, order, x, units, of
+    give_back()  # the driver's memory, for the steps that come after
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:

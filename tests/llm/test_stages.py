@@ -223,3 +223,12 @@ def test_media_of_known_chunks_and_equal_texts(spark):
     rows = media_chunks.media_columns(docs).collect()
     assert len(rows) == len(texts) and sorted(r.n_bytes for r in rows) == sorted(len((t or "").encode()) for t in texts)
     assert len({(r.media_sha256, r.feature) for r in rows if r.n_bytes == 4}) == 1 and near_dedup is not None
+
+
+def test_training_gives_the_drivers_memory_back(spark, corpus, monkeypatch):
+    """Workers have their own modules, so only the driver's calls are seen here."""
+    calls, docs, labels = [], spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet")
+    for module, train in ((quality, quality.train_quality), (toxicity, toxicity.train_toxicity)):
+        monkeypatch.setattr(module, "give_back", lambda name=module.__name__: calls.append(name))
+        train(docs, labels)
+    assert calls == [quality.__name__, toxicity.__name__]
