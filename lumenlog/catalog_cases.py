@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.functions import scalars as S
 from lumenlog.operators import alerts as A
 from lumenlog.operators import detectors as D
 from lumenlog.operators import nested as N
@@ -111,8 +112,9 @@ def report_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def late_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates that first come after 100 lines of a source, over messages whose words change with time."""
-    rows = _events(spark, sf_dir, "event_id AS line_no", "concat('u', user_id % 10) AS source", "concat(event_type, ' phase ', chr(CAST(97 + event_id % 20 * floor(event_id / 3000) AS INT)), ' of ', user_id) AS message")
-    return D.new_patterns(rows, 100, slot=64)
+    rows = _events(spark, sf_dir, "concat('u', user_id % 10) AS source", "event_type", "user_id").withColumnRenamed("event_id", "line_no")
+    phase = S.code_point(97 + F.col("line_no") % 20 * F.floor(F.col("line_no") / 3000))
+    return D.new_patterns(rows.select("line_no", "source", F.concat("event_type", F.lit(" phase "), phase, F.lit(" of "), "user_id").alias("message")), 100, slot=64)
 
 
 def alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

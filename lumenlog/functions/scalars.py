@@ -94,6 +94,11 @@ def parse_timestamp(text: Column, year: int = 1900) -> Column:
     )
 
 
+def code_point(n: Column) -> Column:
+    """The character of a code point; Spark's own chr takes n modulo 256. Half of a surrogate pair becomes a question mark."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+
+
 def templatize(message: Column) -> Column:
     """A message's template: e-mails, addresses, path variables, UUIDs and numbers become placeholders, in this order."""
     out = F.regexp_replace(message, P.EMAIL, "<EMAIL>")
