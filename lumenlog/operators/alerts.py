@@ -117,11 +117,23 @@ def with_ids(alerts: DataFrame) -> DataFrame:
 
 
 def release(judged: DataFrame) -> DataFrame:
-    """What goes out: suppressed alerts don't; delayed ones do, at their end, if the same (source, type) came again in between."""
-    later = judged.select(F.col("source").alias("s"), F.col("alert_type").alias("k"), F.col("ts").alias("again"))
-    due = F.col("ts") + F.make_interval(secs=F.col("delay_seconds"))
-    delayed = judged.filter("action = 'delay'")
-    kept = delayed.join(later, (F.col("source") == F.col("s")) & (F.col("alert_type") == F.col("k")) & (F.col("again") > F.col("ts")) & (F.col("again") <= due), "left_semi")
+    """What goes out: suppressed alerts don't; delayed ones do, at their end, if the same (source, type) came again in between.
+
+    Time is cut into stretches as long as the delay. A (source, type) came again if an alert is earlier than the last of its stretch, or the first of the
+    next stretch is in time: so a row for each stretch tells, and no alert meets all others of its kind.
+    """
+    keys, width = ["source", "alert_type", "delay_seconds", "_stretch"], F.col("delay_seconds").cast("long") * 1_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    stretch = F.col("_at") - F.pmod(F.col("_at"), width)
+    delayed = judged.filter("action = 'delay' AND delay_seconds > 0").withColumn("_at", micros).withColumn("_stretch", stretch)
+    delays = delayed.select("delay_seconds").distinct()
+    seen = judged.filter("ts IS NOT NULL").select("source", "alert_type", micros.alias("_at")).crossJoin(F.broadcast(delays)).withColumn("_stretch", stretch)
+    seen = seen.groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    # The first of a stretch is told to the one before.
+    told = F.explode(F.array(F.struct("_stretch", "_last", F.lit(None).cast("long").alias("_next")), F.struct((F.col("_stretch") - width).alias("_stretch"), F.lit(None).cast("long").alias("_last"), F.col("_first").alias("_next"))))
+    told = seen.select(*keys[:3], told.alias("t")).groupBy(*keys[:3], F.col("t._stretch").alias("_stretch")).agg(F.max("t._last").alias("_last"), F.max("t._next").alias("_next"))
+    again = (F.col("_last") > F.col("_at")) | (F.col("_next") <= F.col("_at") + width)
+    kept = delayed.join(told, keys).filter(again).select(judged.columns)
     return judged.filter("action IS NULL OR action = 'downgrade'").unionByName(kept)
 
 

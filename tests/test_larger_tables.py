@@ -1,10 +1,14 @@
 """Queries over events whose numbers are those of larger tables, against their SQL."""
 
 import collections
+import datetime as dt
+import random
+import time
 
 import duckdb
 
 from lumenlog.catalog import QUERIES, SQL
+from lumenlog.operators import alerts as A
 
 
 def held(spark, folder, events, name):
@@ -23,3 +27,37 @@ def test_late_patterns_of_large_ids(spark, tmp_path):
     events = "SELECT CASE WHEN r < 1500 THEN r ELSE 150000 * (r // 1500) + r END AS event_id, (r * 7) % 1500 AS user_id, 'click' AS event_type FROM range(6000) t(r)"
     found, want = held(spark, tmp_path, events, "late_patterns")
     assert found == want and len({r[1] for r in want}) > 50
+
+
+def test_release_against_all_pairs(spark):
+    """Delays of several lengths, ends that are met exactly, equal times, and no source, type or time."""
+    rng = random.Random(5)
+    start = dt.datetime(2023, 12, 31, 23, 59, tzinfo=dt.timezone.utc)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), None if k % 50 == 0 else start + dt.timedelta(seconds=rng.randrange(4000), microseconds=rng.choice([0, 0, 1, 999_999])), rng.choice(["delay", "delay", "suppress", "downgrade", None]), rng.choice([0, 1, 7, 60, None])) for k in range(1500)]
+    judged = spark.createDataFrame(rows, "n long, source string, alert_type string, ts timestamp, action string, delay_seconds int").repartition(3)
+    found = [r.n for r in A.release(judged).collect()]
+
+    def out(n, source, kind, ts, action, delay):
+        if action != "delay":
+            return action != "suppress"
+        if None in (source, kind, ts, delay):
+            return False
+        return any((s, k) == (source, kind) and t is not None and ts < t <= ts + dt.timedelta(seconds=delay) for _, s, k, t, *_ in rows)
+
+    want = [r[0] for r in rows if out(*r)]
+    assert sorted(found) == want and any(r[4] == "delay" for r in rows if r[0] in want)
+
+
+def test_release_of_many_alerts_of_a_kind(spark):
+    """200,000 alerts of one source and type at one time: pair by pair that is 40,000,000,000 comparisons."""
+    judged = spark.range(200_000).selectExpr("id", "'s' AS source", "'k' AS alert_type", "timestamp_seconds(1700000000 + id DIV 1000000) AS ts", "'delay' AS action", "60 AS delay_seconds")
+    begin = time.monotonic()
+    assert A.release(judged).count() == 0 and time.monotonic() - begin < 60
+
+
+def test_suppressed_alerts_of_repeated_events(spark, tmp_path):
+    """Events three times, at equal times and an hour or more apart."""
+    kinds = "CASE id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'purchase' ELSE 'click' END AS event_type"
+    events = f"SELECT 2000 * r + id AS event_id, (id * 7) % 40 AS user_id, {kinds}, TIMESTAMP '2024-01-01' + to_seconds((id * 1201) % 90000) AS ts FROM range(2000) a(id), range(3) b(r)"
+    found, want = held(spark, tmp_path, events, "alerts_suppressed")
+    assert found == want and 0 < sum(r[3] == "delay" for r in want) < 1000
