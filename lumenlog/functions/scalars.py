@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenlog.functions import patterns as P
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once: inside lambdas Spark makes an expression anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sha256_hash(v: Column, n: int = 16) -> Column:
     """The first n hex digits of SHA-256."""
     return F.substring(F.sha2(v.cast("binary"), 256), 1, n)

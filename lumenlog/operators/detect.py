@@ -128,16 +128,19 @@ def rule_matches(text: Column, rule: Rule, order: int, id_field: Column | None =
         start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<from:int,full:string,value:string>>").alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(ps) - 2, F.lit(each)), start, step)["out"]
 
-    def told(m: Column) -> Column:
+    def placed(m: Column) -> Column:
         start = m["from"] + F.length(m["full"]) - F.instr(F.reverse(m["full"]), F.reverse(m["value"])) + 1 - F.length(m["value"])
-        value = F.substring(text, start + 1, F.length(m["value"]))
-        return F.struct(start.cast("int").alias("start"), (-(start + F.length(m["value"]))).cast("int").alias("neg_end"), F.lit(order).alias("ord"), value.alias("value"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"), F.lit(rule.strategy).alias("strategy"), replacement(rule, value).alias("new"))
+        return S.bound(start, lambda at: F.struct(at.alias("start"), F.substring(text, at + 1, F.length(m["value"])).alias("value")))
+
+    def told(m: Column) -> Column:
+        start, value = m["start"], m["value"]
+        return F.struct(start.cast("int").alias("start"), (-(start + F.length(value))).cast("int").alias("neg_end"), F.lit(order).alias("ord"), value.alias("value"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"), F.lit(rule.strategy).alias("strategy"), replacement(rule, value).alias("new"))
 
     good = lambda m: (m["value"] != "") & (rule.check(m["value"]) if rule.check else F.lit(True))
     none = F.array().cast(MATCH)
     # Arrays of one bind a value that is used more than once, so that it is made once; what has no mark isn't cut.
     cut = F.filter(F.transform(F.filter(F.array(marked), lambda m: m.contains(_CUT)), lambda m: F.split(m, _CUT, -1)), lambda ps: F.size(ps) > 1)
-    found = F.flatten(F.transform(cut, lambda ps: F.transform(F.filter(fold(ps), good), told)))
+    found = F.flatten(F.transform(cut, lambda ps: F.transform(F.transform(F.filter(fold(ps), good), placed), told)))
     needed = text.rlike(f"(?i){rule.probe or rule.pattern}")
     if rule.kind == "phone" and id_field is not None:
         needed = needed & ~id_field
@@ -159,14 +162,17 @@ def detections(text: Column, rules: Sequence[Rule] = BUILTIN, field_name: Column
     if not rules:
         return none
     found = F.concat(*(rule_matches(text, r, k, id_field) for k, r in enumerate(rules)))
-    return F.flatten(F.transform(F.filter(F.array(found), lambda f: F.size(f) > 0), resolve))
+    kept = S.bound(found, lambda f: F.when(F.size(f) > 1, resolve(f)).otherwise(f))
+    # A text without what any match has is left at once; patterns without a probe aren't put together, as they may count their groups.
+    likely = text.rlike("(?i)" + "|".join(f"(?:{r.probe})" for r in rules)) if all(r.probe for r in rules) else text.isNotNull()
+    return F.when(likely, kept).otherwise(none)
 
 
 def splice(text: Column, kept: Column) -> Column:
     """The text with its kept matches replaced."""
     step = lambda at, m: F.struct((-m["neg_end"]).alias("pos"), F.concat(at["out"], F.substring(text, at["pos"] + 1, m["start"] - at["pos"]), m["new"]).alias("out"))
     done = F.aggregate(kept, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-    return F.when(F.size(kept) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["pos"] + 1)))
+    return F.when(F.size(kept) == 0, text).otherwise(S.bound(done, lambda d: F.concat(d["out"], F.substr(text, d["pos"] + 1))))
 
 
 def sanitize(df: DataFrame, column: str, rules: Sequence[Rule] = BUILTIN, out: str = "sanitized", found: str = "found") -> DataFrame:

@@ -1,56 +1,82 @@
 """Strings inside JSON values and their paths.
 
-A JSON text is cut into tokens; one ordered fold over them keeps the path of the place where it is, so nesting may be of any depth. Only string
-values are looked at: keys, numbers, true, false and null stay as they are. Paths read `a.b[0].c`. All native.
+A JSON text is cut into tokens, and one pass over them keeps the path of the place where it is, so nesting may be of any depth. Only string
+values are looked at: keys, numbers, true, false and null stay as they are. Paths read `a.b[0].c`. The pass is a small helper over Arrow
+batches, as a fold of Spark's own takes some 15 microseconds a token; all else is native.
 """
 
 from __future__ import annotations
 
+import json as js
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Possessive, since Java's other loops over groups go as deep as the text is long.
-_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s"{}\[\],:]+'
-#: Tokens that are taken one by one before what they gave is put aside.
-CHUNK = 256
+from lumenlog.functions.scalars import bound
+
+# Strings, marks and bare words, as Java's patterns read them: white space is ASCII, and no line end follows a backslash.
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\[^\n\r\x85\u2028\u2029])*+"|[{}\[\],:]|[^\s"{}\[\],:]+', re.ASCII)
 _PLACED = "array<struct<token:string,path:string>>"
 
 
-def json_tokens(json: Column, root: Column) -> Column:
-    """The tokens of a JSON text, and for string values (not keys) their path below root; null for all others."""
-    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0))
-    pairs = F.zip_with(tokens, F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), F.array(F.lit(""))), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
-    start = F.struct(F.array(root).alias("path"), F.array().cast("array<boolean>").alias("lists"), F.array().cast(_PLACED).alias("out"))
-    init = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-
-    def step(at: Column, x: Column) -> Column:
-        t, path, lists = x["t"], at["path"], at["lists"]
-        key = (x["n"] == ":") & t.startswith('"')
-        inside = F.coalesce(last(lists), F.lit(False))
-        counted = F.concat(init(path), F.array(F.concat(F.lit("["), (F.regexp_extract(last(path), r"\d+", 0).try_cast("int") + 1).cast("string"), F.lit("]"))))
-        moved = (
-            F.when(t == "{", F.concat(path, F.array(F.lit(""))))
-            .when(t == "[", F.concat(path, F.array(F.lit("[0]"))))
-            .when(t.isin("}", "]"), init(path))
-            .when((t == ",") & inside, counted)
-            .when(key, F.concat(init(path), F.array(unquote(t))))
-            .otherwise(path)
-        )
-        nested = F.when(t.isin("{", "["), F.concat(lists, F.array(t == "["))).when(t.isin("}", "]"), init(lists)).otherwise(lists)
-        here = F.when(t.startswith('"') & ~key, F.replace(F.array_join(path, "."), F.lit(".["), F.lit("[")))
-        return F.struct(moved.alias("path"), nested.alias("lists"), F.concat(at["out"], F.array(F.struct(t.alias("token"), here.alias("path")))).alias("out"))
-
-    # The fold runs over chunks, whose results are put together once, as each step copies what it has so far.
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest((F.size(pairs) - 1) / CHUNK, F.lit(0)).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
-    empty = F.array().cast(_PLACED)
-    begin = F.struct(start["path"].alias("path"), start["lists"].alias("lists"), F.array().cast(f"array<{_PLACED}>").alias("outs"))
-
-    def whole(at: Column, chunk: Column) -> Column:
-        done = F.aggregate(chunk, F.struct(at["path"].alias("path"), at["lists"].alias("lists"), empty.alias("out")), step)
-        return F.get(F.transform(F.array(done), lambda d: F.struct(d["path"].alias("path"), d["lists"].alias("lists"), F.concat(at["outs"], F.array(d["out"])).alias("outs"))), F.lit(0))
-
-    return F.flatten(F.aggregate(chunks, begin, whole)["outs"])
+def _key(literal: str) -> str | None:
+    try:
+        return js.loads(literal).encode(errors="replace").decode()
+    except ValueError:
+        return None
+
+
+def placed(json: str, root: str) -> tuple[list[str], list[str | None]]:
+    """String values as they are written, with their paths; what lies between two of them is one token, without a path."""
+    names, counts, tokens, paths, run = [root], [None], [], [], []  # counts: None in an object, else the place in a list
+    found = _TOKEN.findall(json)
+    for t, after in zip(found, [*found[1:], ""], strict=True):
+        if t[0] == '"' and after != ":":
+            if run:
+                tokens.append("".join(run))
+                paths.append(None)
+                run = []
+            tokens.append(t)
+            paths.append(".".join(n if c is None else f"[{c}]" for n, c in zip(names, counts, strict=True) if n is not None).replace(".[", "["))
+            continue
+        run.append(t)
+        if t[0] == '"':
+            names[-1:], counts[-1:] = [_key(t)], [None]
+        elif t in "{[":
+            names.append("")
+            counts.append(0 if t == "[" else None)
+        elif t in "}]":
+            names, counts = names[:-1], counts[:-1]
+        elif t == "," and counts and counts[-1] is not None:
+            counts[-1] += 1
+    if run:
+        tokens.append("".join(run))
+        paths.append(None)
+    return tokens, paths
+
+
+def _placed_lists(texts: pa.Array, roots: pa.Array) -> pa.Array:
+    """placed() of each text in lists of texts."""
+    rows, inner, none, tokens, paths = [0], [0], [], [], []
+    for own, at in zip(texts.to_pylist(), roots.to_pylist(), strict=True):
+        for text, root in zip(own or (), at or (), strict=True):
+            if text is not None:
+                found = placed(text, root)
+                tokens += found[0]
+                paths += found[1]
+            none.append(text is None)
+            inner.append(len(tokens))
+        rows.append(len(none))
+    made = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(paths, pa.string())], ["token", "path"])
+    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), made, mask=pa.array(none, pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), lists)
+
+
+def json_tokens(texts: Column, roots: Column) -> Column:
+    """Arrays of JSON texts and of what their paths begin with: for each text its tokens in order, for string values (not keys) with their path, null for all others."""
+    return F.arrow_udf(_placed_lists, f"array<{_PLACED}>")(texts, roots)
 
 
 def unquote(literal: Column) -> Column:
@@ -60,13 +86,12 @@ def unquote(literal: Column) -> Column:
 
 def quote(text: Column) -> Column:
     """A text as a JSON string literal."""
-    one = F.to_json(F.array(text))
-    return F.substr(one, F.lit(2), F.length(one) - 2)
+    return bound(F.to_json(F.array(text)), lambda one: F.substr(one, F.lit(2), F.length(one) - 2))
 
 
 def leaves(json: Column, root: Column) -> Column:
     """path, value of all strings in a JSON text, in order."""
-    return F.transform(F.filter(json_tokens(json, root), lambda t: t["path"].isNotNull()), lambda t: F.struct(t["path"].alias("path"), unquote(t["token"]).alias("value")))
+    return F.transform(F.filter(F.get(json_tokens(F.array(json), F.array(root)), F.lit(0)), lambda t: t["path"].isNotNull()), lambda t: F.struct(t["path"].alias("path"), unquote(t["token"]).alias("value")))
 
 
 def field_path(path: Column) -> Column:

@@ -72,9 +72,11 @@ def detected_records(records: DataFrame, rules: Sequence[Rule] = BUILTIN, saniti
     typed = F.col("typed") if "typed" in records.columns else F.create_map().cast("map<string,string>")
     plain = F.filter(F.map_entries("extra"), lambda e: ~F.map_contains_key(F.col("_typed"), e["key"]) & e["value"].isNotNull())
     deep = F.filter(F.map_entries("_typed"), lambda e: e["value"].rlike(r"^[{\[]"))
-    tokens = lambda e: F.transform(json_tokens(e["value"], path(e)), lambda t: item("token", e["key"], t["token"], t["path"], F.when(t["path"].isNotNull(), unquote(t["token"]))))
-    items = F.concat(F.array(item("message", none, none, F.lit("message"), F.col("message"))), F.transform(plain, lambda e: item("plain", e["key"], none, path(e), e["value"])), F.flatten(F.transform(deep, tokens)))
-    staged = records.withColumn("_typed", typed).withColumn("_items", F.when(on, items))
+    tokens = lambda e, ts: F.transform(ts, lambda t: item("token", e["key"], t["token"], t["path"], F.when(t["path"].isNotNull(), unquote(t["token"]))))
+    items = F.concat(F.array(item("message", none, none, F.lit("message"), F.col("message"))), F.transform(plain, lambda e: item("plain", e["key"], none, path(e), e["value"])), F.flatten(F.zip_with("_deep", "_tokens", tokens)))
+    staged = records.withColumn("_typed", typed).withColumn("_deep", F.when(on, deep))
+    staged = staged.withColumn("_tokens", json_tokens(F.transform("_deep", lambda e: e["value"]), F.transform("_deep", path)))
+    staged = staged.withColumn("_items", F.when(on, items)).drop("_deep", "_tokens")
     return staged.withColumn("_found", built(lambda: F.transform("_items", lambda i: detections(i["old"], rules, i["path"])), tuple(rules)))
 
 

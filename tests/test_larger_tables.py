@@ -2,13 +2,16 @@
 
 import collections
 import datetime as dt
+import json
 import random
 import time
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lumenlog.catalog import QUERIES, SQL
 from lumenlog.operators import alerts as A
+from lumenlog.operators.nested import leaves
 
 
 def held(spark, folder, events, name):
@@ -61,3 +64,24 @@ def test_suppressed_alerts_of_repeated_events(spark, tmp_path):
     events = f"SELECT 2000 * r + id AS event_id, (id * 7) % 40 AS user_id, {kinds}, TIMESTAMP '2024-01-01' + to_seconds((id * 1201) % 90000) AS ts FROM range(2000) a(id), range(3) b(r)"
     found, want = held(spark, tmp_path, events, "alerts_suppressed")
     assert found == want and 0 < sum(r[3] == "delay" for r in want) < 1000
+
+
+def walked(value, path):
+    """Paths and strings of a JSON value, by its own structure."""
+    if isinstance(value, str):
+        yield path, value
+    for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+        yield from walked(v, f"{path}[{k}]" if isinstance(value, list) else f"{path}.{k}")
+
+
+def test_leaves_of_many_tokens(spark):
+    """20,000 lists of some 1,000 tokens, in seconds; and odd keys and strings as a walk over the values has them."""
+    odd = [{"a\n\"b": ["x", {"": " ", "é😀": [[], {}, [["y\\"]], 1.5, None, True, ","]}]}, ["{", "}", ["[", ":"]], "z", {"k": {"k": {"k": "v:w"}}}, 7, {}, []]
+    texts = [json.dumps(x, ensure_ascii=a, indent=i) for x in odd for a in (True, False) for i in (None, 2)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "k long, j string").select("k", leaves(F.col("j"), F.lit("r")).alias("l")).collect()
+    told = {r.k: r.l for r in rows}
+    assert told.pop(99) is None and {k: [tuple(x) for x in v] for k, v in told.items()} == {k: list(walked(json.loads(t), "r")) for k, t in enumerate(texts)}
+    wide = spark.range(20_000).repartition(4).selectExpr("to_json(transform(sequence(1, 500), k -> IF(k % 250 = 0, concat('s', id), string(k + id)))) AS j")
+    begin = time.monotonic()
+    found = wide.select(F.explode(leaves(F.col("j"), F.lit("r"))).alias("l")).filter("l.path = 'r[499]'").select("l.value").distinct().count()
+    assert found == 20_000 and time.monotonic() - begin < 40
