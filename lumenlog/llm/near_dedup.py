@@ -7,6 +7,10 @@ ranges of their hashes, a shard counts its shingles over all pieces, and the cou
 A caller may have shares below `rare` taken as that (the default, 1/16), so that only what is common in the corpus weighs less; then a counting
 sketch over all documents tells where common shingles must be, and a second pass counts these alone.
 
+Weights alone part what a large group of copies shares: the more copies, the less its shingles weigh, while an edit's own weigh more the larger the corpus is. So
+op7_near_dedup and the pipeline (sets=True) also link a pair whose plain sets of shingles have that Jaccard similarity, which neither size moves. Candidates
+come by the weighted samples in any case.
+
 Texts of equal words are one node. In two rounds, nodes that share a band's hash meet one leader of their bucket, at first the one
 whose buckets are the largest (the original of a group of copies), then one by lot; each pair is verified exactly. So a bucket of n copies
 takes n checks. Buckets that then still hold several classes are compared whole, in blocks of about BLOCK by BLOCK nodes, everything
@@ -329,25 +333,31 @@ def signed_by_all_shares(docs: DataFrame) -> DataFrame:
     return signed
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two packed vectors."""
+def similarity(a: bytes, b: bytes, sets: bool = False) -> float:
+    """Weighted Jaccard similarity of two packed vectors; with sets, that of their sets of shingles where it is more."""
     n, m = len(a) // 6, len(b) // 6
     ka, kb = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, m)
     wa, wb = np.frombuffer(a, np.float16, n, 4 * n).astype(np.float32), np.frombuffer(b, np.float16, m, 4 * m).astype(np.float32)
     at = np.minimum(np.searchsorted(kb, ka), m - 1)
     same = kb[at] == ka
     least = float(np.minimum(wa[same], wb[at[same]]).sum())
-    return least / max(float(wa.sum() + wb.sum()) - least, 1e-9)
+    found, shared = least / max(float(wa.sum() + wb.sum()) - least, 1e-9), int(same.sum())
+    return max(found, shared / (n + m - shared)) if sets else found
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sim = [similarity(a, b) for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("leader"), pa.array(sim, pa.float64())], ["key", "leader", "similarity"])
-    give_back()
+def _compare(sets: bool):
+    """For mapInArrow: the similarity of each pair."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sim = [similarity(a, b, sets) for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("leader"), pa.array(sim, pa.float64())], ["key", "leader", "similarity"])
+        give_back()
+
+    return compare
 
 
-def _block_pairs(least: float):
+def _block_pairs(least: float, sets: bool):
     """For mapInArrow: similar pairs of two blocks' nodes of different classes, the lesser key first. A pair counts in the first of its shared bands only."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +372,7 @@ def _block_pairs(least: float):
                     first[np.all(same, axis=0) & (first == BANDS)] = k
                 for i, j in zip(*np.nonzero((agree >= MATCHES) & (first == band)), strict=True):
                     x, y = left[i], right[j]
-                    if x["root"] != y["root"] and (found := similarity(x["vector"], y["vector"])) >= least:
+                    if x["root"] != y["root"] and (found := similarity(x["vector"], y["vector"], sets)) >= least:
                         out.append((*sorted((x["key"], y["key"])), found))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["key", "leader", "similarity"])
         give_back()
@@ -370,7 +380,7 @@ def _block_pairs(least: float):
     return compare
 
 
-def verified_pairs(signed: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def verified_pairs(signed: DataFrame, nodes: DataFrame, least: float = SIMILARITY, sets: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs (key, leader) of similar nodes, and (key, root) of all nodes in them: the least key of their component.
 
     A bucket's nodes are dealt over SALTS tasks by salt, here and in all joins on its (band, h); so are the pairs of a leader.
@@ -387,7 +397,7 @@ def verified_pairs(signed: DataFrame, nodes: DataFrame, least: float = SIMILARIT
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.select(F.least("key", "leader").alias("key"), F.greatest("key", "leader").alias("leader")).distinct().withColumn("salt", salt_of("key")), "tried")
         both = join_hot(pairs, vectors.select(F.col("key").alias("leader"), F.col("vector").alias("vb")), ["leader"], "salt").join(vectors.select("key", F.col("vector").alias("va")), "key")
-        return both.select("key", "leader", "va", "vb").mapInArrow(_compare, "key binary, leader binary, similarity double").filter(F.col("similarity") >= least)
+        return both.select("key", "leader", "va", "vb").mapInArrow(_compare(sets), "key binary, leader binary, similarity double").filter(F.col("similarity") >= least)
 
     found = spark.createDataFrame([], "key binary, leader binary, similarity double")
     reach = every.groupBy("key").agg(F.sum("n").alias("reach"))
@@ -410,7 +420,7 @@ def verified_pairs(signed: DataFrame, nodes: DataFrame, least: float = SIMILARIT
     left = whole.filter("minor").groupBy("band", "h", "part", "parts").agg(F.collect_list("node").alias("left")).select("band", "h", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = whole.groupBy("band", "h", "part").agg(F.collect_list("node").alias("right"))
     compared = left.join(right, ["band", "h", "part"]).select("band", "left", "right")
-    more = settle(compared.mapInArrow(_block_pairs(least), "key binary, leader binary, similarity double").distinct(), "blocks")
+    more = settle(compared.mapInArrow(_block_pairs(least, sets), "key binary, leader binary, similarity double").distinct(), "blocks")
     if more.isEmpty():
         return found, roots
     found = settle(found.unionByName(more), "similar")
@@ -436,19 +446,19 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def classes_of(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) -> DataFrame:
+def classes_of(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE, sets: bool = False) -> DataFrame:
     """near_duplicates with key (digest of the words) and root (the least key of the class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(docs.mapInArrow(_signatures(common_shingles(docs, rare), rare), SIGNED), "signed") if rare else signed_by_all_shares(docs)
     nodes = settle(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sign").alias("sign")), "nodes")
     with shuffled_joins(docs.sparkSession):
-        told = _told(signed, nodes, least)
+        told = _told(signed, nodes, least, sets)
     return join_hot(signed.select("doc_id", "key", "salt"), told, ["key"], "salt").select("doc_id", "key", "root", "class_id", "class_rows", "n_verified")
 
 
-def _told(signed: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _told(signed: DataFrame, nodes: DataFrame, least: float, sets: bool) -> DataFrame:
     """key, root, class_id, class_rows, n_verified of all nodes, settled."""
-    pairs, roots = verified_pairs(signed, nodes, least)
+    pairs, roots = verified_pairs(signed, nodes, least, sets)
     links = pairs.select("key", "leader").distinct().select(F.explode(F.array("key", "leader")).alias("key")).groupBy("key").agg(F.count("*").alias("n_verified"))
     placed = nodes.select("key", "rep", "rows").join(roots, "key", "left").join(links, "key", "left").select("key", "rep", "rows", F.coalesce("root", "key").alias("root"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"), salt_of("key").alias("salt"))
     placed = settle(placed, "placed")
@@ -456,11 +466,12 @@ def _told(signed: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return settle(join_hot(placed, classes, ["root"], "salt").select("key", "root", "class_id", "class_rows", "n_verified"), "classes")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE, sets: bool = False) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_key (the class itself, also where ids repeat or lack), class_rows, n_verified
     (pairs with other texts that were verified and found similar: links inside a class that its other links already join aren't tried, so no
-    count of similar texts). A row for each document. Shares of documents below rare count as that; 0 takes every shingle's own."""
-    return classes_of(docs, least, rare).withColumn("class_key", F.lower(F.hex("root"))).drop("key", "root")
+    count of similar texts). A row for each document. Shares of documents below rare count as that; 0 takes every shingle's own.
+    sets: pairs whose sets of shingles are as similar are linked too."""
+    return classes_of(docs, least, rare, sets).withColumn("class_key", F.lower(F.hex("root"))).drop("key", "root")
 
 
 def text_key(column: pa.Array) -> pa.Array:
@@ -472,10 +483,10 @@ def text_key(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE, sets: bool = False) -> DataFrame:
     """docs with one row of each class: that of the least id, of several texts with it that of the least key; a row without an id only
     where the class has no other. Texts are read again only where an id is null or comes repeatedly."""
-    found = settle(classes_of(docs, least, rare).select("doc_id", "key", "root"), "classes")
+    found = settle(classes_of(docs, least, rare, sets).select("doc_id", "key", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")
     first = settle(found.groupBy("root").agg(F.min(order).alias("at")).select("at.doc_id", "at.key"), "kept")
     often = settle(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"), "often")
@@ -491,5 +502,5 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY, rare: float = RARE) ->
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every document, by the idf of all shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), rare=0)
+    """The class of every document, by the idf of all shingles or by their sets."""
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), rare=0, sets=True)

@@ -191,3 +191,30 @@ def test_every_shingle_has_its_own_share(spark):
 
     found = [r.class_id for r in near_dedup.near_duplicates(docs, rare=0).orderBy("doc_id").collect()]
     assert found[:-5] == components(exact) != components(weighted(texts)) and found[-5:-3] == [60, 60] and found[-3:-1] == [62, 62]
+
+
+def test_near_copies_in_a_large_group(spark, tmp_path):
+    """op7 over 150 near copies of a text in a corpus of 2,200: each pair whose sets of five words reach 0.802 is in one class, and nothing is joined that pairs of 0.798 or more don't."""
+    rng, texts = np.random.default_rng(11), []
+    for edits, copies in ((2, 150), (4, 50)):
+        base = [f"b{edits}x{k}" for k in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.choice(np.arange(6, 114, 6), edits, replace=False):
+                words[at] = f"edit{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+    group = len(texts)
+    texts += [prose(5000 + k, 12, 3000) for k in range(2000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.class_id for r in near_dedup.op7_near_dedup(spark, str(tmp_path)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts[:group])]
+    sims = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(group), 2)}
+    sure = [p for p, sim in sims.items() if sim >= 0.802]
+    assert len(sure) >= 150 and all(found[i] == found[j] for i, j in sure)
+    loose = list(range(group))
+    for (i, j), sim in sims.items():
+        if sim >= 0.798:
+            low, high = sorted((loose[i], loose[j]))
+            loose = [low if r == high else r for r in loose]
+    assert all(loose[k] == loose[found[k]] for k in range(group)) and all(found[k] == k for k in range(group, len(texts)))
